@@ -94,18 +94,21 @@ def _between(text: Column, kind: Kind, found: str) -> Column:
     return F.when(F.size(found) > 0, F.split(text, kind.pattern, -1))
 
 
+def _confirmed(kind: Kind, x: Column, threshold: float) -> tuple[Column, Column]:
+    """Whether the hit of x passes its checks, and its score."""
+    near = F.lower(F.concat(F.right(x["piece"], F.lit(48)), F.lit(" "), F.left(F.coalesce(x["next"], F.lit("")), F.lit(24))))
+    score = F.lit(kind.score) + F.when(near.rlike(kind.context), F.lit(0.2)).otherwise(F.lit(0.0))
+    ok = x["hit"].isNotNull() & kind.valid(x["hit"])
+    return F.coalesce(ok if kind.base else ok & (score >= threshold), F.lit(False)), score
+
+
 def _spans(kind: Kind, pieces: str, found: str, threshold: float) -> Column:
     """Struct n, spans, scores of one kind."""
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["pos"] + F.length(x["piece"])
         end = start + F.length(x["hit"])
-        near = F.lower(F.concat(F.right(x["piece"], F.lit(48)), F.lit(" "), F.left(F.coalesce(x["next"], F.lit("")), F.lit(24))))
-        score = F.lit(kind.score) + F.when(near.rlike(kind.context), F.lit(0.2)).otherwise(F.lit(0.0))
-        ok = x["hit"].isNotNull() & kind.valid(x["hit"])
-        if not kind.base:
-            ok = ok & (score >= threshold)
-        ok = F.coalesce(ok, F.lit(False))
+        ok, score = _confirmed(kind, x, threshold)
         comma = F.when(acc["n"] > 0, F.lit(",")).otherwise(F.lit(""))
         return F.struct(
             F.coalesce(end, acc["pos"]).alias("pos"),
@@ -143,22 +146,22 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     )
 
 
+def _replaced(kind: Kind, threshold: float) -> Callable[[Column, Column], Column]:
+    def step(acc: Column, x: Column) -> Column:
+        ok, _ = _confirmed(kind, x, threshold)
+        return F.concat(acc, x["piece"], F.when(ok, F.lit(f"[{kind.name.upper()}]")).otherwise(F.coalesce(x["hit"], F.lit(""))))
+
+    return step
+
+
 def redact(docs: DataFrame, text_col: str = "text", kinds: tuple[Kind, ...] = KINDS, threshold: float = 0.6) -> DataFrame:
     """docs with each confirmed span of text_col replaced by [KIND], kind after kind; a null text stays null."""
     columns = docs.columns
     df = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("__row"), F.col(f"`{text_col}`").alias("__text"))
     for kind in kinds:
         found, pieces, _ = _names(kind)
-
-        def step(acc: Column, x: Column, kind: Kind = kind) -> Column:
-            near = F.lower(F.concat(F.right(x["piece"], F.lit(48)), F.lit(" "), F.left(F.coalesce(x["next"], F.lit("")), F.lit(24))))
-            ok = kind.valid(x["hit"])
-            if not kind.base:
-                ok = ok & ((F.lit(kind.score) + F.when(near.rlike(kind.context), F.lit(0.2)).otherwise(F.lit(0.0))) >= threshold)
-            return F.concat(acc, x["piece"], F.when(x["hit"].isNull(), F.lit("")).when(ok, F.lit(f"[{kind.name.upper()}]")).otherwise(x["hit"]))
-
         df = df.select("*", _found(F.col("__text"), kind).alias(found))
         df = df.select("*", _between(F.col("__text"), kind, found).alias(pieces))
         rows = F.arrays_zip(F.col(pieces).alias("piece"), F.col(found).alias("hit"), F.slice(F.col(pieces), F.lit(2), F.size(pieces)).alias("next"))
-        df = df.select("__row", F.when(F.size(found) > 0, F.aggregate(rows, F.lit(""), step)).otherwise(F.col("__text")).alias("__text"))
+        df = df.select("__row", F.when(F.size(found) > 0, F.aggregate(rows, F.lit(""), _replaced(kind, threshold))).otherwise(F.col("__text")).alias("__text"))
     return df.select(*[F.col("__text").alias(c) if c == text_col else F.col("__row").getField(c).alias(c) for c in columns])

@@ -32,7 +32,7 @@ class Params:
     n: int = 4
     buckets: int = 1 << 14
     trusted: int = 20_000
-    threshold: float = -0.15
+    threshold: float = -0.4
     smoothing: float = 1.0
     least_words: int = 20
     most_repeat: int = 30
