@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Texts, as_long, chunks, materialize, mix, seeds, windows
+from .common import Texts, as_long, chunks, likely_in, materialize, mix, seeds, windows
 from .graph import connected_components
 
 
@@ -264,7 +264,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = materialize(banded.join(hubs, "bucket").select("bucket", "a", "q", "c", F.col("node").alias("b")), "members")
     stars = materialize(members.where("a != b").groupBy("a", "b").agg(F.max("c").alias("c")), "stars")
     involved = members.select(F.col("b").alias("node")).distinct()
-    texts = materialize(docs.join(involved, docs.doc_id == involved.node).select("node", "text"), "texts")
+    near = likely_in(docs, "doc_id", involved, "node").withColumnRenamed("doc_id", "node")
+    texts = materialize(near.join(involved, "node").select("node", "text"), "texts")
 
     # One centre for each document first: most links need no more.
     first = stars.groupBy("b").agg(F.min(F.struct("a", "c")).alias("s")).select("s.a", "b", "s.c")
