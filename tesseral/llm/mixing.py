@@ -72,7 +72,7 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     drawn = blocks.join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     drawn = drawn.withColumn("passes", passes).withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size"))
     drawn = drawn.withColumn("upto", F.sum("block_size").over(here)).withColumn("before", F.col("upto") - F.col("block_size"))
-    drawn = drawn.withColumn("part", F.when(F.col("upto") <= F.col("rest"), F.lit("all")).when(F.col("before") < F.col("rest"), F.lit("some")).otherwise(F.lit("none")))
+    drawn = drawn.withColumn("part", F.when(F.col("rest") <= 0, F.lit("none")).when(F.col("upto") <= F.col("rest"), F.lit("all")).when(F.col("before") < F.col("rest"), F.lit("some")).otherwise(F.lit("none")))
     copies = F.col("passes") + F.when(F.col("part") == "none", F.lit(0)).otherwise(F.lit(1))
     units = drawn.where(copies > 0).select("name", "block", F.explode(F.sequence(F.lit(1), copies)).alias("copy"))
     order = Window.orderBy(_key(F.lit(p.seed), F.lit("shard"), "name", "block", F.col("copy").cast("string")), "name", "block", "copy")
