@@ -216,6 +216,11 @@ def _bit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def likely_in(rows: DataFrame, column: str, wanted: DataFrame, key: str) -> DataFrame:
     """rows without most of those whose column is not among wanted[key]: a filter of 4 MB, whatever the input, spares a following join the shuffle of rows it would drop. It keeps all rows that join."""
+    return split_by(rows, column, wanted, key)[0]
+
+
+def split_by(rows: DataFrame, column: str, wanted: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """The rows that likely_in() keeps, and the others, among them those with null."""
     spark = rows.sparkSession
     place = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(_FILTER_BITS)).cast("long")
     dealt = wanted.select(place(key).alias("h")).repartition(F.expr(f"h div {_FILTER_BLOCK}"))
@@ -225,9 +230,11 @@ def likely_in(rows: DataFrame, column: str, wanted: DataFrame, key: str) -> Data
         bits[lo : lo + _FILTER_BLOCK // 8] |= np.frombuffer(bytes(r.bits), np.uint8)
     shared = spark.sparkContext.broadcast(bits)
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def side(batches: Iterator[pa.RecordBatch], inside: bool) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             h = batch.column(batch.num_columns - 1).to_numpy()
-            yield batch.filter(pa.array((shared.value[h >> 3] >> (h & 7).astype(np.uint8)) & 1 > 0)).drop_columns(["__place"])
+            found = (h >= 0) & ((shared.value[np.maximum(h, 0) >> 3] >> (h & 7).astype(np.uint8)) & 1 > 0)
+            yield batch.filter(pa.array(found == inside)).drop_columns(["__place"])
 
-    return rows.withColumn("__place", place(column)).mapInArrow(keep, rows.schema)
+    placed = rows.withColumn("__place", F.when(F.col(column).isNull(), F.lit(-1)).otherwise(place(column)))
+    return placed.mapInArrow(lambda it: side(it, True), rows.schema), placed.mapInArrow(lambda it: side(it, False), rows.schema)

@@ -55,13 +55,18 @@ def _key(*parts: Column | str) -> Column:
     return F.md5(F.concat_ws("|", *parts))
 
 
-def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", params: Params = Params()) -> DataFrame:
-    """Per row: doc_id, source, size, source_size, target, copies, shards (array, one for each copy), place (order within a shard)."""
-    p = params
-    doc = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    known = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source")))
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    sized = sized.select("*", known.alias("name"), _key(F.lit(p.seed), known, doc).alias("place")).withColumn("block", F.substring("place", 1, p.block_digits))
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, p: Params) -> list[Column]:
+    """doc_id, source, size, name (the source, null or not), place and block of a row."""
+    source, doc = F.col(f"`{source_col}`").cast("string"), F.col(f"`{id_col}`")
+    known = F.when(source.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), source))
+    place = _key(F.lit(p.seed), known, F.coalesce(doc.cast("string"), F.lit("")))
+    size = F.coalesce(F.regexp_count(F.col(f"`{text_col}`").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
+    return [doc.alias("doc_id"), source.alias("source"), size.alias("size"), known.alias("name"), place.alias("place"), F.substring(place, 1, p.block_digits).alias("block")]
+
+
+def _drawn(docs: DataFrame, id_col: str, text_col: str, source_col: str, p: Params) -> tuple[DataFrame, DataFrame]:
+    """The rows of docs as _sized() says, and the plan: one row for each source and block, stored."""
+    sized = docs.select(*_sized(docs, id_col, text_col, source_col, p))
     sized = materialize(sized, "sized")
     blocks = sized.groupBy("name", "block").agg(F.first("source").alias("source"), F.sum("size").alias("block_size"))
     blocks = materialize(blocks, "blocks")
@@ -83,20 +88,44 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
         units = units.select("name", "block", "copy", "rank", F.when(right, middle).otherwise(F.col("lo")).alias("lo"), F.when(right, F.col("hi")).otherwise(middle).alias("hi"), (F.col("shard") * 2 + right.cast("int")).alias("shard"))
     units = units.groupBy("name", "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("copy", "shard"))), lambda x: x["shard"]).alias("shards"))
     plan = materialize(drawn.select("name", "block", "source_size", "target", "passes", "rest", "before", "part").join(units, ["name", "block"], "left"), "plan")
+    return sized, plan
+
+
+def _decided(rows: DataFrame) -> DataFrame:
+    """rows(sized and planned) of blocks that are drawn in part, with the boolean extra: documents in order of place, up to the rest."""
+    inside = Window.partitionBy("name", "block").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.where("part = 'some'").withColumn("extra", F.col("before") + F.sum("size").over(inside) - F.col("size") / 2 <= F.col("rest"))
+
+
+def _copies(rows: DataFrame) -> DataFrame:
+    """rows with copies and the shard of each copy."""
+    rows = rows.withColumn("copies", F.col("passes") + F.col("extra").cast("int"))
+    return rows.withColumn("shards", F.slice(F.coalesce(F.col("shards"), F.array().cast("array<int>")), F.lit(1), F.col("copies")))
+
+
+def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", params: Params = Params()) -> DataFrame:
+    """Per row: doc_id, source, size, source_size, target, copies, shards (array, one for each copy), place (order within a shard)."""
+    sized, plan = _drawn(docs, id_col, text_col, source_col, params)
     rows = sized.join(plan, ["name", "block"])
     whole = rows.where("part != 'some'").withColumn("extra", F.col("part") == "all")
-    inside = Window.partitionBy("name", "block").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    part = rows.where("part = 'some'").withColumn("extra", F.col("before") + F.sum("size").over(inside) - F.col("size") / 2 <= F.col("rest"))
-    rows = whole.unionByName(part).withColumn("copies", F.col("passes") + F.col("extra").cast("int"))
-    shards = F.slice(F.coalesce(F.col("shards"), F.array().cast("array<int>")), F.lit(1), F.col("copies"))
-    return rows.select("doc_id", "source", "size", "source_size", F.col("target").cast("double").alias("target"), "copies", shards.alias("shards"), "place")
-
-
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", params: Params = Params()) -> DataFrame:
-    """The drawn copies: the columns of docs with mix_copy, mix_shard and mix_place. Rows without id are looked up by null-safe equality; repeated rows of one id share a place."""
-    plan = plan_mix(docs, id_col, text_col, source_col, params)
-    plan = plan.where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.posexplode("shards").alias("__copy", "__shard"), F.col("place").alias("__place")).distinct()
-    known = F.coalesce(F.regexp_count(F.col(f"`{text_col}`").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    same = F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & F.col(f"`{source_col}`").cast("string").eqNullSafe(F.col("__source")) & (known == F.col("__size"))
-    joined = docs.join(materialize(plan, "drawn"), same)
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], (F.col("__copy") + 1).alias("mix_copy"), F.col("__shard").alias("mix_shard"), F.col("__place").alias("mix_place"))
+    rows = _copies(whole.unionByName(_decided(rows)))
+    return rows.select("doc_id", "source", "size", "source_size", F.col("target").cast("double").alias("target"), "copies", "shards", "place")
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", params: Params = Params(), most: int = 100_000) -> DataFrame:
+    """The drawn copies: the columns of docs with mix_copy, mix_shard and mix_place.
+
+    Rows meet the plan of blocks, which is broadcast up to `most` rows; only rows of
+    blocks that are drawn in part are joined by place. Repeated rows of one id share a place.
+    """
+    columns = docs.columns
+    sized, plan = _drawn(docs, id_col, text_col, source_col, params)
+    extras = materialize(_decided(sized.join(plan.where("part = 'some'"), ["name", "block"])).where("extra").select("name", "place").distinct(), "extras")
+    parts = _sized(docs, id_col, text_col, source_col, params)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("__row"), *[c for c in parts[3:]])
+    small = plan.count() <= most
+    rows = rows.join(F.broadcast(plan) if small else plan, ["name", "block"])
+    whole = rows.where("part != 'some'").withColumn("extra", F.col("part") == "all")
+    part = rows.where("part = 'some'").join(extras.withColumn("extra", F.lit(True)), ["name", "place"], "left").withColumn("extra", F.coalesce("extra", F.lit(False)))
+    drawn = _copies(whole.unionByName(part)).where("copies > 0").select("__row", "place", F.posexplode("shards").alias("__copy", "__shard"))
+    return drawn.select(*[F.col("__row").getField(c).alias(c) for c in columns], (F.col("__copy") + 1).alias("mix_copy"), F.col("__shard").alias("mix_shard"), F.col("place").alias("mix_place"))
