@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesseral.llm import decontaminate, minhash, mixing, pii, quality
-from tesseral.llm.common import materialize, read_table
+from tesseral.llm.common import materialize, read_table, split_by
 
 
 def _with_length(docs: DataFrame) -> DataFrame:
@@ -26,10 +26,15 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays, the one of the smallest id; of repeated rows of it, one."""
-    gone = minhash.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    left = docs.join(materialize(gone, "gone"), F.col("doc_id") == F.col("__gone"), "left_anti")
-    return left.where("doc_id is null").unionByName(left.where("doc_id is not null").dropDuplicates(["doc_id"]))
+    """One document of each component stays, the one of the smallest id; of repeated rows of it, one.
+
+    Only rows whose id goes or repeats are joined; the others pass by a filter of fixed size and are not shuffled.
+    """
+    gone = materialize(minhash.near_duplicates(docs).where("not kept").select("doc_id").distinct(), "gone")
+    twice = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
+    asked, others = split_by(docs, "doc_id", materialize(gone.unionByName(twice), "asked"), "doc_id")
+    left = asked.join(gone.select(F.col("doc_id").alias("__gone")), F.col("doc_id") == F.col("__gone"), "left_anti")
+    return others.unionByName(left.dropDuplicates(["doc_id"]))
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
