@@ -230,3 +230,67 @@ def fill_land(cells: DataFrame, grid: Grid, fields: list[str], cfg: FilterConfig
         return out
 
     return cells.select(*keys, "ilat", "ilon", *fields).groupBy(*keys).applyInPandas(one, schema)
+
+
+class TensorOperator(Operator):
+    """The symmetric tensor (uu, uv, vv) of a scalar and a vector (vector=True: v_r, v_lon, v_lat) or of a scalar and two potentials (v_r, phi, psi); damp adds that multiple of the unknowns as rows."""
+
+    def __init__(self, grid: Grid, cfg: FilterConfig, vector: bool, damp: float = 0.0):
+        super().__init__(grid, cfg, 0.0, False)
+        lat = np.array(grid.lats)
+        open_ = np.abs(np.degrees(np.abs(lat)) - 90) >= 0.01
+        self.open = open_[:, None] * np.ones(self.shape)
+        cos = np.where(open_, np.cos(lat), 1.0)
+        self.sec, self.tan = (1 / cos)[:, None], np.where(open_, np.tan(np.where(open_, lat, 0)), 0)[:, None]
+        self.vector, self.damp = vector, damp
+
+    def _mixed(self, f: np.ndarray) -> np.ndarray:
+        return self.sec * (self.tan * self._x(f, self.dx) + self._x(self._y(f, self.dy), self.dx))
+
+    def _mixed_t(self, g: np.ndarray) -> np.ndarray:
+        return self._xt(self.sec * self.tan * g, self.dx) + self._yt(self._xt(self.sec * g, self.dx), self.dy)
+
+    def tensor(self, r: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if self.vector:
+            uu = r + self.sec * self._x(a, self.dx) - self.tan * b
+            uv = 0.5 * (self.tan * a + self._y(a, self.dy) + self.sec * self._x(b, self.dx))
+            vv = r + self._y(b, self.dy)
+        else:
+            uu = r + self.sec**2 * self._x(a, self.dxx) - self.tan * self._y(a, self.dy) - self._mixed(b)
+            uv = self._mixed(a) + 0.5 * (-self.tan * self._y(b, self.dy) - self._y(b, self.dyy) + self.sec**2 * self._x(b, self.dxx))
+            vv = r + self._y(a, self.dyy) + self._mixed(b)
+        return uu * self.open, uv * self.open, vv * self.open
+
+    def apply(self, x: np.ndarray) -> np.ndarray:
+        out = [p.reshape(-1) for p in self.tensor(*x.reshape(3, *self.shape))]
+        return np.concatenate([*out, self.damp * x] if self.damp else out)
+
+    def transpose(self, y: np.ndarray) -> np.ndarray:
+        n = self.shape[0] * self.shape[1]
+        uu, uv, vv = (p * self.open for p in y[: 3 * n].reshape(3, *self.shape))
+        if self.vector:
+            a = self._xt(self.sec * uu, self.dx) + 0.5 * (self.tan * uv + self._yt(uv, self.dy))
+            b = -self.tan * uu + 0.5 * self._xt(self.sec * uv, self.dx) + self._yt(vv, self.dy)
+        else:
+            a = self._xt(self.sec**2 * uu, self.dxx) - self._yt(self.tan * uu, self.dy) + self._mixed_t(uv) + self._yt(vv, self.dyy)
+            b = -self._mixed_t(uu) + 0.5 * (-self._yt(self.tan * uv, self.dy) - self._yt(uv, self.dyy) + self._xt(self.sec**2 * uv, self.dxx)) + self._mixed_t(vv)
+        out = np.concatenate([(uu + vv).reshape(-1), a.reshape(-1), b.reshape(-1)])
+        return out + self.damp * y[3 * n :] if self.damp else out
+
+
+def decompose_tensor(cells: DataFrame, grid: Grid, cfg: FilterConfig = FilterConfig(), vector: bool = False, steps: int = 500, tolerance: float = 1e-10, damp: float = 0.0, keys: list[str] | None = None, seed: tuple[str, str, str] | None = None) -> DataFrame:
+    """(keys, ilat, ilon, v_r, v_a, v_b, uu_fit, uv_fit, vv_fit): least-squares scalar and vector (or potentials) of the tensor columns uu, uv, vv. What a seed gives is subtracted first and added back."""
+    keys = ["itime", "idepth"] if keys is None else keys
+    names = ["v_r", "v_a", "v_b", "uu_fit", "uv_fit", "vv_fit"]
+    schema = ", ".join([*[f"{k} int" for k in keys], "ilat int, ilon int", *[f"{n} double" for n in names]])
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        op = TensorOperator(grid, cfg, vector, damp)
+        n = op.shape[0] * op.shape[1]
+        base = np.concatenate([_field(pdf, c, op.shape).reshape(-1) for c in seed]) if seed else np.zeros(3 * n)
+        rhs = np.concatenate([(_field(pdf, c, op.shape) * op.open).reshape(-1) for c in ("uu", "uv", "vv")]) - op.apply(base)[: 3 * n]
+        x, _ = least_squares(op.apply, op.transpose, np.concatenate([rhs, np.zeros(3 * n)]) if damp else rhs, np.zeros(3 * n), steps, tolerance)
+        parts = (x + base).reshape(3, *op.shape)
+        return _frame(grid, {k: pdf[k].iloc[0] for k in keys}, dict(zip(names, [*parts, *op.tensor(*parts)], strict=True)))
+
+    return cells.select(*keys, "ilat", "ilon", "uu", "uv", "vv", *(seed or ())).groupBy(*keys).applyInPandas(one, schema)

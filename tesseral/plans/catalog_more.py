@@ -396,6 +396,18 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return solve.helmholtz(flat(spark, sf_dir), GRID, how=solve.Projection(steps=200, potential=False), u="u", v="v")
 
 
+@query("h10_tensor_decomposition")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = flat(spark, sf_dir).select(*KEYS, *PLACE, F.expr("u * u").alias("uu"), F.expr("u * v").alias("uv"), F.expr("v * v").alias("vv"))
+    return solve.decompose_tensor(df, GRID, steps=200)
+
+
+@query("h11_tensor_of_vector", f"with {FLAT}, {_both('g', 'flat', ['u', 'v'])} select ilat, ilon, {rounded(uu='ssh + dlon_u / cos(lat) - tan(lat) * v', uv='0.5 * (tan(lat) * u + dlat_u + dlon_v / cos(lat))', vv='ssh + dlat_v')} from g")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = GRID.located(calculus.spherical_gradients(flat(spark, sf_dir), GRID, ["u", "v"], KEYS), CFG)
+    return out(df, PLACE, uu="ssh + dlon_u / cos(lat) - tan(lat) * v", uv="0.5 * (tan(lat) * u + dlat_u + dlon_v / cos(lat))", vv="ssh + dlat_v")
+
+
 _PLANE = Grid.plane(18, 36, 10e3, 10e3)
 
 
