@@ -128,9 +128,12 @@ def _count(batches: Iterator[pa.RecordBatch], p: Params, trusted: np.ndarray) ->
 
 
 def trusted_ids(labels: DataFrame, id_col: str, p: Params) -> np.ndarray:
-    """Ids of at most p.trusted rows with quality 1 and not toxic, the least by hash."""
-    good = labels.where("quality = 1 and coalesce(toxic, 0) = 0").select(F.col(id_col).cast("long").alias("id")).dropna()
-    return np.array(sorted(r.id for r in good.orderBy(F.xxhash64("id"), "id").limit(p.trusted).collect()), np.int64)
+    """Ids of about p.trusted rows with quality 1 and not toxic at most: all, or those whose hash lies below a share."""
+    good = labels.where("quality = 1 and coalesce(toxic, 0) = 0").select(F.col(id_col).cast("long").alias("id")).dropna().distinct()
+    share = p.trusted / max(1, good.count())
+    if share < 1:
+        good = good.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    return np.array(sorted(r.id for r in good.collect()), np.int64)
 
 
 def fit(docs: DataFrame, trusted: np.ndarray, id_col: str = "doc_id", text_col: str = "text", params: Params = Params()) -> np.ndarray:
