@@ -33,3 +33,12 @@ def test_stages_on_odd_rows(spark):
         for _, stage in corpus_pipeline.STAGES:
             frame = materialize(stage(spark, frame, SF), "stage")
         frame.count()
+
+
+def test_dedup_links_from_four_fifths(spark):
+    words = [f"w{k}" for k in range(104)]
+    edited = lambda at: [f"x{k}" if k in at else w for k, w in enumerate(words)]
+    # Each edit changes 5 of 100 shingles: two leave 90 of 110 (0.82), three leave 85 of 115 (0.74).
+    texts = {1: words, 2: edited({20, 60}), 10: [f"y{w}" for w in words], 11: [f"y{w}" for w in edited({20, 50, 80})]}
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in texts.items()], "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.dedup_stage(spark, docs, SF).collect()} == {1, 10, 11}
