@@ -184,8 +184,10 @@ def trajectory_correlation(points: DataFrame, pairs: list[tuple[str, str]], key:
     return points.groupBy(key).agg(*[F.avg(n).alias(f"mean_{n}") for n in names], *[F.corr(a, b).alias(f"corr_{a}_{b}") for a, b in pairs])
 
 
-def subset_means(cells: DataFrame, group: str, groups: list, size: int, fields: list[str], by: list[str]) -> DataFrame:  # noqa: ANN001
-    """(subset, by, <f>): means over every combination of `size` of the groups. The table of combinations is joined, not looped over."""
+def subset_means(cells: DataFrame, group: str, groups: list | None, size: int, fields: list[str], by: list[str]) -> DataFrame:  # noqa: ANN001
+    """(subset, by, <f>): means over every combination of `size` of the groups, None: of all that cells hold. The table of combinations is joined, not looped over."""
+    if groups is None:
+        groups = sorted(r[0] for r in cells.select(group).where(F.col(group).isNotNull()).distinct().collect())
     rows = [(k, g) for k, own in enumerate(combinations(groups, size)) for g in own]
     table = cells.sparkSession.createDataFrame(rows, f"subset int, `{group}` {dict(cells.dtypes)[group]}")
     return cells.join(table, group).groupBy("subset", *by).agg(*[F.avg(f).alias(f) for f in fields])

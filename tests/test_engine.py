@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -239,6 +240,12 @@ def test_region_means_of_a_constant(spark):
     assert all(math.isclose(r.f_area_average, 7, rel_tol=1e-12) and r.f_area_std_dev < 1e-9 for r in rows)
 
 
+def test_subset_means_take_all_groups(spark):
+    df = spark.createDataFrame([(t, 0, float(2**t)) for t in range(7)], "itime int, idepth int, u double")
+    got = {r.subset: r.u for r in aggregate.subset_means(df, "itime", None, 3, ["u"], ["idepth"]).collect()}
+    assert got == {k: sum(2.0**t for t in own) / 3 for k, own in enumerate(combinations(range(7), 3))} and len(got) == 35
+
+
 def test_median_is_the_upper_one(spark):
     df = spark.createDataFrame([(0, 0, 0, k, float(v)) for k, v in enumerate([1, 2, 3, 4])] + [(0, 0, 1, 0, None)], "itime int, idepth int, ilat int, ilon int, f double")
     assert {r.ilat: r.f_zonal_median for r in aggregate.zonal_median(df, ["f"], water="f is not null").collect()} == {0: 3.0, 1: None}
