@@ -278,8 +278,26 @@ class TensorOperator(Operator):
         return out + self.damp * y[3 * n :] if self.damp else out
 
 
+def _by_waves(op: TensorOperator, rhs: np.ndarray) -> np.ndarray:
+    """The least-squares solution of least norm on a periodic longitude, whose waves are independent: one dense system of 3 * nlat unknowns each."""
+    nlat, nlon = op.shape
+    at = np.unique(np.concatenate([-d[0][0] % nlon for d in (op.dx, op.dxx)] + [[0]]))
+    columns = []
+    for k in range(3 * nlat):
+        e = np.zeros((3 * nlat, nlon))
+        e[k, 0] = 1
+        columns.append(op.apply(e.reshape(-1)).reshape(-1, nlon)[:, at])
+    columns = np.stack(columns, axis=1)
+    waves = np.fft.rfft(rhs.reshape(-1, nlon), axis=1)
+    x = np.zeros((3 * nlat, waves.shape[1]), complex)
+    for m in range(waves.shape[1]):
+        a = columns @ np.exp(-2j * np.pi * m * at / nlon)
+        x[:, m] = np.linalg.lstsq(a, waves[:, m], rcond=1e-13)[0]
+    return np.fft.irfft(x, nlon, axis=1).reshape(-1)
+
+
 def decompose_tensor(cells: DataFrame, grid: Grid, cfg: FilterConfig = FilterConfig(), vector: bool = False, steps: int = 500, tolerance: float = 1e-10, damp: float = 0.0, keys: list[str] | None = None, seed: tuple[str, str, str] | None = None) -> DataFrame:
-    """(keys, ilat, ilon, v_r, v_a, v_b, uu_fit, uv_fit, vv_fit): least-squares scalar and vector (or potentials) of the tensor columns uu, uv, vv. What a seed gives is subtracted first and added back."""
+    """(keys, ilat, ilon, v_r, v_a, v_b, uu_fit, uv_fit, vv_fit): least-squares scalar and vector (or potentials) of the tensor columns uu, uv, vv. What a seed gives is subtracted first and added back. A periodic longitude is solved directly, others in steps, which fail beyond `steps` of them."""
     keys = ["itime", "idepth"] if keys is None else keys
     names = ["v_r", "v_a", "v_b", "uu_fit", "uv_fit", "vv_fit"]
     schema = ", ".join([*[f"{k} int" for k in keys], "ilat int, ilon int", *[f"{n} double" for n in names]])
@@ -289,7 +307,13 @@ def decompose_tensor(cells: DataFrame, grid: Grid, cfg: FilterConfig = FilterCon
         n = op.shape[0] * op.shape[1]
         base = np.concatenate([_field(pdf, c, op.shape).reshape(-1) for c in seed]) if seed else np.zeros(3 * n)
         rhs = np.concatenate([(_field(pdf, c, op.shape) * op.open).reshape(-1) for c in ("uu", "uv", "vv")]) - op.apply(base)[: 3 * n]
-        x, _ = least_squares(op.apply, op.transpose, np.concatenate([rhs, np.zeros(3 * n)]) if damp else rhs, np.zeros(3 * n), steps, tolerance)
+        rhs = np.concatenate([rhs, np.zeros(3 * n)]) if damp else rhs
+        if cfg.periodic_x:
+            x = _by_waves(op, rhs)
+        else:
+            x, taken = least_squares(op.apply, op.transpose, rhs, np.zeros(3 * n), steps, tolerance)
+            if taken >= steps:
+                raise ValueError(f"the tensor decomposition has not converged in {steps} steps")
         parts = (x + base).reshape(3, *op.shape)
         return _frame(grid, {k: pdf[k].iloc[0] for k in keys}, dict(zip(names, [*parts, *op.tensor(*parts)], strict=True)))
 

@@ -195,6 +195,22 @@ def test_tensor_operator(spark, vector):
     assert got[0] < (0.2 if vector else 0.8) * got[1]  # second derivatives converge slowly
 
 
+@pytest.mark.parametrize("vector,damp", [(True, 0.0), (False, 0.0), (False, 0.3)])
+def test_tensor_decomposition_is_the_least_squares_one(spark, vector, damp):
+    grid = Grid.degrees(9, 12, -80.0, 20.0, -165.0, 30.0)
+    rng = np.random.default_rng(2)
+    data = rng.normal(size=(3, grid.nlat, grid.nlon))
+    rows = [(0, 0, i, j, *map(float, data[:, i, j])) for i in range(grid.nlat) for j in range(grid.nlon)]
+    df = spark.createDataFrame(rows, "itime int, idepth int, ilat int, ilon int, uu double, uv double, vv double")
+    out = solve.decompose_tensor(df, grid, vector=vector, damp=damp)
+    got = np.stack([as_array(out, grid, c) for c in ("uu_fit", "uv_fit", "vv_fit")]).reshape(-1)
+    op = solve.TensorOperator(grid, CFG, vector, damp)
+    dense = np.stack([op.apply(e) for e in np.eye(3 * grid.nlat * grid.nlon)], axis=1)
+    rhs = np.concatenate([data.reshape(-1), np.zeros(len(dense) - data.size)])
+    want = (dense @ np.linalg.lstsq(dense, rhs, rcond=1e-13)[0])[: data.size]
+    assert np.linalg.norm(got - want) < 1e-6 * np.linalg.norm(data)
+
+
 def test_sharp_filter_keeps_long_waves(spark):
     grid = Grid.plane(16, 32, 1e3, 1e3)
     df = densify(spark.createDataFrame([], "ilat int, ilon int"), grid, []).select(F.lit(0).alias("itime"), F.lit(0).alias("idepth"), "ilat", "ilon", F.expr("cos(2 * pi() * ilon / 32)").alias("a"), F.expr("cos(2 * pi() * 8 * ilon / 32)").alias("b"))
