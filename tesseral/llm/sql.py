@@ -50,9 +50,9 @@ from d left join hit using (r) left join items using (r)"""
 
 
 ORACLES["op6_mixing"] = r"""
-with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size, case when source is null then 'n' else 's' || source end as name from documents),
-k as (select *, md5('mix|' || name || '|' || coalesce(cast(doc_id as varchar), '')) as place from d),
-b as (select *, substr(place, 1, 2) as block from k),
+with d as (select doc_id, source, text, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size, case when source is null then 'n' else 's' || source end as name from documents),
+k as (select *, md5('mix|' || name || '|' || coalesce(cast(doc_id as varchar), md5(text), '')) as place from d),
+b as (select *, substr(place, 1, (select 2 + (count(*) > 32768 * 256)::int + (count(*) > 32768 * 4096)::int from documents)) as block from k),
 src as (select source, name, sum(size)::double as s from b group by all),
 ranked as (select *, [3.0, 1.0, 2.0][((row_number() over (order by source nulls last) - 1) % 3 + 1)::int] as w from src),
 lev as (select *, 2 * s as full_, (sum(s) over () * 1.5 - coalesce(sum(2 * s) over (order by 2 * s / w, source nulls last rows between unbounded preceding and 1 preceding), 0)) / (sum(w) over () - coalesce(sum(w) over (order by 2 * s / w, source nulls last rows between unbounded preceding and 1 preceding), 0)) as level from ranked),

@@ -321,6 +321,42 @@ def test_mixing_shards_are_even(spark):
     assert len(shards) == 16 and max(shards.values()) < 2 * min(shards.values())
 
 
+def test_splitting_tree_keeps_quotas(spark):
+    """Every source's quota is dealt out whole, every shard gets its half of halves, by packs of few sources."""
+    quotas = {f"s{k}": (k * 37) % 23 + (900 if k == 5 else 0) + 1 for k in range(60)}
+    frame = spark.createDataFrame(list(quotas.items()), "name string, quota long")
+    p = mixing.Params(pack=7, levels=3)
+    got = {r.name: list(r.shares) for r in mixing.shard_quotas(frame, p).collect()}
+    assert got == {r.name: list(r.shares) for r in mixing.shard_quotas(frame.repartition(3), p).collect()}
+    assert {k: sum(v) for k, v in got.items()} == quotas and all(min(v) >= 0 and len(v) == 8 for v in got.values())
+    sizes = [sum(quotas.values())]
+    for _ in range(3):
+        sizes = [x for n in sizes for x in (n // 2, n - n // 2)]
+    assert [sum(v[k] for v in got.values()) for k in range(8)] == sizes
+    # The hot source's share of each shard has the spread of draws without replacement, not of an even deal.
+    assert len(set(got["s5"])) > 1 and max(got["s5"]) < 2 * min(got["s5"])
+    assert mixing.shard_quotas(frame.limit(0), p).count() == 0
+
+
+def test_mixing_draws_are_disjoint(spark):
+    """A document drawn twice stands in two draws of its block; copies and shards are one thing."""
+    docs = make(spark, [(k, "word " * (k % 7 + 1), None, f"s{k % 5}" if k % 3 else "hot") for k in range(2000)])
+    plan = mixing.plan_mix(docs).collect()
+    drawn = mixing.mix(docs).select("doc_id", "mix_copy", "mix_shard", "mix_place").collect()
+    assert sorted((r.doc_id, k + 1, s) for r in plan for k, s in enumerate(r.shards)) == sorted((r.doc_id, r.mix_copy, r.mix_shard) for r in drawn)
+    assert len({r.mix_place for r in drawn}) == len(drawn) and {r.mix_shard for r in drawn} == set(range(16))
+
+
+def test_mixing_ranks_many_sources(spark):
+    names = [f"d{(k * 7919) % 5003:05d}" for k in range(5000)]
+    docs = make(spark, [(k, "a b c", None, n) for k, n in enumerate(names)])
+    weight = {n: (3, 1, 2)[k % 3] for k, n in enumerate(sorted(set(names)))}
+    got = {r.source: r.target for r in mixing.plan_mix(docs).collect()}
+    top = max(got.values())
+    assert all(math.isclose(t, {3: top, 1: min(got.values()), 2: 2 * min(got.values())}[weight[n]], rel_tol=1e-9) for n, t in got.items())
+    assert math.isclose(sum(got.values()), 1.5 * 15_000, rel_tol=1e-9)
+
+
 def test_token_counts(docs, rows):
     enc = tokens.encoder(tokens.Params())
     lengths = [len(enc.encode_ordinary(t)) if t else 0 for _, t, *_ in rows]
