@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -39,13 +40,55 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+_held: list[set[str]] = []
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: lineage is cut, lost executors lose nothing."""
+    """Writes df as Parquet in the shared folder and reads it back: lineage is cut, lost executors lose nothing. Inside stored() the table goes at the end."""
     spark = df.sparkSession
     small_batches(spark)
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if _held:
+        _held[-1].add(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_path = path
+    return out
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        jvm = spark.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    except (AttributeError, NotImplementedError):
+        # A remote session has no file system of its own: an empty table takes the place of the rows.
+        spark.range(0).write.mode("overwrite").parquet(path)
+
+
+@contextmanager
+def stored(spark: SparkSession) -> Iterator:
+    """Tables that materialize() stores inside are removed at the end, but for those given to the function that it yields; these belong to the stored() around, if there is one."""
+    own: set[str] = set()
+    kept: set[str] = set()
+    _held.append(own)
+    try:
+        yield lambda *tables: kept.update(t._stored_path for t in tables)
+    finally:
+        _held.pop()
+        for path in own - kept:
+            _remove(spark, path)
+        if _held:
+            _held[-1].update(kept)
+
+
+#: A table of at most so many narrow rows (some 40 bytes each) is broadcast; beyond it the join is a shuffle.
+BROADCAST_ROWS = 400_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A stored table of narrow rows, marked for broadcast if its count, which its files hold, allows it."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def crc32_of_id(c: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, stored
 
 
 def _star(pairs: DataFrame) -> DataFrame:
@@ -34,8 +34,10 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         if _settled(now):
             return materialize(now.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.col("v").alias("comp")), "components")
-        both = now.unionByName(now.where("u != v").select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = materialize(_star(both).where("v >= u").select(F.col("v").alias("u"), F.col("m").alias("v")), "large")
-        small = _star(large).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        now = materialize(small.distinct(), "star")
+        with stored(edges.sparkSession) as keep:
+            both = now.unionByName(now.where("u != v").select(F.col("v").alias("u"), F.col("u").alias("v")))
+            large = materialize(_star(both).where("v >= u").select(F.col("v").alias("u"), F.col("m").alias("v")), "large")
+            small = _star(large).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
+            now = materialize(small.distinct(), "star")
+            keep(now)
     raise RuntimeError("components did not settle")
