@@ -29,7 +29,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize
+from .common import WORD, materialize, stored
 
 
 @dataclass(frozen=True)
@@ -152,7 +152,14 @@ def shard_quotas(quotas: DataFrame, p: Params = Params()) -> DataFrame:
 
 
 def _drawn(docs: DataFrame, id_col: str, text_col: str, source_col: str, p: Params) -> tuple[DataFrame, DataFrame, int]:
-    """The rows of docs as _sized() says, the plan (one row for each source and block, stored), and the digits of a block."""
+    """The rows of docs as _sized() says, the plan (one row for each source and block), both stored, and the digits of a block."""
+    with stored(docs.sparkSession) as keep:
+        sized, plan, digits = _planned(docs, id_col, text_col, source_col, p)
+        keep(sized, plan)
+    return sized, plan, digits
+
+
+def _planned(docs: DataFrame, id_col: str, text_col: str, source_col: str, p: Params) -> tuple[DataFrame, DataFrame, int]:
     digits = block_digits(docs.count(), p)
     sized = materialize(docs.select(*_sized(docs, id_col, text_col, source_col, p, digits)), "sized")
     blocks = sized.groupBy("name", "block").agg(F.first("source").alias("source"), F.sum("size").alias("block_size"))
