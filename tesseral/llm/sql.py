@@ -20,8 +20,11 @@ ruled as (
     where (host = rhost or ends_with(host, '.' || rhost)) and starts_with(path, rpath)) as best
   from cut)
 select page_id, host, path, best.r as rule,
-  coalesce(best.v, case when regexp_matches(host, '(^|[.-])(cheap|buy|online)-pills?[.-]|(^|[.-])free-bets?[.-]|(^|[.-])casinos?[0-9]*[.-]|(^|[.-])(xxx|porn)[0-9]*\.|^(ads?|track|pixel)\.[^ ]+$')
-    then 'block' else 'allow' end) as verdict
+  coalesce(best.v, case
+    when regexp_matches(host, '(^|[.-])(cheap|buy|online)-pills?[.-]|(^|[.-])free-bets?[.-]|(^|[.-])casinos?[0-9]*[.-]|(^|[.-])(xxx|porn)[0-9]*\.') then 'block'
+    when regexp_matches(host, '^(ads?|track|pixel)\.[^ ]+$|(^|[.-])(spam|link)-farms?[.-]') then 'block'
+    when starts_with(path, '/wp-login.php') or starts_with(path, '/cgi-bin/') or regexp_matches(path, '\.(exe|apk|torrent)$') then 'block'
+    else 'allow' end) as verdict
 from ruled"""
 
 ORACLES["op10_warc"] = """
