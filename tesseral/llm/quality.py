@@ -8,7 +8,7 @@ is score >= threshold: deterministic, no sampling of documents.
 Defined results: null and empty texts have zero words and fail the rules; texts
 shorter than an n-gram score 0; without trusted rows every score is 0 and only
 the rules decide; repeated rows count as often as they stand; an empty table
-gives an empty result. Only the named columns are read.
+gives an empty result. Ids may have any type. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import CHUNK_BYTES, Texts, chunks, seeds, summed_vectors, windows
@@ -114,8 +114,7 @@ def _count(batches: Iterator[pa.RecordBatch], p: Params, trusted: np.ndarray) ->
     total = np.zeros((2, p.buckets))
     with np.errstate(over="ignore"):
         for batch in batches:
-            ids = batch.column(0).fill_null(np.iinfo(np.int64).min).to_numpy()
-            good = np.isin(ids, trusted)
+            good = np.isin(batch.column(0).to_numpy(), trusted)
             for at, to, texts in chunks(batch.column(1)):
                 bucket, counts = _buckets(texts, p)
                 total[0] += np.bincount(bucket, minlength=p.buckets)
@@ -127,9 +126,14 @@ def _count(batches: Iterator[pa.RecordBatch], p: Params, trusted: np.ndarray) ->
         yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([part % 16], pa.int32()), pa.array([total[:, b * step : (b + 1) * step].tobytes()], pa.binary())], names=["block", "salt", "data"])
 
 
+def _hashed(id_col: str) -> Column:
+    """A hash of the id as text, 0 for null, so that ids may have any type."""
+    return F.coalesce(F.xxhash64(F.col(f"`{id_col}`").cast("string")), F.lit(0)) * F.col(f"`{id_col}`").isNotNull().cast("long")
+
+
 def trusted_ids(labels: DataFrame, id_col: str, p: Params) -> np.ndarray:
-    """Ids of about p.trusted rows with quality 1 and not toxic at most: all, or those whose hash lies below a share."""
-    good = labels.where("quality = 1 and coalesce(toxic, 0) = 0").select(F.col(id_col).cast("long").alias("id")).dropna().distinct()
+    """Hashed ids of about p.trusted rows with quality 1 and not toxic at most: all, or those whose hash lies below a share."""
+    good = labels.where("quality = 1 and coalesce(toxic, 0) = 0").where(F.col(f"`{id_col}`").isNotNull()).select(_hashed(id_col).alias("id")).distinct()
     share = p.trusted / max(1, good.count())
     if share < 1:
         good = good.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30)))
@@ -141,7 +145,7 @@ def fit(docs: DataFrame, trusted: np.ndarray, id_col: str = "doc_id", text_col:
     p = params
     if not len(trusted):
         return np.zeros(p.buckets, np.float32)
-    rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
+    rows = docs.select(_hashed(id_col), F.col(text_col).cast("string"))
     parts = summed_vectors(rows.mapInArrow(lambda it: _count(it, p, trusted), "block int, salt int, data binary"))
     if not parts:
         return np.zeros(p.buckets, np.float32)
@@ -159,13 +163,15 @@ def _score(batches: Iterator[pa.RecordBatch], p: Params, ratio: np.ndarray) -> I
             for at, to, texts in chunks(batch.column(1), CHUNK_BYTES // 2):
                 rules = rule_counts(texts, p)
                 bucket, counts = _buckets(texts, p)
-                total = np.concatenate(([0.0], np.cumsum(ratio[bucket], dtype=np.float64)))
                 size = np.diff(counts)
-                score = (total[counts[1:]] - total[counts[:-1]]) / np.maximum(size, 1)
+                # Each text is summed by itself and rounded before it is compared, so that its neighbours decide nothing.
+                score = np.zeros(len(texts))
+                score[size > 0] = np.add.reduceat(ratio[bucket].astype(np.float64), counts[:-1][size > 0]) if len(bucket) else 0.0
+                score = np.round(score / np.maximum(size, 1), 6)
                 n, rep = rules["n_words"], rules["n_repeat_words"]
                 failed = (n < p.least_words) | (100 * rep > p.most_repeat * n)
                 kept = ~failed & (score >= p.threshold)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), *[pa.array(rules[c].astype(np.int64)) for c in names], pa.array(failed), pa.array(kept), pa.array(np.round(score, 6))], names=["doc_id", *names, "base_failed", "kept", "score"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), *[pa.array(rules[c].astype(np.int64)) for c in names], pa.array(failed), pa.array(kept), pa.array(score)], names=["doc_id", *names, "base_failed", "kept", "score"])
 
 
 SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, score double"
@@ -173,8 +179,8 @@ SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_rep
 
 def judge(docs: DataFrame, ratio: np.ndarray, id_col: str = "doc_id", text_col: str = "text", params: Params = Params()) -> DataFrame:
     """doc_id, rule counts, base_failed, kept, score of every row."""
-    rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    return rows.mapInArrow(lambda it: _score(it, params, ratio), f"doc_id long, {SCHEMA}")
+    rows = docs.select(F.col(id_col), F.col(text_col).cast("string"))
+    return rows.mapInArrow(lambda it: _score(it, params, ratio), f"doc_id {docs.schema[id_col].dataType.simpleString()}, {SCHEMA}")
 
 
 def _filter(batches: Iterator[pa.RecordBatch], p: Params, ratio: np.ndarray, at: int) -> Iterator[pa.RecordBatch]:

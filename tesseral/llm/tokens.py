@@ -6,7 +6,8 @@ for any context limit: documents that exceed it, tokens kept when texts are cut
 there, quantiles.
 
 Defined results: null and empty texts have length 0; repeated rows count as often
-as they stand; an empty table gives no rows; only the named text column is read.
+as they stand; an empty table gives no rows, and null for every quantile; ids may
+have any type; only the named columns are read.
 Texts that look like special tokens are ordinary text.
 """
 
@@ -48,8 +49,8 @@ def _lengths(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.Record
 
 def token_lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: Params = Params()) -> DataFrame:
     """doc_id, n_tokens of every row."""
-    rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    return rows.mapInArrow(lambda it: _lengths(it, params), "doc_id long, n_tokens long")
+    rows = docs.select(F.col(id_col), F.col(text_col).cast("string"))
+    return rows.mapInArrow(lambda it: _lengths(it, params), f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_tokens long")
 
 
 def length_histogram(lengths: DataFrame) -> DataFrame:
