@@ -11,7 +11,8 @@ and form components of their own; texts with fewer words than a shingle have the
 whole sequence as their one shingle; repeated rows are copies of one document;
 rows that share an id are one vertex of the link graph; a null id takes no
 part (component null, kept). An empty table gives an empty result. Only the
-named id and text columns are read, so that extra columns never clash.
+named id and text columns are read, so that extra columns never clash. Ids are
+integers, as components are named by the least of them; a text id fails the job.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Texts, as_long, chunks, likely_in, materialize, mix, seeds, windows
+from .common import Texts, as_long, chunks, likely_in, materialize, mix, seeds, small, stored, windows
 from .graph import connected_components
 
 
@@ -147,7 +148,9 @@ def verify(pairs: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
     asked = pairs.select("a", "b", F.ceil(F.col("c") / p.block).cast("int").alias("k")).withColumn("blk", F.pmod(F.xxhash64("b"), F.col("k")).cast("int"))
     members = asked.select(F.col("b").alias("node"), "a", "k", "blk", F.lit(1).alias("role"))
     centres = asked.select(F.col("a").alias("node"), "a", "k", "blk", F.lit(0).alias("role")).distinct()
-    rows = members.unionByName(centres).join(texts, "node").select("a", "k", "blk", "role", "node", "text").repartition("a", "k", "blk").sortWithinPartitions("a", "k", "blk", "role")
+    # What to compare is narrow and stored first: up to a size that its count proves it goes to the texts, which then are shuffled once.
+    sides = small(materialize(members.unionByName(centres), "sides"))
+    rows = texts.join(sides, "node").select("a", "k", "blk", "role", "node", "text").repartition("a", "k", "blk").sortWithinPartitions("a", "k", "blk", "role")
     return materialize(rows.mapInArrow(lambda it: _verify_rows(it, p), "src long, dst long"), "links")
 
 
@@ -173,7 +176,7 @@ def _prefix_pairs(texts: DataFrame, p: Params) -> tuple[DataFrame, DataFrame]:
     """
     tokens = materialize(texts.select("node", "comp", "text").mapInArrow(lambda it: _shingle_rows(it, p), "node long, comp long, n long, h long"), "shingles")
     often = tokens.groupBy("h").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("h", "c")
-    common = tokens.join(materialize(often, "often"), "h")
+    common = tokens.join(small(materialize(often, "often")), "h")
     own = Window.partitionBy("node")
     placed = common.withColumn("place", F.row_number().over(own.orderBy("c", "h")) + F.col("n") - F.count("*").over(own))
     index = placed.where(f"place <= n - ({p.percent} * n + 99) div 100 + 1").select("h", "c", "node", "comp", "n")
@@ -181,7 +184,7 @@ def _prefix_pairs(texts: DataFrame, p: Params) -> tuple[DataFrame, DataFrame]:
     sizes = index.groupBy("h", "comp").agg(F.count("*").alias("k"))
     main = sizes.groupBy("h").agg(F.max(F.struct("k", "comp")).alias("s"), F.count("*").alias("comps"), F.sum("k").alias("t")).where("comps > 1")
     main = materialize(main.select("h", F.col("s.comp").alias("main"), (F.expr("(t - s.k) * t") > p.pairs).alias("hot")), "main")
-    several = materialize(index.join(main, "h"), "several")
+    several = materialize(index.join(small(main), "h"), "several")
     cool = several.where("not hot")
     minor = cool.where("comp != main").select("h", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), "main")
     pairs = minor.join(cool.drop("main", "hot"), "h").where(f"comp != ca and (comp = main or node < a) and {p.percent} * greatest(n, na) <= 100 * least(n, na)")
@@ -244,17 +247,27 @@ def _verify_blocks(hot: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
     nodes = materialize(hot.select("node", "comp").distinct().join(fams.select("node", F.col("comp").alias("fam")), "node"), "nodes")
     sizes = nodes.groupBy("fam", "comp").agg(F.count("*").alias("k")).groupBy("fam").agg(F.max(F.struct("k", "comp")).alias("s"), F.sum("k").alias("t"))
     parts = sizes.select("fam", F.col("s.comp").alias("main"), F.ceil(F.col("t") / p.side).cast("int").alias("nj"), F.ceil(F.expr("t - s.k") / p.side).cast("int").alias("ni"))
-    nodes = nodes.join(materialize(parts, "parts"), "fam")
+    nodes = nodes.join(small(materialize(parts, "parts")), "fam")
     at = F.xxhash64("node")
     rows = nodes.select("node", "comp", "fam", F.lit(1).alias("role"), F.explode(F.sequence(F.lit(0), F.col("ni") - 1)).alias("i"), F.pmod(at, "nj").cast("int").alias("j")).where("ni > 0")
     own = nodes.where("comp != main").select("node", "comp", "fam", F.lit(0).alias("role"), F.pmod(at, "ni").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nj") - 1)).alias("j"))
-    units = rows.unionByName(own).join(texts, "node").select("fam", "i", "j", "role", "node", "comp", "text").repartition("fam", "i", "j").sortWithinPartitions("fam", "i", "j")
+    units = texts.join(small(materialize(rows.unionByName(own), "sides")), "node").select("fam", "i", "j", "role", "node", "comp", "text").repartition("fam", "i", "j").sortWithinPartitions("fam", "i", "j")
     return materialize(units.mapInArrow(lambda it: _block_rows(it, p), "src long, dst long").distinct(), "links")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: Params = Params()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row; see the module for the defined cases."""
-    p = params
+    with stored(docs.sparkSession) as keep:
+        sketched, named = _components(docs, id_col, text_col, params)
+        keep(sketched, named)
+    linkable = sketched.where("n > 0 and doc_id is not null")
+    whole = linkable.select("doc_id", "n", "fp1", "fp2").join(named, ["fp1", "fp2"]).select("doc_id", "n", "component_id")
+    alone = sketched.where("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    return whole.unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str, p: Params) -> tuple[DataFrame, DataFrame]:
+    """The stored sketches of all rows, and (fp1, fp2, component_id) of each different set."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sketched = materialize(docs.mapInArrow(lambda it: _sketch_rows(it, p), "doc_id long, n long, fp1 long, fp2 long, bands array<long>"), "sketched")
     linkable = sketched.where("n > 0 and doc_id is not null")
@@ -264,8 +277,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = materialize(banded.join(hubs, "bucket").select("bucket", "a", "q", "c", F.col("node").alias("b")), "members")
     stars = materialize(members.where("a != b").groupBy("a", "b").agg(F.max("c").alias("c")), "stars")
     involved = members.select(F.col("b").alias("node")).distinct()
+    involved = materialize(involved, "involved")
     near = likely_in(docs, "doc_id", involved, "node").withColumnRenamed("doc_id", "node")
-    texts = materialize(near.join(involved, "node").select("node", "text"), "texts")
+    texts = materialize(near.join(small(involved), "node").select("node", "text"), "texts")
 
     # One centre for each document first: most links need no more.
     first = stars.groupBy("b").agg(F.min(F.struct("a", "c")).alias("s")).select("s.a", "b", "s.c")
@@ -298,7 +312,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     mixed = materialize(mixed, "mixed")
     if mixed.head(1):
         nodes = held.join(mixed, "bucket").select(F.col("b").alias("node"), "comp").distinct()
-        rest, hot = _prefix_pairs(texts.join(materialize(nodes, "nodes"), "node"), p)
+        rest, hot = _prefix_pairs(texts.join(small(materialize(nodes, "nodes")), "node"), p)
         more = [verify(rest, texts, p)] if rest.head(1) else []
         more += [_verify_blocks(hot, texts, p)] if hot.head(1) else []
         more = [x for x in more if x.head(1)]
@@ -306,7 +320,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             comps = joined(more[0] if len(more) == 1 else more[0].unionByName(more[1]))
 
     named = classes.select("fp1", "fp2", "node").join(comps, "node", "left").select("fp1", "fp2", F.coalesce("comp", "node").alias("component_id"))
-    named = materialize(named, "named")
-    whole = linkable.select("doc_id", "n", "fp1", "fp2").join(named, ["fp1", "fp2"]).select("doc_id", "n", "component_id")
-    alone = sketched.where("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
-    return whole.unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return sketched, materialize(named, "named")
