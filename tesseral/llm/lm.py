@@ -1,16 +1,23 @@
 """Language-model scoring: a hashed maximum-entropy model with n-gram and skip features and a class-factored softmax.
 
-P(word | history) = P(class | history) P(word | class). The most frequent words
-and the end of a text are classes of their own, all others fall into classes by
-their last two bytes, so that any word has a class. The class softmax has hashed
-features: the word before, the word before that (skip), and the three classes
-before together; it is trained by minibatch gradient steps in every task at once,
-weights are then averaged by how often a task saw each feature. P(word | class)
-and the base score are add-one estimates over exact counts of all training tokens.
-
-Counts of frequent words (at most `frequent`, by a threshold on counts) and the
-weights are of fixed size and broadcast; all other words meet their counts in a
-join, in which no word is frequent.
+P(word | history) = P(class | history) P(word | class). A word's kind is the hash of
+its last three bytes, so that words never seen have one; the end of a text is a kind
+of its own. Kinds fall into classes by the company they keep: their counts beside
+other kinds, over all training tokens, are clustered, so that a class holds words of
+one language or trade. The class softmax has hashed features: the word before, the
+word before that (skip), and the three classes before together. It is trained by
+minibatch gradient steps in every task at once, in `rounds` passes over all training
+tokens; after each pass the tasks' weights are averaged by how often a task saw each
+feature. P(word | class) and the base score are add-one estimates over exact counts.
+
+The rows of the feature table grow with the square root of the different training
+words. Counts of frequent words (at most `frequent`, by a threshold on counts) and
+the weights are broadcast; all other words meet their counts in a join, in which no
+word is frequent.
+
+Counts, classes and base scores do not depend on how rows lie in files and tasks.
+Weights do, as each task takes steps in the order of its rows: another layout of
+the same rows gives scores that differ by about a hundredth of a digit a token.
 
 Defined results: a null or empty text is its end token alone; without training
 rows every word is unknown; repeated rows count as often as they stand; rows with
@@ -20,6 +27,7 @@ gives an empty result. Only the named columns are read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,11 +44,15 @@ END = np.uint64(0x5DEECE66D1234567)
 
 @dataclass(frozen=True)
 class Params:
-    """top: words that are classes; classes: all classes, with the end and those by ending; rows: hashed features."""
+    """classes: all classes, the end's among them; kinds: hashed word endings; contexts: hashed neighbours that classes follow from. share, least_rows, most_rows: hashed features are `share` times the root of the number of words, within bounds of memory."""
 
-    top: int = 11
     classes: int = 32
-    rows: int = 1 << 13
+    kinds: int = 2048
+    contexts: int = 128
+    share: int = 8
+    least_rows: int = 1 << 13
+    most_rows: int = 1 << 17
+    rounds: int = 2
     frequent: int = 1 << 17
     batch: int = 8192
     rate: float = 1.0
@@ -49,11 +61,11 @@ class Params:
 
 @dataclass
 class Model:
-    """hashes (sorted) and counts of frequent words; the class of each; logs of class totals; weights."""
+    """hashes (sorted) and counts of frequent words; the class of each kind; logs of class totals; weights."""
 
     hashes: np.ndarray
     counts: np.ndarray
-    own_class: np.ndarray
+    class_of: np.ndarray
     log_total: np.ndarray
     prior: np.ndarray
     weights: np.ndarray
@@ -62,23 +74,24 @@ class Model:
     table: DataFrame
 
 
-def _ending_class(texts: Texts, starts: np.ndarray, ends: np.ndarray, p: Params) -> np.ndarray:
-    if not len(ends):
-        return np.zeros(0, np.int64)
-    last = texts.data[ends - 1].astype(np.uint64)
-    prior = np.where(ends - starts > 1, texts.data[np.maximum(ends - 2, 0)], 0).astype(np.uint64)
-    lower = lambda b: b + np.uint64(32) * ((b >= 65) & (b <= 90)).astype(np.uint64)
-    return (p.top + 1 + (mix(lower(last) * np.uint64(256) + lower(prior) + np.uint64(77)) % np.uint64(p.classes - p.top - 1)).astype(np.int64)).astype(np.int64)
+def _ending_kind(texts: Texts, starts: np.ndarray, ends: np.ndarray, p: Params) -> np.ndarray:
+    """1 and up: the hash of a word's last three bytes, A-Z lower-cased."""
+    code = np.zeros(len(ends), np.uint64)
+    for k in (3, 2, 1):
+        there = ends - starts >= k
+        b = np.where(there, texts.data[np.maximum(ends - k, 0)] if len(ends) else 0, 0).astype(np.uint64)
+        code = code * np.uint64(256) + b + np.uint64(32) * ((b >= 65) & (b <= 90)).astype(np.uint64)
+    return 1 + (mix(code + np.uint64(77)) % np.uint64(p.kinds - 1)).astype(np.int64)
 
 
 def _sequence(texts: Texts, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Token hashes with an end after each document, the classes by ending (end: p.top), tokens before each document."""
+    """Token hashes with an end after each document, their kinds (end: 0), tokens before each document."""
     starts, ends, before = texts.words()
-    words, classes = texts.hashes(starts, ends, lower=True), _ending_class(texts, starts, ends, p)
+    words, own = texts.hashes(starts, ends, lower=True), _ending_kind(texts, starts, ends, p)
     at = np.arange(len(words)) + np.repeat(np.arange(len(texts)), np.diff(before))
     n = len(words) + len(texts)
-    tokens, kinds = np.full(n, END, np.uint64), np.full(n, p.top, np.int64)
-    tokens[at], kinds[at] = words, classes
+    tokens, kinds = np.full(n, END, np.uint64), np.zeros(n, np.int64)
+    tokens[at], kinds[at] = words, own
     return tokens, kinds, before + np.arange(len(texts) + 1)
 
 
@@ -102,19 +115,67 @@ def _count(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordBa
             yield row(held)
 
 
-def _lookup(tokens: np.ndarray, kinds: np.ndarray, hashes: np.ndarray, counts: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of frequent tokens (0: not frequent), classes of all."""
+def _lookup(tokens: np.ndarray, hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Counts of frequent tokens, 0 for others."""
     if not len(hashes) or not len(tokens):
-        return np.zeros(len(tokens), np.int64), kinds
+        return np.zeros(len(tokens), np.int64)
     values, back = np.unique(tokens, return_inverse=True)
     at = np.minimum(np.searchsorted(hashes, values), len(hashes) - 1)
-    known = hashes[at] == values
-    c = np.where(known, counts[at], 0)[back]
-    special = np.where(known, own[at], -1)[back]
-    return c, np.where(special >= 0, special, kinds)
+    return np.where(hashes[at] == values, counts[at], 0)[back]
 
 
-def _features(tokens: np.ndarray, kinds: np.ndarray, before: np.ndarray, p: Params) -> np.ndarray:
+def _blocks(data: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The rows of an array as 16 blocks for summed_vectors()."""
+    step, part = len(data) // 16, TaskContext.get().partitionId()
+    for b in range(16):
+        yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([part % 16], pa.int32()), pa.array([data[b * step : (b + 1) * step].astype(np.float64).tobytes()], pa.binary())], names=["block", "salt", "data"])
+
+
+def _company(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordBatch]:
+    """How often each kind stands within two words of each context, a hash of kinds."""
+    total = np.zeros(p.kinds * p.contexts)
+    with np.errstate(over="ignore"):
+        context_of = (mix(np.arange(p.kinds, dtype=np.uint64) + np.uint64(5)) % np.uint64(p.contexts)).astype(np.int64)
+        for batch in batches:
+            for _, _, texts in chunks(batch.column(0)):
+                _, kinds, before = _sequence(texts, p)
+                owner = np.repeat(np.arange(len(texts)), np.diff(before))
+                for k in (1, 2):
+                    a, b = kinds[:-k], kinds[k:]
+                    same = (owner[:-k] == owner[k:]) & (b > 0)
+                    a, b = a[same], b[same]
+                    for own, other in ((a, b), (b, a)):
+                        total += np.bincount(own * p.contexts + context_of[other], minlength=len(total))
+    if total.any():
+        yield from _blocks(total.reshape(p.kinds, p.contexts))
+
+
+def classes_of(company: np.ndarray, p: Params) -> np.ndarray:
+    """The class of each kind: 0 for the end, else a cluster of its shares of contexts (square roots, weighted by counts), by fixed starts."""
+    out = np.ones(p.kinds, np.int64)
+    out[0] = 0
+    weight = company.sum(axis=1)
+    known = np.flatnonzero(weight[1:]) + 1
+    if not len(known):
+        return out
+    every = company[known].sum(axis=0)
+    shares = (company[known] + 8 * every / every.sum()) / (weight[known] + 8)[:, None]
+    x, w = np.sqrt(shares), weight[known]
+    centres = x[[int(w.argmax())]]
+    apart = ((x - centres[0]) ** 2).sum(axis=1)
+    while len(centres) < min(p.classes - 1, len(known)):
+        centres = np.concatenate((centres, x[[int((apart * w).argmax())]]))
+        apart = np.minimum(apart, ((x - centres[-1]) ** 2).sum(axis=1))
+    for _ in range(30):
+        own = ((centres**2).sum(axis=1)[None, :] - 2 * x @ centres.T).argmin(axis=1)
+        for k in range(len(centres)):
+            if (own == k).any():
+                centres[k] = np.average(x[own == k], axis=0, weights=w[own == k])
+    out[known] = 1 + own
+    return out
+
+
+def _features(tokens: np.ndarray, kinds: np.ndarray, before: np.ndarray, count: int) -> np.ndarray:
     """Three hashed features of each token, from the tokens before it in its document."""
     n = len(tokens)
     place = np.arange(n) - np.repeat(before[:-1], np.diff(before))
@@ -127,7 +188,7 @@ def _features(tokens: np.ndarray, kinds: np.ndarray, before: np.ndarray, p: Para
 
     k64 = kinds.astype(np.uint64) + np.uint64(1)
     trio = back(k64, 1) * np.uint64(4096) + back(k64, 2) * np.uint64(64) + back(k64, 3)
-    rows = np.uint64(p.rows)
+    rows = np.uint64(count)
     return np.stack([(mix(x ^ s) % rows).astype(np.int64) for x, s in zip((back(tokens, 1), back(tokens, 2), trio), salt, strict=True)])
 
 
@@ -142,17 +203,14 @@ def _probabilities(w: np.ndarray, prior: np.ndarray, f: np.ndarray) -> np.ndarra
     return z
 
 
-def _train(batches: Iterator[pa.RecordBatch], p: Params, known: tuple, prior: np.ndarray) -> Iterator[pa.RecordBatch]:
-    w, seen = np.zeros((p.rows, p.classes), np.float32), np.zeros(p.rows)
-    hashes, counts, own = known
-    some = False
+def _train(batches: Iterator[pa.RecordBatch], p: Params, rows: int, class_of: np.ndarray, prior: np.ndarray, start: np.ndarray) -> Iterator[pa.RecordBatch]:
+    w, seen = start.astype(np.float32), np.zeros(rows)
     with np.errstate(over="ignore"):
         for batch in batches:
             for _, _, texts in chunks(batch.column(0)):
                 tokens, kinds, before = _sequence(texts, p)
-                _, kinds = _lookup(tokens, kinds, hashes, counts, own)
-                f = _features(tokens, kinds, before, p)
-                some = some or len(tokens) > 0
+                kinds = class_of[kinds]
+                f = _features(tokens, kinds, before, rows)
                 for lo in range(0, len(tokens), p.batch):
                     part, truth = f[:, lo : lo + p.batch], kinds[lo : lo + p.batch]
                     g = -_probabilities(w, prior, part)
@@ -161,21 +219,18 @@ def _train(batches: Iterator[pa.RecordBatch], p: Params, known: tuple, prior: np
                         order = np.argsort(feature, kind="stable")
                         sorted_ = feature[order]
                         cut = np.flatnonzero(np.concatenate(([True], sorted_[1:] != sorted_[:-1])))
-                        rows, times = sorted_[cut], np.diff(np.concatenate((cut, [len(order)])))
-                        w[rows] += (p.rate / (times + p.damping))[:, None].astype(np.float32) * np.add.reduceat(g[order], cut, axis=0)
-                        seen[rows] += times
-    if some:
-        data = np.concatenate((w * seen[:, None], seen[:, None]), axis=1)
-        step, part = p.rows // 16, TaskContext.get().partitionId()
-        for b in range(16):
-            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([part % 16], pa.int32()), pa.array([data[b * step : (b + 1) * step].tobytes()], pa.binary())], names=["block", "salt", "data"])
+                        own, times = sorted_[cut], np.diff(np.concatenate((cut, [len(order)])))
+                        w[own] += (p.rate / (times + p.damping))[:, None].astype(np.float32) * np.add.reduceat(g[order], cut, axis=0)
+                        seen[own] += times
+    if seen.any():
+        yield from _blocks(np.concatenate((w * seen[:, None], seen[:, None]), axis=1))
 
 
 def fit(docs: DataFrame, text: Column, params: Params = Params()) -> Model:
-    """Counts over and weights from all rows of docs."""
+    """Counts over, classes and weights from all rows of docs."""
     p = params
-    rows = docs.select(F.coalesce(text.cast("string"), F.lit("")).alias("text"))
-    table = materialize(rows.mapInArrow(lambda it: _count(it, p), "h long, kind int, c long").groupBy("h").agg(F.sum("c").alias("c"), F.min("kind").alias("kind")), "counts")
+    texts = docs.select(F.coalesce(text.cast("string"), F.lit("")).alias("text"))
+    table = materialize(texts.mapInArrow(lambda it: _count(it, p), "h long, kind int, c long").groupBy("h").agg(F.sum("c").alias("c"), F.min("kind").alias("kind")), "counts")
     totals = {r.kind: (r.n, r.v) for r in table.groupBy("kind").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}
     tokens, types = sum(n for n, _ in totals.values()), sum(v for _, v in totals.values())
     # The least threshold, on a scale of counts, that at most `frequent` words reach.
@@ -185,51 +240,42 @@ def fit(docs: DataFrame, text: Column, params: Params = Params()) -> Model:
         if held + n > p.frequent:
             break
         least, held = s, held + n
-    often = [] if least is None else table.where(F.floor(F.log2("c") * 16) >= least).select("h", "c", "kind").collect()
-    often.sort(key=lambda r: (-r.c, r.h))
-    own, end = {}, int(END.astype(np.int64))
-    for r in often:
-        if r.h == end:
-            own[r.h] = p.top
-        elif len([k for k in own if k != end]) < p.top:
-            own[r.h] = len([k for k in own if k != end])
-    n, v = np.zeros(p.classes), np.zeros(p.classes)
-    for kind, (a, b) in totals.items():
-        n[kind] += a
-        v[kind] += b
-    for r in often:
-        to = own.get(r.h, r.kind)
-        n[r.kind] -= r.c
-        v[r.kind] -= 1
-        n[to] += r.c
-        v[to] += 1
+    often = [] if least is None else table.where(F.floor(F.log2("c") * 16) >= least).select("h", "c").collect()
     hashes = np.array([r.h for r in often], np.int64).view(np.uint64)
     order = np.argsort(hashes)
-    hashes = hashes[order]
-    counts = np.array([r.c for r in often], np.int64)[order]
-    classes = np.array([own.get(r.h, r.kind) for r in often], np.int64)[order]
-    single = np.arange(p.classes) < p.top + 1
-    log_total = np.where(single & (v <= 1), np.log10(np.maximum(n, 0) + 1), np.log10(n + v + 1))
+    hashes, counts = hashes[order], np.array([r.c for r in often], np.int64)[order]
+    parts = summed_vectors(texts.mapInArrow(lambda it: _company(it, p), "block int, salt int, data binary"))
+    company = np.concatenate([parts[b].reshape(-1, p.contexts) for b in range(16)]) if parts else np.zeros((p.kinds, p.contexts))
+    class_of = classes_of(company, p)
+    n, v = np.zeros(p.classes), np.zeros(p.classes)
+    for kind, (a, b) in totals.items():
+        n[class_of[kind]] += a
+        v[class_of[kind]] += b
+    # The end is the one word of its class.
+    log_total = np.log10(n + v + 1)
+    log_total[0] = np.log10(n[0] + 1)
     prior = np.log((n + 1) / (n + 1).sum()).astype(np.float32)
-    known = (hashes, counts, classes)
-    shared = docs.sparkSession.sparkContext.broadcast(known)
-    parts = summed_vectors(rows.mapInArrow(lambda it: _train(it, p, shared.value, prior), "block int, salt int, data binary"))
-    weights = np.zeros((p.rows, p.classes), np.float32)
-    if parts:
-        data = np.concatenate([parts[b].reshape(-1, p.classes + 1) for b in range(16)])
-        weights = (data[:, :-1] / np.maximum(data[:, -1:], 1)).astype(np.float32)
-    return Model(hashes, counts, classes, log_total, prior, weights, int(tokens), int(types), table)
+    rows = min(p.most_rows, max(p.least_rows, 1 << math.ceil(math.log2(p.share * math.sqrt(max(1, types))))))
+    weights = np.zeros((rows, p.classes), np.float32)
+    for _ in range(p.rounds):
+        shared = docs.sparkSession.sparkContext.broadcast(weights)
+        parts = summed_vectors(texts.mapInArrow(lambda it, shared=shared: _train(it, p, rows, class_of, prior, shared.value), "block int, salt int, data binary"))
+        shared.unpersist()
+        if parts:
+            data = np.concatenate([parts[b].reshape(-1, p.classes + 1) for b in range(16)])
+            weights = (data[:, :-1] / np.maximum(data[:, -1:], 1)).astype(np.float32)
+    return Model(hashes, counts, class_of, log_total, prior, weights, int(tokens), int(types), table)
 
 
 def _score(batches: Iterator[pa.RecordBatch], p: Params, m: tuple) -> Iterator[pa.RecordBatch]:
-    hashes, counts, own, log_total, prior, weights = m
+    hashes, counts, class_of, log_total, prior, weights = m
     row = TaskContext.get().partitionId() << 33
     with np.errstate(over="ignore"):
         for batch in batches:
             for at, to, texts in chunks(batch.column(2), CHUNK_BYTES):
                 tokens, kinds, before = _sequence(texts, p)
-                c, kinds = _lookup(tokens, kinds, hashes, counts, own)
-                f = _features(tokens, kinds, before, p)
+                c, kinds = _lookup(tokens, hashes, counts), class_of[kinds]
+                f = _features(tokens, kinds, before, len(weights))
                 logs = np.empty(len(tokens))
                 for lo in range(0, len(tokens), p.batch):
                     truth = kinds[lo : lo + p.batch]
@@ -255,7 +301,7 @@ def _score(batches: Iterator[pa.RecordBatch], p: Params, m: tuple) -> Iterator[p
 def score(docs: DataFrame, model: Model, id_: Column, held_out: Column, text: Column, params: Params = Params()) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     p, m = params, model
-    shared = docs.sparkSession.sparkContext.broadcast((m.hashes, m.counts, m.own_class, m.log_total, m.prior, m.weights))
+    shared = docs.sparkSession.sparkContext.broadcast((m.hashes, m.counts, m.class_of, m.log_total, m.prior, m.weights))
     rows = docs.select(id_.alias("doc_id"), held_out.alias("held_out"), F.coalesce(text.cast("string"), F.lit("")).alias("text"))
     schema = "row long, doc_id long, held_out boolean, n_tokens long, known long, logs double, model double, rare array<long>, times array<int>"
     first = materialize(rows.mapInArrow(lambda it: _score(it, p, shared.value), schema), "scored")
