@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import math
+import os
 import random
 import re
 from collections import Counter
@@ -12,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tesseral.llm import decontaminate, langid, lm, minhash, mixing, pii, quality, tokens, urls, warc
-from tesseral.llm.common import crc32_of_id, split_by
+from tesseral.llm.common import crc32_of_id, materialize, split_by, stored
 from tesseral.llm.graph import connected_components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -138,6 +140,17 @@ def test_split_keeps_what_joins(spark):
     assert split_by(rows, "k", wanted.limit(0), "w")[0].count() == 0
 
 
+def test_stored_tables_are_removed(spark):
+    with stored(spark) as keep_outer:
+        with stored(spark) as keep:
+            a, b = (materialize(spark.range(n), "t") for n in (3, 4))
+            keep(a)
+        assert a.count() == 3 and not os.path.exists(b._stored_path)
+        c = materialize(spark.range(5), "t")
+        keep_outer(c)
+    assert c.count() == 5 and not os.path.exists(a._stored_path)
+
+
 KINDS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
@@ -174,11 +187,54 @@ def test_personal_data(spark):
     assert pii.redact(make(spark, [])).count() == 0
 
 
+def mixed(x):
+    """The finaliser of splitmix64 on a Python number."""
+    x &= 2**64 - 1
+    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & (2**64 - 1)
+    x = (x ^ (x >> 27)) * 0x94D049BB133111EB & (2**64 - 1)
+    return x ^ (x >> 31)
+
+
+def numbers(n, key):
+    return [mixed((k + 1 + (key << 20)) * 0x9E3779B97F4A7C15) for k in range(n)]
+
+
+SYMBOL = numbers(256, 7)
+
+
+def hashed(word):
+    return mixed(sum(SYMBOL[b + 32 if 65 <= b <= 90 else b] * pow(6364136223846793005, k, 2**64) for k, b in enumerate(word.encode())))
+
+
+def plain_score(text, model, counts, p):
+    """The model's log10 probability of a text, word by word."""
+    end = int(lm.END)
+    words = WORD.findall((text or "").translate(LOWER))
+    ending = lambda w: int.from_bytes(w.encode()[-3:].rjust(3, b"\0"), "big")
+    tokens = [hashed(w) for w in words] + [end]
+    kinds = [int(model.class_of[1 + mixed(ending(w) + 77) % (p.kinds - 1)]) for w in words] + [0]
+    salt, total = numbers(3, 41), 0.0
+    for i, (word, kind) in enumerate(zip([*words, None], kinds, strict=True)):
+        back = lambda x, k, i=i: x[i - k] if i >= k else 0
+        trio = [kinds[i - k] + 1 if i >= k else 0 for k in (1, 2, 3)]
+        keys = back(tokens, 1), back(tokens, 2), trio[0] * 4096 + trio[1] * 64 + trio[2]
+        z = [float(x) for x in model.prior]
+        for key, s in zip(keys, salt, strict=True):
+            row = model.weights[mixed(key ^ s) % len(model.weights)]
+            z = [a + float(b) for a, b in zip(z, row, strict=True)]
+        top = max(z)
+        total += (z[kind] - top) / math.log(10) - math.log10(sum(math.exp(x - top) for x in z))
+        total += math.log10(counts[word] + 1) - float(model.log_total[kind])
+    return total
+
+
 def test_language_model(docs, rows):
     held = F.pmod(crc32_of_id(F.col("doc_id")), F.lit(7)) == 2
-    model = lm.fit(docs.where(~held), F.col("text"), lm.Params(frequent=20))
-    got = lm.score(docs, model, F.col("doc_id"), held, F.col("text"), lm.Params(frequent=20)).collect()
-    bags = {i: Counter([*WORD.findall((t or "").translate(LOWER)), "\n"]) for i, t, *_ in rows}
+    p = lm.Params(frequent=20)
+    model = lm.fit(docs.where(~held), F.col("text"), p)
+    got = lm.score(docs, model, F.col("doc_id"), held, F.col("text"), p).collect()
+    bags = {i: Counter([*WORD.findall((t or "").translate(LOWER)), None]) for i, t, *_ in rows}
+    text = {i: t for i, t, *_ in rows}
     counts = Counter()
     for r in got:
         if not r.held_out:
@@ -189,20 +245,35 @@ def test_language_model(docs, rows):
         bag = bags[r.doc_id]
         assert (r.n_tokens, r.train_tokens, r.n_known) == (sum(bag.values()), n, sum(k for w, k in bag.items() if counts[w]))
         assert math.isclose(r.base_score, sum(k * math.log10((counts[w] + 1) / (n + v + 1)) for w, k in bag.items()), rel_tol=1e-9)
-        assert r.score < 0
+        if r.n_tokens < 300:
+            assert math.isclose(r.score, plain_score(text[r.doc_id], model, counts, p), rel_tol=1e-4)
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
 
 
 def test_language_model_is_a_distribution(spark):
-    """Over all known words and one unknown word of each class, probabilities after a given history sum to at most 1."""
-    base = [(k, "the cat sat on the mat the dog ran", None, None) for k in range(20)]
-    p = lm.Params(frequent=4, top=3, classes=8)
+    """After any history the known words and one unknown word of each class have probabilities that sum to 1."""
+    base = [(k, "the cat sat on the mat the dog ran" if k % 2 else "der hund lief auf den baum der hund", None, None) for k in range(40)]
+    p = lm.Params(frequent=4, classes=8)
     model = lm.fit(make(spark, base), F.col("text"), p)
-    words = ["the", "cat", "sat", "on", "mat", "dog", "ran", ""]
-    asked = make(spark, [(k, f"the {w}".strip(), None, None) for k, w in enumerate(words)])
-    got = {r.doc_id: r.score for r in lm.score(asked, model, F.col("doc_id"), F.lit(False), F.col("text"), p).collect()}
-    first = lm.score(make(spark, [(0, "the", None, None)]), model, F.col("doc_id"), F.lit(False), F.col("text"), p).first()
-    assert first.n_tokens == 2 and all(s < 0 for s in got.values())
+    counts = Counter(w for _, t, *_ in base for w in [*t.split(), None])
+    kind = lambda w: int(model.class_of[1 + mixed(int.from_bytes(w.encode()[-3:].rjust(3, b"\0"), "big") + 77) % (p.kinds - 1)]) if w else 0
+    own = Counter()
+    for w, c in counts.items():
+        own[kind(w)] += c + 1
+    for k in range(p.classes):
+        seen, n = own[k], 10 ** float(model.log_total[k])
+        # A class without the end keeps room for one unknown word.
+        assert math.isclose(seen + (k > 0), n, rel_tol=1e-9)
+    known = {r.doc_id: r.score for r in lm.score(make(spark, [(0, "the cat", None, None), (1, "der cat", None, None)]), model, F.col("doc_id"), F.lit(False), F.col("text"), p).collect()}
+    assert known[0] > known[1]
+
+
+def test_language_model_learns_from_all(spark):
+    """Classes and counts are the same however rows lie; the table of features grows with the words."""
+    rows = [(k, " ".join(f"w{(k * 31 + j * 7) % 900}x" for j in range(60)), None, None) for k in range(200)]
+    one, two = (lm.fit(make(spark, rows).repartition(n), F.col("text"), lm.Params(least_rows=16, share=4)) for n in (1, 5))
+    assert (one.class_of == two.class_of).all() and (one.tokens, one.types) == (two.tokens, two.types)
+    assert len(one.weights) == 128 and len(lm.fit(make(spark, rows[:2]), F.col("text"), lm.Params(least_rows=16, share=4)).weights) < 128
 
 
 def test_language_model_edges(spark):
@@ -229,15 +300,48 @@ def test_urls(spark):
         fits = [(len(h + p), h + p, v) for h, p, v in given if (host == h or host.endswith("." + h)) and path.startswith(p)]
         rule, verdict = max(fits)[1:] if fits else (None, "block" if k in (10, 11) else "allow")
         assert got[k] == (host, path, rule, verdict), u
-    with pytest.raises(ValueError):
-        urls.index_rules(urls.RULES, most=3)
-
-
-def test_url_index_uses_the_rarest_token():
-    by, rest = urls.index_rules(urls.RULES)
-    assert all(t in r.tokens for t, own in by.items() for _, r in own)
-    assert {r.name for own in [*by.values(), rest] for _, r in own} == {r.name for r in urls.RULES}
-    assert "example" not in by or "org" in by
+    again = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.filter_urls(rows, slice_=2).collect()}
+    assert again == got
+    assert {r.verdict for r in urls.filter_urls(rows, rules=[]).collect()} == {"allow"}
+    twice = urls.filter_urls(rows.unionByName(rows)).collect()
+    assert len(twice) == 2 * len(URLS) and all(got[r.page_id] == (r.host, r.path, r.rule, r.verdict) for r in twice)
+    assert urls.filter_urls(rows.limit(0)).count() == 0
+    named = urls.filter_urls(rows.select(F.concat(F.lit("p"), "page_id").alias("page_id"), "url"))
+    assert named.schema["page_id"].dataType.simpleString() == "string" and named.count() == len(URLS)
+
+
+def test_rule_file(spark, tmp_path):
+    (tmp_path / "rules.txt").write_text("# hosts\nblock Bad.com/\nallow bad.com/good/\nblock *.shop.net/sale*\n\nblock /[?]nothing|^evil\\./\n")
+    given = list(urls.read_rules(spark, str(tmp_path / "rules.txt")))
+    own = urls.Filter(given)
+    said = {u: own.judge(*urls.split_url(u)) for u in ("http://a.bad.com/x", "http://bad.com/good/y", "http://a.shop.net/sales/1", "http://shop.net/sale", "http://evil.org/", "http://devil.org/")}
+    assert [x[2] for x in said.values()] == ["block", "allow", None, None, None, None]
+    assert [x[3] for x in said.values()] == [False, False, True, False, True, False]
+    for bad in ("deny a/", "block", "block /(/"):
+        with pytest.raises(ValueError):
+            list(urls.parse_rules([bad]))
+
+
+def test_url_index_finds_every_match():
+    """Every rule given has a token for each alternative, and whatever a rule matches is a candidate by tokens alone."""
+    own = urls.Filter(urls.RULES)
+    assert not own.rest
+    rng = random.Random(6)
+    parts = ["org", "example.org", "com", "cheap-pill.", "buy-pills-", "free-bet.", "casinos12.", "xxx.", "ads.", "track.", "spam-farm.", "x", "a.b"]
+    paths = ["/", "/es/", "/en/12", "/fr/", "/de/x", "/wp-login.php", "/cgi-bin/q", "/a.exe", "/a.exe/b", ""]
+    met = set()
+    for _ in range(3000):
+        host, path = "".join(rng.choices(parts, k=rng.randint(1, 3))), rng.choice(paths)
+        fits = {k for k, r in enumerate(own.rules) if re.search(r.pattern, f"{host} {path}", re.S)}
+        assert fits <= own.candidates(host, path), (host, path)
+        met |= fits
+    assert met == set(range(len(own.rules)))
+    odd = ["a(?i:BC)d", "ab?cd", "(?:abc|xy)+z", "[ab]cd|efg", "x.y", "^abc", "(abc){2,}", "a*"]
+    mixed_ = urls.Filter([urls.Rule(o, "block", o) for o in odd])
+    assert {mixed_.rules[k].name for k in mixed_.rest} == {"a(?i:BC)d", "x.y", "a*", "(?:abc|xy)+z"} - {o for o in odd if all(urls.tokens(o))}
+    for _ in range(3000):
+        text = "".join(rng.choices("abcdxyzefgBC", k=8))
+        assert {k for k, r in enumerate(mixed_.rules) if re.search(r.pattern, f"{text} ")} <= mixed_.candidates(text, "")
 
 
 def rules(t):
@@ -281,6 +385,60 @@ def test_quality_ratio(spark):
     assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == set(range(100))
 
 
+def plain_ratio(trusted, every, p):
+    """Log ratios by bucket and the bucket of every n-gram of a text, one by one."""
+    mult = [(x | 1) % 2**32 for x in numbers(p.n, 21)]
+
+    def buckets(t):
+        data, out = (t or "").encode(), []
+        for i in range(len(data) - p.n + 1):
+            code = sum(b * m for b, m in zip(data[i : i + p.n], mult, strict=True)) % 2**32
+            code = (code ^ (code >> 15)) * 0x2C1B3C6D % 2**32
+            out.append((code >> 8) % p.buckets)
+        return out
+
+    good, raw = Counter(), Counter()
+    for t in every:
+        raw.update(buckets(t))
+    for t in trusted:
+        good.update(buckets(t))
+    share = lambda c, b: (c[b] + p.smoothing) / (sum(c.values()) + p.smoothing * p.buckets)
+    ratio = {b: math.log(share(good, b) / share(raw, b)) for b in raw}
+    return lambda t: sum(ratio[b] for b in own) / len(own) if (own := buckets(t)) else 0.0
+
+
+def test_quality_verdicts(spark):
+    """kept by a plain loop over n-grams, on texts of all sizes, whatever their neighbours."""
+    rng = random.Random(8)
+    texts_ = [" ".join(rng.choices(["tion", "the", "ing", "of"], k=rng.randint(0, 60))) for _ in range(40)] + ["#" * 90, "$ % " * 40, "", None, "abc", "é" * 30]
+    rows = [(k, t, None, None) for k, t in enumerate(texts_)]
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(0, 40, 3)] + [(41, 0, 0), (2, 1, 1)], "doc_id long, quality int, toxic int")
+    p = quality.Params(threshold=-0.1, smoothing=0.01)
+    docs = make(spark, rows)
+    ratio = quality.fit(docs, quality.trusted_ids(labels, "doc_id", p), params=p)
+    score = plain_ratio([texts_[k] for k in range(0, 40, 3)], texts_, p)
+    got = quality.judge(docs, ratio, params=p).collect()
+    for r in got:
+        want = score(texts_[r.doc_id])
+        assert abs(r.score - want) < 2e-6
+        assert r.kept == (not r.base_failed and r.score >= p.threshold)
+    assert {r.kept for r in got} == {True, False}
+    alone = quality.judge(docs.where("doc_id = 40"), ratio, params=p).first()
+    assert alone == next(r for r in got if r.doc_id == 40)
+
+
+def test_ids_of_any_type(spark):
+    """Text ids pass where nothing is made of them but themselves."""
+    docs = spark.createDataFrame([("a", "word " * 30), ("b", None), (None, "x")], "doc_id string, text string")
+    labels = spark.createDataFrame([("a", 1, 0)], "doc_id string, quality int, toxic int")
+    trusted = quality.trusted_ids(labels, "doc_id", quality.Params())
+    assert len(trusted) == 1
+    assert {r.doc_id for r in quality.judge(docs, quality.fit(docs, trusted)).collect()} == {"a", "b", None}
+    assert {r.doc_id for r in tokens.token_lengths(docs).collect()} == {"a", "b", None}
+    bench = spark.createDataFrame([(1, "word " * 9)], "item_id long, text string")
+    assert {(r.doc_id, r.n_items) for r in decontaminate.contamination(docs, bench).collect()} == {("a", 1), ("b", 0), (None, 0)}
+
+
 def test_mixing(spark, rows):
     docs = make(spark, [*rows, *rows[:5], (None, "no id here", None, "s1")])
     got = mixing.plan_mix(docs).collect()
@@ -370,6 +528,8 @@ def test_token_counts(docs, rows):
     for r in tokens.at_limits(hist, [0, 10, 77, 10**6]).collect():
         assert (r.docs_over, r.truncated_tokens) == (sum(x > r.limit for x in lengths), sum(min(x, r.limit) for x in lengths))
     assert tokens.quantile(hist, 0.5) == sorted(lengths)[math.ceil(len(lengths) / 2) - 1]
+    none = tokens.length_histogram(tokens.token_lengths(docs.limit(0)))
+    assert none.count() == 0 and tokens.quantile(none, 0.5) is None and tokens.at_limits(none, [3]).count() == 0
 
 
 def test_language(spark):
@@ -386,6 +546,66 @@ def test_language(spark):
     assert langid.predict(docs, {}, F.col("doc_id"), held, F.col("text")).where("lang_pred != 'und'").count() == 0
 
 
+def plain_grams(t):
+    """n-grams of one to three characters, blanks at the ends only."""
+    out = Counter()
+    for run in "".join(c if c.isalpha() else " " for c in (t or "").lower()).split():
+        whole = f" {run} "
+        out.update(run)
+        out.update(whole[i : i + 2] for i in range(len(whole) - 1))
+        out.update(whole[i : i + 3] for i in range(len(whole) - 2))
+    return out
+
+
+def code_of(g):
+    value = 0
+    for c in g:
+        value = value << 21 | ord(c)
+    return value
+
+
+def top_grams(counts, most):
+    return [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], code_of(x[0])))[:most]]
+
+
+def plain_language(t, profiles, most):
+    own = top_grams(plain_grams(t), most)
+    if not own or not profiles:
+        return "und", 0.0
+    apart = {lang: sum(abs(place[g] - k) if g in place else most for k, g in enumerate(own)) for lang, place in profiles.items()}
+    best = min(sorted(apart), key=lambda x: apart[x])
+    return best, 1 - apart[best] / (most * len(own))
+
+
+def test_language_by_hand(spark):
+    """Profiles, distances and scores recounted; ties in counts and in distance, repeated rows, odd letters, no rows."""
+    rng = random.Random(9)
+    odd = [None, "", "12 !?", "a", "b", "ab ab ba", "Straße ÄÖ", "x" * 3000, "日本 語 text", "é e\u0301 É", "İI ıi"]
+    rows = [(k, t, "zz" if k % 2 else "aa", None) for k, t in enumerate(odd)]
+    rows += [(100 + k, " ".join("".join(rng.choices("abcdeé", k=rng.randint(1, 5))) for _ in range(rng.randint(1, 80))), rng.choice(["aa", "bb", "zz", None]), None) for k in range(60)]
+    rows += rows[-5:]
+    p = langid.Params(most=40, salts=3)
+    docs = make(spark, rows)
+    counts = {}
+    for _, t, lang, _ in rows:
+        if lang is not None and t is not None:
+            counts.setdefault(lang, Counter()).update(plain_grams(t))
+    want = {lang: {g: k for k, g in enumerate(top_grams(c, p.most))} for lang, c in counts.items()}
+    profiles = langid.fit(docs, F.col("lang"), F.col("text"), p)
+    assert {lang: list(map(int, codes)) for lang, codes in profiles.items()} == {lang: [code_of(g) for g in place] for lang, place in want.items()}
+    got = langid.predict(docs, profiles, F.col("doc_id"), F.lit(True), F.col("text"), p).collect()
+    by = {i: t for i, t, *_ in rows}
+    assert len(got) == len(rows)
+    for r in got:
+        lang, score = plain_language(by[r.doc_id], want, p.most)
+        assert r.lang_pred == lang and math.isclose(r.score, score, abs_tol=1e-12), by[r.doc_id]
+    empty = make(spark, [])
+    assert langid.fit(empty, F.col("lang"), F.col("text")) == {} and langid.predict(empty, profiles, F.col("doc_id"), F.lit(True), F.col("text")).count() == 0
+    # Equal profiles: the language first in order.
+    same = {"n": profiles["aa"], "m": profiles["aa"]}
+    assert langid.predict(docs, dict(sorted(same.items())), F.col("doc_id"), F.lit(True), F.col("text"), p).where("lang_pred = 'n'").count() == 0
+
+
 def hits(t, windows):
     w = ITEM.findall((t or "").translate(LOWER))
     hit, items = set(), set()
@@ -415,7 +635,12 @@ def test_decontamination(spark, rows, slice_):
         n, hit, items = hits(by[r.doc_id], windows)
         assert (r.n_words, r.n_hit, r.n_items, r["items"], r.contaminated) == (n, hit, len(items), ",".join(sorted(map(str, items))), len(items) >= 2)
     left = {r.doc_id for r in decontaminate.decontaminate(docs, table, params=p).collect()}
-    assert left == {i for i in (r.doc_id for r in docs.collect()) if not hits(by[i], windows)[1]}
+    full = {w: own for w, own in windows.items() if len(w) == 8}
+    assert left == {i for i in (r.doc_id for r in docs.collect()) if not hits(by[i], full)[1] and len(hits(by[i], windows)[2]) < 2}
+    assert 500 not in left and 501 not in left
+    once = make(spark, [(1, "just One word", None, None), (2, f"x {long}", None, None)])
+    assert [r.doc_id for r in decontaminate.decontaminate(once, table, params=p).collect()] == [1]
+    assert decontaminate.decontaminate(docs, table, params=p).columns == docs.columns
     cut = {r.doc_id: r.text for r in decontaminate.decontaminate(docs, table, params=decontaminate.Params(items=99, slice=slice_), drop=False).collect()}
     assert cut[501] == "and ,  () here"
     assert decontaminate.contamination(docs, table.limit(0)).where("n_hit > 0").count() == 0
@@ -437,18 +662,62 @@ def test_archives(spark):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_archives_join_beyond_the_bound(spark):
+    pages = spark.createDataFrame([(k, "u", "y" * 1200 + str(k % 4)) for k in range(40)], "page_id long, url string, html string")
+    same = [{(r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in warc.round_trip(pages, params=p).collect()} for p in (warc.Params(), warc.Params(most=0, archive=9000, group=2500, version=2))]
+    assert same[0] == same[1] and len(same[0]) == 40 and sum(x[1] == "revisit" for x in same[0]) == 36
+
+
+def test_archives_that_are_damaged_fail():
+    record = warc.arc_to_warc(next(warc.read_arc(warc.write_arc([("http://a", "20200102030405", "text/html", b"HTTP/1.1 200 OK\r\n\r\npay\r\n\r\nload")]))))
+
+    def back(data):
+        reader = warc.Reader()
+        return [warc.read_record(*found) for piece in data.split(b"\r\n\r\n") if (found := reader.take(piece))]
+
+    assert back(record)[0][1:4] == (11, hashlib.sha1(b"pay\r\n\r\nload").hexdigest(), "response")
+    for bad in (record.replace(b"\r\nload", b"\r\nlead"), record.replace(b"\r\nload", b"\r\nloaded"), b"x" + record):
+        with pytest.raises(ValueError):
+            back(bad)
+    assert back(record[:-3]) == []
+
+
 @pytest.mark.parametrize("version", [1, 2])
 def test_arc_round_trip(version):
     records = [("http://a", "20200102030405", "text/html", b"HTTP/1.1 200 OK\r\n\r\n\nfiledesc://x 1 2\n"), ("http://b", "20200102030405", "text/plain", b"")]
-    back = list(warc.read_arc(warc.write_arc(records, version)))
+    whole = warc.write_arc(records, version)
+    back = list(warc.read_arc(whole))
     assert [(r.fields["URL"], r.fields["Archive-date"], r.fields["Content-type"], r.block) for r in back] == records
     heads, block = next(warc.read_warc(warc.arc_to_warc(back[0])))
     assert (heads["warc-date"], block) == ("2020-01-02T03:04:05Z", records[0][3])
-    for bad in (b"filedesc://x 0 0 t 9\nno", warc.write_arc(records, version)[:-30]):
+    cut = whole.index(b"http://b")
+    packed = gzip.compress(whole[:cut]) + gzip.compress(whole[cut:])
+    assert list(warc.read_arc(packed)) == back
+    for bad in (b"filedesc://x 0 0 t 9\nno", whole[:-30]):
         with pytest.raises(ValueError):
             list(warc.read_arc(bad))
 
 
+def test_legacy_archives(spark, tmp_path):
+    """Blanks in a content type, Latin-1 and blanks in a URL, carriage returns, short dates, bad lines and lengths, broken gzip."""
+    body = b"1 0 old\nURL IP-address Archive-date Content-type Archive-length\n"
+    head = b"filedesc://old.arc 0.0.0.0 19970101000000 text/plain %d\n" % len(body) + body + b"\n"
+    good = [b"http://caf\xe9.fr/ 1.2.3.4 19970102 text/html; charset=latin 1 5\nhello\n", b"http://a b/c 1.2.3.4 19970102030405 text/html 3\r\nabc\r\n", b"dns:x 1.2.3.4 19970102030405 no-type 2\nok\n"]
+    bad = [b"this is no header\n", b"http://long 1.2.3.4 19970102030405 text/html 99999\nxyz\n"]
+    data = head + good[0] + bad[0] + good[1] + bad[1] + good[2]
+    noted = []
+    assert [r.block for r in warc.read_arc(data, noted)] == [b"hello", b"abc", b"ok"]
+    assert {reason.split(" ")[0] for _, reason in noted} == {"header", "record"} and len(noted) == 3
+    (tmp_path / "a.arc").write_bytes(data)
+    (tmp_path / "b.arc.gz").write_bytes(gzip.compress(head + good[0]) + gzip.compress(good[1])[:-4])
+    rows = warc.read_arc_files(spark, str(tmp_path)).collect()
+    assert sorted(r.url for r in rows if r.error is None) == sorted(["http://café.fr/", "http://a b/c", "dns:x", "http://café.fr/", "http://a b/c"])
+    assert {r.content_type for r in rows if r.url == "http://café.fr/"} == {"text/html; charset=latin 1"}
+    assert sum(r.error is not None for r in rows) == 3
+    with pytest.raises(ValueError):
+        list(warc.read_arc(data))
+
+
 @pytest.mark.parametrize("number", [0, 1, -1, 2**63 - 1, -(2**63), 123456789])
 def test_record_ids(number):
     assert warc.record_number(warc.record_id(number)) == number
