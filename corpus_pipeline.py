@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesseral.llm import decontaminate, minhash, mixing, pii, quality
-from tesseral.llm.common import materialize, read_table, split_by
+from tesseral.llm.common import materialize, read_table, split_by, stored
 
 
 #: Texts whose sets of five-word shingles have a similarity of 0.8 or more are near copies; 40 bands of 5 rows miss 1.3e-7 of the pairs at 0.8.
@@ -42,7 +42,7 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark window go."""
+    """Documents that hold a whole window of eight benchmark words go, or windows of two items: op9's verdict, and no weaker for a long passage of one item. One short item alone takes no document away."""
     return decontaminate.decontaminate(docs, read_table(spark, sf_dir, "benchmark"))
 
 
@@ -62,8 +62,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written and read again."""
+    """All stages over documents, each written and read again; what a stage stored on its way is removed, and so is its input but for the documents."""
     docs = read_table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = materialize(stage(spark, docs, sf_dir), f"stage{k}")
+    with stored(spark) as keep_last:
+        for k, (_, stage) in enumerate(STAGES):
+            with stored(spark) as keep:
+                docs = materialize(stage(spark, docs, sf_dir), f"stage{k}")
+                keep(docs)
+        keep_last(docs)
     return docs
