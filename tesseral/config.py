@@ -10,7 +10,10 @@ KERNEL_PAD = {"tophat": 1.1, "hypergaussian": 2.5, "gaussian": 5.0, "johnsongaus
 
 @dataclass(frozen=True)
 class FilterConfig:
-    """Physical constants and switches. Compatibility is checked on construction; a clash raises ValueError."""
+    """Physical constants and switches. Compatibility is checked on construction; a clash raises ValueError.
+
+    unit_pairs: pairs of cells that one task weighs, about; unit_bytes: bytes of fields that one task holds, about.
+    """
 
     earth_radius: float = 6371e3
     rho0: float = 1025.0
@@ -28,13 +31,14 @@ class FilterConfig:
     extend_to_poles: bool = False
     postprocess: bool = True
     full_outputs: bool = True
-    dense_pairs: int = 50_000_000
+    unit_pairs: int = 200_000_000
+    unit_bytes: int = 1 << 30
 
     def __post_init__(self) -> None:
         if self.kernel not in KERNEL_PAD:
             raise ValueError(f"unknown kernel {self.kernel!r}; known: {sorted(KERNEL_PAD)}")
-        if self.order not in (2, 4, 6):
-            raise ValueError("derivatives have order 2, 4 or 6")
+        if self.order not in (2, 3, 4, 6):
+            raise ValueError("derivatives have order 2, 3, 4 or 6")
         if not self.uniform_lat and self.order != 2:
             raise ValueError("a latitude axis that is not uniform has derivatives of order 2 only")
         if self.periodic_y and not self.uniform_lat:

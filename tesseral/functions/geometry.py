@@ -71,6 +71,23 @@ def polygon(*half_planes: tuple[float, float, float]) -> str:
     return " and ".join(f"{a!r} * lon + {b!r} * lat >= {c!r}" for a, b, c in half_planes)
 
 
+def cell_index(sizes: dict[str, int]) -> str:
+    """The number of a cell as SQL text: sizes of the axes, the slowest first."""
+    out = "0L"
+    for axis, n in sizes.items():
+        out = f"({out} * {n} + {axis})"
+    return f"cast({out} as bigint)"
+
+
+def cell_places(cell: str, sizes: dict[str, int]) -> dict[str, str]:
+    """The indices of a numbered cell as SQL text, by axis."""
+    out, step = {}, 1
+    for axis, n in reversed(sizes.items()):
+        out[axis] = f"cast(({cell} div {step}) % {n} as int)"
+        step *= n
+    return dict(reversed(out.items()))
+
+
 def not_polar(lat: str) -> str:
     """Condition of cells that are not at a pole."""
     return f"(abs(degrees({lat})) < 89.95)"

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tesseral.config import FilterConfig
 from tesseral.grid import Grid
+from tesseral.operators import calculus
 
 
 def _area(cells: DataFrame, grid: Grid, cfg: FilterConfig) -> DataFrame:
@@ -32,23 +33,49 @@ def region_areas(cells: DataFrame, regions: DataFrame, grid: Grid, cfg: FilterCo
 
 
 def region_mean_std(cells: DataFrame, regions: DataFrame, grid: Grid, fields: list[str], cfg: FilterConfig = FilterConfig(), keys: list[str] | None = None) -> DataFrame:
-    """(keys, region, <f>_area_average, <f>_area_std_dev); nulls add nothing above but their area counts. Deviations need the mean first: two passes, joined on the slices' few rows."""
+    """(keys, region, <f>_area_average, <f>_area_std_dev); nulls add nothing above but their area counts.
+
+    One pass: cells of one row have one area, so that each row's count, mean and variance are plain ones; a region's at most nlat rows are then merged by
+    weight, deviations about the region's mean.
+    """
     keys = ["itime", "idepth"] if keys is None else keys
-    df = _area(cells, grid, cfg).join(regions, ["ilat", "ilon"])
-    area = F.sum("area")
-    means = df.groupBy(*keys, "region").agg(*[F.when(area == 0, F.lit(0.0)).otherwise(F.sum(F.coalesce(F.col(f), F.lit(0.0)) * F.col("area")) / area).alias(f"{f}_area_average") for f in fields])
-    both = df.join(means, [*keys, "region"])
-    gap = lambda f: F.col(f"{f}_area_average") - F.coalesce(F.col(f), F.lit(0.0))
-    return both.groupBy(*keys, "region").agg(*[F.first(f"{f}_area_average").alias(f"{f}_area_average") for f in fields], *[F.sqrt(F.sum(gap(f) * gap(f) * F.col("area")) / area).alias(f"{f}_area_std_dev") for f in fields])
+    value = lambda f: F.coalesce(F.col(f), F.lit(0.0))
+    moments = [c for f in fields for c in (F.avg(value(f)).alias(f"__m_{f}"), F.var_pop(value(f)).alias(f"__v_{f}"))]
+    rows = cells.join(regions, ["ilat", "ilon"]).groupBy(*keys, "region", "ilat").agg(F.count("*").alias("__n"), *moments)
+    rows = _area(rows, grid, cfg).withColumn("__w", F.col("__n") * F.col("area"))
+    parts = F.collect_list(F.struct("__w", *[f"__{k}_{f}" for f in fields for k in "mv"]))
+    found = rows.groupBy(*keys, "region").agg(parts.alias("__rows"), F.sum("__w").alias("__area"))
+
+    def total(term) -> Column:  # noqa: ANN001
+        return F.aggregate("__rows", F.lit(0.0), lambda a, x: a + x["__w"] * term(x))
+
+    area = F.col("__area")
+    found = found.select("*", *[F.when(area == 0, F.lit(0.0)).otherwise(total(lambda x, f=f: x[f"__m_{f}"]) / area).alias(f"{f}_area_average") for f in fields])
+
+    def spread(f: str) -> Column:
+        mean = F.col(f"{f}_area_average")
+        return F.sqrt(total(lambda x: x[f"__v_{f}"] + (x[f"__m_{f}"] - mean) * (x[f"__m_{f}"] - mean)) / area)
+
+    return found.select(*keys, "region", *[f"{f}_area_average" for f in fields], *[spread(f).alias(f"{f}_area_std_dev") for f in fields])
 
 
-def zonal_mean(cells: DataFrame, grid: Grid, fields: list[str], cfg: FilterConfig = FilterConfig(), keys: list[str] | None = None, water: str = "true", reference: str = "true") -> DataFrame:
-    """(keys, ilat, <f>_zonal_average): sums over `water` cells by the area of `reference` cells; 0 where there is none."""
+def zonal_mean(cells: DataFrame, grid: Grid, fields: list[str], cfg: FilterConfig = FilterConfig(), keys: list[str] | None = None, water: str = "true", reference: str = "true", deviations: bool = False) -> DataFrame:
+    """(keys, ilat, <f>_zonal_average[, <f>_zonal_std_dev]): sums over `water` cells by the area of `reference` cells; 0 where there is none. Deviations are from that mean, over the same cells and area.
+
+    Cells of one row have one area, which cancels: counts, means and variances are plain ones.
+    """
     keys = ["itime", "idepth"] if keys is None else keys
-    df = _area(cells, grid, cfg)
-    below = F.sum(F.when(F.expr(reference if cfg.filter_over_land else water), F.col("area")).otherwise(0.0))
-    mean = lambda f: F.sum(F.when(F.expr(water), F.coalesce(F.col(f), F.lit(0.0)) * F.col("area")).otherwise(0.0))
-    return df.groupBy(*keys, "ilat").agg(*[F.when(below == 0, F.lit(0.0)).otherwise(mean(f) / below).alias(f"{f}_zonal_average") for f in fields])
+    below = F.count(F.when(F.expr(reference if cfg.filter_over_land else water), F.lit(1))).alias("__below")
+    wet = lambda f: F.when(F.expr(water), F.coalesce(F.col(f), F.lit(0.0)))
+    moments = [c for f in fields for c in (F.avg(wet(f)).alias(f"__m_{f}"), F.var_pop(wet(f)).alias(f"__v_{f}"))]
+    rows = cells.groupBy(*keys, "ilat").agg(below, F.count(F.when(F.expr(water), F.lit(1))).alias("__n"), *moments)
+    share = F.when((F.col("__below") == 0) | (F.col("__n") == 0), F.lit(0.0)).otherwise(F.col("__n") / F.col("__below"))
+    mean = {f: share * F.coalesce(F.col(f"__m_{f}"), F.lit(0.0)) for f in fields}
+    columns = [mean[f].alias(f"{f}_zonal_average") for f in fields]
+    if deviations:
+        gap = {f: F.coalesce(F.col(f"__m_{f}"), F.lit(0.0)) - mean[f] for f in fields}
+        columns += [F.sqrt(share * (F.coalesce(F.col(f"__v_{f}"), F.lit(0.0)) + gap[f] * gap[f])).alias(f"{f}_zonal_std_dev") for f in fields]
+    return rows.select(*keys, "ilat", *columns)
 
 
 def zonal_median(cells: DataFrame, fields: list[str], keys: list[str] | None = None, water: str = "true") -> DataFrame:
@@ -170,9 +197,15 @@ def error_norms(cells: DataFrame, grid: Grid, truth: tuple[str, str], found: tup
 
 
 def percentile_regions(cells: DataFrame, field: str, percents: list[int], keys: list[str] | None = None) -> DataFrame:
-    """(region, keys, ilat, ilon): cells above each percentile (linear interpolation) of the field in their slice."""
+    """(region, keys, ilat, ilon): cells above each percentile (linear interpolation) of the field in their slice. A slice is sorted, which spills, not held; its few cut values meet its cells in a join."""
     keys = ["itime", "idepth"] if keys is None else keys
-    cuts = cells.groupBy(*keys).agg(F.percentile(field, F.array(*[F.lit(p / 100) for p in percents])).alias("cuts"))
+    known = cells.where(F.col(field).isNotNull()).select(*keys, F.col(field).alias("__x"))
+    ranked = known.withColumn("__place", F.row_number().over(Window.partitionBy(*keys).orderBy("__x")) - 1)
+    counts = known.groupBy(*keys).agg(F.count("*").alias("__n"))
+    at = [F.lit(p / 100) * (F.col("__n") - 1) for p in percents]
+    gap = [F.lit(1.0) - F.abs(F.col("__place") - x) for x in at]
+    near = ranked.join(counts, keys)
+    cuts = near.groupBy(*keys).agg(F.array(*[F.sum(F.when(g > 0, g * F.col("__x"))) for g in gap]).alias("cuts"))
     pairs = F.arrays_zip(F.array(*[F.lit(f"{field} > p{p}") for p in percents]).alias("region"), F.col("cuts").alias("cut"))
     df = cells.join(cuts, keys).select(*keys, "ilat", "ilon", field, F.explode(pairs).alias("x"))
     return df.where(F.col(field) > F.col("x.cut")).select(F.col("x.region").alias("region"), *keys, "ilat", "ilon")
@@ -198,3 +231,11 @@ def quadrature_sum(cells: DataFrame, nodes: list[tuple[float, float, float]], fi
     table = cells.sparkSession.createDataFrame([tuple(map(float, n)) for n in nodes], "ell double, w double, w2 double")
     df = cells.join(F.broadcast(table), "ell")
     return df.groupBy(*by).agg(*[F.sum(F.lit(ell) * F.col("w") * F.col(f)).alias(f) for f in fields], *[F.sum(F.lit(ell) * (F.col("w") - F.col("w2")) * F.col(f)).alias(f"{f}_error") for f in fields])
+
+
+def trajectory_derivatives(points: DataFrame, fields: list[str], step: float, key: str = "traj", at: str = "iout", order: int = 4, water: str | None = None) -> DataFrame:
+    """points with ddt_<f>: derivatives of fields by time along each trajectory, whose outputs are `step` apart. Stencils avoid outputs that are null or missing."""
+    wet = water or " and ".join(f"{f} is not null" for f in fields)
+    df = points.withColumn("__there", F.expr(wet))
+    df = calculus.differentiate(df, at, 2, step, {f"ddt_{f}": f for f in fields}, [key], order, 1, False, "__there")
+    return df.select(*[F.col(f"`{c}`") for c in points.columns], *[F.when(F.col("__there"), F.col(f"ddt_{f}")).alias(f"ddt_{f}") for f in fields])

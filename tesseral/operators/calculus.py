@@ -1,10 +1,13 @@
-"""Finite differences along one axis that avoid land, for any number of columns at once.
+"""Finite differences that avoid land, for any number of columns at once.
 
 Per cell, the contiguous water on either side gives a stencil of order + derivative
 points, as centred as it can be; where too little water is there the order falls by
-two. Coefficients follow from the moment conditions, they are no tables. Neighbours
-are fetched by one window over each line of the grid; a periodic axis is padded with
-its own ends first, so that one shuffle serves all fields of a direction.
+two. Coefficients follow from the moment conditions, they are no tables.
+
+derivatives() takes a slice of the mesh, or a band of its rows with the rows beside
+them that a stencil may reach, as one group and differentiates all fields along both
+axes in one pass: one shuffle, and expressions whose number does not grow with the
+fields. differentiate() works along lines of any kind by window functions.
 """
 
 from __future__ import annotations
@@ -12,8 +15,14 @@ from __future__ import annotations
 from fractions import Fraction
 from functools import cache
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
+
+#: Bytes of fields and derivatives that one group holds, about.
+BAND_BYTES = 512 << 20
 
 
 @cache
@@ -130,19 +139,137 @@ def differentiate_uneven(cells: DataFrame, axis: str, coordinate: str, fields: d
     return df.select(*[f"`{c}`" for c in cells.columns], *columns)
 
 
+# ---------------------------------------------------------------- whole slices
+
+
+def _beside(x: np.ndarray, k: int, periodic: bool, empty: float | bool) -> np.ndarray:
+    """The value k places further along the last axis; `empty` beyond the ends of an open one."""
+    out = np.roll(x, -k, axis=-1)
+    if not periodic and k > 0:
+        out[..., x.shape[-1] - min(k, x.shape[-1]) :] = empty
+    elif not periodic and k < 0:
+        out[..., : min(-k, x.shape[-1])] = empty
+    return out
+
+
+def differences(values: np.ndarray, wet: np.ndarray, order: int, derivative: int, delta: float, periodic: bool) -> np.ndarray:
+    """Derivatives of values (field, line, place) along the last axis."""
+    n = values.shape[-1]
+    out = np.zeros_like(values)
+    if n == 1:
+        return out
+    most = reach(order, derivative)
+    left, right = np.zeros(wet.shape, np.int64), np.zeros(wet.shape, np.int64)
+    for run, sign in ((left, -1), (right, 1)):
+        open_ = np.ones(wet.shape, bool)
+        for k in range(1, most + 1):
+            open_ &= _beside(wet, sign * k, periodic, False)
+            run += open_
+    done = np.zeros(wet.shape, bool)
+    for points, rows in stencil_cases(order, derivative):
+        half = (points - 1) // 2
+        fits = ~done & (left + right >= points - 1)
+        taken = np.minimum(np.minimum(left, points), np.maximum(half, points - 1 - np.minimum(right, points)))
+        for on_left, weights in rows:
+            line, place = np.nonzero(fits & (taken == on_left))
+            if not len(line):
+                continue
+            total = np.zeros((len(values), len(line)))
+            for k, w in enumerate(weights):
+                if w:
+                    total += w / delta**derivative * values[:, line, (place + k - on_left) % n]
+            out[:, line, place] = total
+        done |= fits
+    return out
+
+
+def _bands(grid, halo: int, columns: int, periodic_y: bool) -> list[tuple[int, int, int, bool]]:  # noqa: ANN001
+    """(row, band, place in the band, whether the band owns it): bands of rows with `halo` more on either side; one band of all where a slice fits."""
+    rows = max(1, BAND_BYTES // (8 * max(1, columns) * grid.nlon))
+    if rows >= grid.nlat:
+        return []
+    out = []
+    rows = max(rows, halo)
+    for band, lo in enumerate(range(0, grid.nlat, rows)):
+        hi = min(grid.nlat, lo + rows)
+        for i in range(lo - halo, hi + halo):
+            if periodic_y or 0 <= i < grid.nlat:
+                out.append((i % grid.nlat, band, i - lo + halo, lo <= i < hi))
+    return out
+
+
+def derivatives(cells: DataFrame, grid, wanted: list[tuple[str, str, str, int]], keys: list[str], order: int = 4, periodic_x: bool = True, periodic_y: bool = False, water: str | None = None) -> DataFrame:  # noqa: ANN001
+    """cells with one more column for each of wanted (new name, column, axis ilon or ilat, derivative); a column may be a new name before it.
+
+    Derivatives are by the angle, or by metres on a plane. Cells that are not there count as land. A cell on land still gets the derivative
+    from the water beside it; callers mask results where they must.
+    """
+    depth: dict[str, int] = {}
+    for new, field, axis, derivative in wanted:
+        depth[new] = depth.get(field, 0) + (reach(order, derivative) if axis == "ilat" else 0)
+    fields = list(dict.fromkeys(f for _, f, _, _ in wanted if f not in depth))
+    halo = max(depth.values(), default=0)
+    bands = _bands(grid, halo, len(fields) + len(wanted), periodic_y)
+    columns = cells.columns
+    if bands:
+        table = cells.sparkSession.createDataFrame(bands, "ilat int, __band int, __row int, __own boolean")
+        source = cells.join(F.broadcast(table), "ilat").select(*[F.col(f"`{c}`") for c in columns], "__band", "__row", "__own")
+    else:
+        source = cells.withColumns({"__band": F.lit(0), "__row": F.col("ilat"), "__own": F.lit(True)})
+    height = max((r[2] for r in bands), default=grid.nlat - 1) + 1
+    schema = StructType([*cells.schema.fields, *[StructField(new, DoubleType()) for new, *_ in wanted]])
+    whole_y = periodic_y and not bands
+
+    def one(table: pa.Table) -> pa.Table:
+        i, j = table["__row"].to_numpy(), table["ilon"].to_numpy()
+        wet = np.zeros((height, grid.nlon), bool)
+        wet[i, j] = True if water is None else table[water].fill_null(False).to_numpy(zero_copy_only=False)
+        planes = {}
+        for f in fields:
+            values = table[f].cast(pa.float64()).to_numpy()
+            planes[f] = np.zeros((height, grid.nlon))
+            planes[f][i, j] = np.where(np.isnan(values), 0.0, values)
+        # Runs of derivatives of one kind whose columns are at hand are taken together.
+        todo = list(wanted)
+        while todo:
+            _, _, axis, derivative = todo[0]
+            now = [w for w in todo if w[2:] == (axis, derivative) and w[1] in planes]
+            stack = np.stack([planes[f] for _, f, _, _ in now])
+            if axis == "ilon":
+                found = differences(stack, wet, order, derivative, grid.dlon, periodic_x)
+            else:
+                found = differences(stack.transpose(0, 2, 1), wet.T, order, derivative, grid.dlat, whole_y).transpose(0, 2, 1)
+            for (new, *_), plane in zip(now, found, strict=True):
+                planes[new] = plane
+            todo = [w for w in todo if w not in now]
+        out = table.select(columns)
+        for new, *_ in wanted:
+            out = out.append_column(new, pa.array(planes[new][i, j]))
+        return out.filter(table["__own"]) if bands else out
+
+    return source.groupBy(*keys, "__band").applyInArrow(one, schema)
+
+
 def spherical_gradients(cells: DataFrame, grid, fields: list[str], keys: list[str], order: int = 4, derivative: int = 1, periodic_x: bool = True, periodic_y: bool = False, water: str | None = None) -> DataFrame:  # noqa: ANN001
     """cells with dlon_<f> and dlat_<f> (d2lon_, d2lat_ for the second derivative) by the angle, or dx and dy on a plane."""
     p = "d" if derivative == 1 else f"d{derivative}"
-    df = differentiate(cells, "ilon", grid.nlon, grid.dlon, {f"{p}lon_{f}": f for f in fields}, [*keys, "ilat"], order, derivative, periodic_x, water)
-    return differentiate(df, "ilat", grid.nlat, grid.dlat, {f"{p}lat_{f}": f for f in fields}, [*keys, "ilon"], order, derivative, periodic_y, water)
+    wanted = [(f"{p}{axis}_{f}", f, f"i{axis}", derivative) for axis in ("lon", "lat") for f in fields]
+    return derivatives(cells, grid, wanted, keys, order, periodic_x, periodic_y, water)
+
+
+def depth_derivatives(cells: DataFrame, depth: str, fields: list[str], keys: list[str], positive_down: bool = True) -> DataFrame:
+    """cells with dr_<f>, the radial derivative from three levels of the column `depth`; positive_down: depth grows downwards."""
+    df = differentiate_uneven(cells, "idepth", depth, {f"dr_{f}": f for f in fields}, keys)
+    return df.withColumns({f"dr_{f}": -F.col(f"dr_{f}") for f in fields}) if positive_down else df
 
 
-def cartesian_derivatives(field: str, lon: str = "lon", lat: str = "lat", radius: float = 6371e3) -> tuple[str, str, str]:
-    """d/dx, d/dy, d/dz as SQL text from dlon_<field>, dlat_<field> on the sphere, without the radial derivative."""
+def cartesian_derivatives(field: str, lon: str = "lon", lat: str = "lat", radius: float = 6371e3, radial: str | None = None) -> tuple[str, str, str]:
+    """d/dx, d/dy, d/dz as SQL text from dlon_<field>, dlat_<field> on the sphere, and from the radial derivative if it is named."""
     a, b = f"dlon_{field}", f"dlat_{field}"
     r = repr(radius)
+    up = [f" + {e} * {radial}" if radial else "" for e in (f"cos({lon}) * cos({lat})", f"sin({lon}) * cos({lat})", f"sin({lat})")]
     return (
-        f"((-sin({lon}) / ({r} * cos({lat}))) * {a} - (cos({lon}) * sin({lat}) / {r}) * {b})",
-        f"((cos({lon}) / ({r} * cos({lat}))) * {a} - (sin({lon}) * sin({lat}) / {r}) * {b})",
-        f"((cos({lat}) / {r}) * {b})",
+        f"((-sin({lon}) / ({r} * cos({lat}))) * {a} - (cos({lon}) * sin({lat}) / {r}) * {b}{up[0]})",
+        f"((cos({lon}) / ({r} * cos({lat}))) * {a} - (sin({lon}) * sin({lat}) / {r}) * {b}{up[1]})",
+        f"((cos({lat}) / {r}) * {b}{up[2]})",
     )

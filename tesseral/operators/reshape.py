@@ -50,9 +50,9 @@ def decimate(cells: DataFrame, lat_step: int, lon_step: int) -> DataFrame:
 
 
 def merge_scales(parts: dict[float, DataFrame]) -> DataFrame:
-    """Results of several scales as one table with the key ell."""
+    """Results of several scales as one table with the key ell, by size of the scale."""
     out = None
-    for ell, df in parts.items():
+    for ell, df in sorted(parts.items()):
         one = df.withColumn("ell", F.lit(float(ell)))
         out = one if out is None else out.unionByName(one)
     if out is None:
@@ -70,6 +70,12 @@ def merge_resolutions(parts: list[tuple[int, DataFrame]], keys: list[str]) -> Da
     return out.withColumn("__rank", F.rank().over(best)).where("__rank = 1").drop("__rank", "__size")
 
 
+def merge_results(parts: dict[float, dict[str, DataFrame]], exclude: tuple[str, ...] = ()) -> dict[str, DataFrame]:
+    """Post-processed tables of several scales, {scale: {kind: table}}, as one table a kind; kinds of `exclude` are left out."""
+    kinds = sorted({k for own in parts.values() for k in own} - set(exclude))
+    return {k: merge_scales({ell: own[k] for ell, own in parts.items() if k in own}) for k in kinds}
+
+
 def merge_times(parts: list[DataFrame], time: str = "itime") -> DataFrame:
     """Tables one after another in time; indices are renumbered by their order over all parts."""
     out = None
@@ -149,9 +155,20 @@ def interpolate_times(cells: DataFrame, source: list[float], target: list[float]
 
 
 def coast(cells: DataFrame, grid: Grid, reach: int = 20, keys: list[str] | None = None, water: str = "water") -> DataFrame:
-    """Water cells within `reach` steps (rows plus columns) of land: land cells are spread over offsets and met by an equi-join."""
+    """Water cells within `reach` steps (rows plus columns) of land.
+
+    A distance transform by running extremes: along each circle of latitude, opened and padded by `reach` of its own cells, the nearest land on either side; then,
+    along each meridian, the least of that and of the steps between rows. Every cell is sorted twice and stays one row.
+    """
     keys = ["itime", "idepth"] if keys is None else keys
-    steps = cells.sparkSession.createDataFrame([(a, b) for a in range(-reach, reach + 1) for b in range(-(reach - abs(a)), reach - abs(a) + 1)], "da int, db int")
-    land = cells.where(~F.col(water)).select(*keys, "ilat", "ilon").crossJoin(F.broadcast(steps))
-    near = land.select(*keys, (F.col("ilat") + F.col("da")).alias("ilat"), F.pmod(F.col("ilon") + F.col("db"), F.lit(grid.nlon)).cast("int").alias("ilon")).distinct()
-    return cells.where(F.col(water)).join(near, [*keys, "ilat", "ilon"], "left_semi")
+    n, pad = grid.nlon, min(reach, grid.nlon)
+    copies = F.array(F.lit(0), F.when(F.col("ilon") >= n - pad, F.lit(-n)), F.when(F.col("ilon") < pad, F.lit(n)))
+    df = cells.withColumn("__shift", F.explode(F.filter(copies, lambda x: x.isNotNull()))).withColumn("__at", F.col("ilon") + F.col("__shift"))
+    land = F.when(~F.col(water), F.col("__at"))
+    east = Window.partitionBy(*keys, "ilat").orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
+    west = Window.partitionBy(*keys, "ilat").orderBy(F.desc("__at")).rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumn("__d", F.least(F.col("__at") - F.max(land).over(east), F.min(land).over(west) - F.col("__at"))).where("__shift = 0")
+    north = Window.partitionBy(*keys, "ilon").orderBy("ilat").rowsBetween(Window.unboundedPreceding, 0)
+    south = Window.partitionBy(*keys, "ilon").orderBy(F.desc("ilat")).rowsBetween(Window.unboundedPreceding, 0)
+    steps = F.least(F.min(F.col("__d") - F.col("ilat")).over(north) + F.col("ilat"), F.min(F.col("__d") + F.col("ilat")).over(south) - F.col("ilat"))
+    return df.withColumn("__steps", steps).where(F.col(water) & (F.col("__steps") <= reach)).select(*[F.col(f"`{c}`") for c in cells.columns])

@@ -95,10 +95,10 @@ def two_layer_terms(rho: tuple[float, float], alpha: float, nu: float, g: float)
             "bc_KE": f"h{k} * (dx_p{k} * (ut{k} - u{k}) + dy_p{k} * (vt{k} - v{k}))",
             "bc_PE": f"{g * rho[0]!r} * ({cross[0]} + {cross[1]})" if upper else "0.0",
             "bc_PE_part": f"{g * rho[0]!r} * ({cross[1] if upper else cross[0]})",
-            "misc1": f"{g * rho[0]!r} * h1 * (dx_h0 * u0 + dy_h0 * v0)" if upper else f"-{g * rho[0]!r} * h1 * (dx_h0 * u1 + dy_h0 * v1)",
-            "misc2": f"ut{k} * tau_hpx{k} + vt{k} * tau_hpy{k}",
-            "misc3": f"{alpha * g * rho[k]!r} * (dx_h{k} * dx_h{k} * dx_ut{k} + dx_h{k} * dy_h{k} * (dy_ut{k} + dx_vt{k}) + dy_h{k} * dy_h{k} * dy_vt{k})",
-            "misc_conversion": f"{alpha * g * rho[0]!r} * (dx_ut{k} * dx_h0 * dx_h1 + 0.5 * (dy_ut{k} + dx_vt{k}) * (dx_h0 * dy_h1 + dy_h0 * dx_h1) + dy_vt{k} * dy_h0 * dy_h1)",
+            "cross_layer_work": f"{g * rho[0]!r} * h1 * (dx_h0 * u0 + dy_h0 * v0)" if upper else f"-{g * rho[0]!r} * h1 * (dx_h0 * u1 + dy_h0 * v1)",
+            "pressure_stress_work": f"ut{k} * tau_hpx{k} + vt{k} * tau_hpy{k}",
+            "thickness_strain": f"{alpha * g * rho[k]!r} * (dx_h{k} * dx_h{k} * dx_ut{k} + dx_h{k} * dy_h{k} * (dy_ut{k} + dx_vt{k}) + dy_h{k} * dy_h{k} * dy_vt{k})",
+            "thickness_conversion": f"{alpha * g * rho[0]!r} * (dx_ut{k} * dx_h0 * dx_h1 + 0.5 * (dy_ut{k} + dx_vt{k}) * (dx_h0 * dy_h1 + dy_h0 * dx_h1) + dy_vt{k} * dy_h0 * dy_h1)",
         }
     return out
 

@@ -13,7 +13,8 @@ from tesseral.functions import geometry, kernels, seawater
 from tesseral.grid import Grid
 from tesseral.operators import aggregate, calculus, diagnostics, reshape
 from tesseral.operators import coarse as coarse_ops
-from tesseral.plans.fields import AREA, CUBE, DANG, FLAT, GRID, LAT, LON, MESH, WATER, cube, derived, flat
+from tesseral.plans.fields import AREA, CUBE, DANG, FLAT, GRID, LAT, LON, MESH, WATER, cube, flat
+from tesseral.plans.oracle import COEFFICIENTS, REGIONS, SEA_WATER, both, coefficient_rows, derived
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -112,24 +113,30 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole
 
 
+#: Where each kernel ends, in units of half its scale; the sinc is summed up to 100 at ten times the points.
+_ENDS = {"tophat": 1.1, "hypergaussian": 2.5, "gaussian": 5.0, "johnsongaussian": 15.0, "sinc": 100.0, "smoothhat": 2.5, "highorder": 2.5}
+
+
 def _alpha_sql() -> str:
     parts = []
     for k, e in _SHAPES.items():
-        if k == "sinc":  # both sums cancel to rounding errors
-            continue
-        n, step, _ = kernels.alpha_sums(FilterConfig(kernel=k))
+        n = 100_000 if k == "sinc" else 10_000
         shape = e.replace(_D, "(r / 0.5)").replace("d = 0", "r = 0")
-        parts.append(f"select '{k}' as kernel, round(sum(({shape}) * r * r * r) / sum(({shape}) * r), 6) + 0.0 as alpha from (select range * {step!r} as r from range({n}))")
+        # The lower sum of the sinc cancels to rounding: no ratio, both sums are compared.
+        ratio = "null::double" if k == "sinc" else f"round(sum(({shape}) * r * r * r) / sum(({shape}) * r), 6) + 0.0"
+        parts.append(f"select '{k}' as kernel, {ratio} as alpha, round(sum(({shape}) * r * r * r) * {_ENDS[k]}::double / {n}, 4) + 0.0 as upper, round(sum(({shape}) * r) * {_ENDS[k]}::double / {n}, 4) + 0.0 as lower from (select range * ({_ENDS[k]}::double / {n}) as r from range({n}))")
     return " union all ".join(parts)
 
 
 @query("g8_kernel_alpha", _alpha_sql())
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = None
-    for k in [k for k in KERNEL_PAD if k != "sinc"]:
+    for k in KERNEL_PAD:
         n, step, shape = kernels.alpha_sums(FilterConfig(kernel=k))
         df = spark.range(n).select((F.col("id") * step).alias("r")).select("r", F.expr(shape).alias("k"))
-        one = df.agg(F.sum(F.expr("k * r * r * r")).alias("a"), F.sum(F.expr("k * r")).alias("b")).select(F.lit(k).alias("kernel"), (F.round(F.expr("a / b"), 6) + 0.0).alias("alpha"))
+        one = df.agg(F.sum(F.expr("k * r * r * r")).alias("a"), F.sum(F.expr("k * r")).alias("b"))
+        alpha = F.lit(None).cast("double") if k == "sinc" else F.round(F.expr("a / b"), 6) + 0.0
+        one = one.select(F.lit(k).alias("kernel"), alpha.alias("alpha"), *[(F.round(F.col(c) * step, 4) + 0.0).alias(n) for c, n in (("a", "upper"), ("b", "lower"))])
         whole = one if whole is None else whole.unionByName(one)
     return whole
 
@@ -151,13 +158,9 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out(cube(spark, sf_dir).where("u is not null"), ["itime", "idepth", *PLACE], 4, ke=geometry.kinetic_energy(CFG.rho0, "u", "v"))
 
 
-def _horner(c: tuple[float, ...]) -> str:
-    return " + ".join(f"{x!r} * power(t, {k})" for k, x in enumerate(c))
-
-
-_S = seawater
-_RHO = f"(({_horner(_S.DENSITY_FRESH)}) + s * ({_horner(_S.DENSITY_S)}) + power(s, 1.5) * ({_horner(_S.DENSITY_S15)}) + s * s * ({_horner(_S.DENSITY_S2)}))"
-_BULK = f"(({_horner(_S.BULK_FRESH)}) + s * ({_horner(_S.BULK_S)}) + power(s, 1.5) * ({_horner(_S.BULK_S15)}) + p * (({_horner(_S.BULK_P)}) + s * ({_horner(_S.BULK_PS)}) + power(s, 1.5) * ({_horner(_S.BULK_PS15)})) + p * p * (({_horner(_S.BULK_P2)}) + s * ({_horner(_S.BULK_P2S)})))"
+_W = {k: f"({e})" for k, e in SEA_WATER.items()}
+_RHO = "({rho_w} + s * {rho_s} + s**1.5 * {rho_s15} + s * s * {rho_s2})".format(**_W)
+_BULK = "({k_w} + s * {k_s} + s**1.5 * {k_s15} + p * ({k_p} + s * {k_ps} + s**1.5 * {k_ps15}) + p * p * ({k_p2} + s * {k_p2s}))".format(**_W)
 
 
 @query("g12_density", f"with {FLAT}, w as (select ilat, ilon, 10 + u as t, 35 + v / 10 as s, 50 + 10 * ssh as p from flat) select ilat, ilon, round({_RHO} / (1 - p / {_BULK}), 4) + 0.0 as rho from w")
@@ -175,7 +178,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MESH_DEG = f"{MESH}, deg as (select ilat, ilon, -85.0 + 10.0 * ilat as lat, -175.0 + 10.0 * ilon as lon from mesh)"
 
 
-@query("g14_regions", f"with {_MESH_DEG} " + " union all ".join(f"select '{r}' as region, ilat, ilon from deg where {c}" for r, c in geometry.REGIONS.items()))
+@query("g14_regions", f"with {_MESH_DEG} " + " union all ".join(f"select '{r}' as region, ilat, ilon from deg where {c}" for r, c in REGIONS.items()))
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregate.region_table(GRID, spark, geometry.REGIONS)
 
@@ -187,9 +190,18 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reshape.mask_poles(cells, poles).select("ilat", "ilon", "water")
 
 
-@query("g16_index", f"with {CUBE} select cast(((itime * 7 + idepth) * 18 + ilat) * 36 + ilon as bigint) as cell, itime, idepth, ilat, ilon from cube")
+_SIZES = {"itime": 7, "idepth": 7, "ilat": 18, "ilon": 36}
+
+
+@query("g16_index", f"with {CUBE}, n as (select (itime * 7 + idepth) as slice, row_number() over (partition by itime, idepth order by ilat, ilon) - 1 as place, itime, idepth, ilat, ilon from cube) select cast(slice * 648 + place as bigint) as cell, itime, idepth, ilat, ilon from n")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = cube(spark, sf_dir).select(F.expr(geometry.cell_index(_SIZES)).alias("cell"))
+    return cells.select("cell", *[F.expr(e).alias(k) for k, e in geometry.cell_places("cell", _SIZES).items()])
+
+
+@query("g1_radians", f"with {MESH} select ilat, ilon, round((-85.0 + 10.0 * ilat) * pi() / 180, 9) + 0.0 as lat, round((-175.0 + 10.0 * ilon) * pi() / 180, 9) + 0.0 as lon from mesh")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cube(spark, sf_dir).select(F.expr("cast(((itime * 7 + idepth) * 18 + ilat) * 36 + ilon as bigint)").alias("cell"), "itime", "idepth", "ilat", "ilon")
+    return out(_located(spark, sf_dir), PLACE, 9, lat="lat", lon="lon")
 
 
 # ------------------------------------------------------------------ reshaping
@@ -253,12 +265,25 @@ _BRUTE_SHAPES = {k: e.replace(_D, "dd").replace("d = 0", "dd = 0") for k, e in _
 _BRUTE_SHAPES = {k: e.replace("ddd", "dd") for k, e in _BRUTE_SHAPES.items()}
 
 
+def _window(pad: float) -> str:
+    """CTE win(ell, i, j, m): rows j in the window of row i, and the columns on either side."""
+    half, there, back = f"({pad} * ell / 2)", "(sin(a.lat) * sin(b.lat) + cos(a.lat) * cos(b.lat))", "(sin(a.lat) * sin(b.lat) - cos(a.lat) * cos(b.lat))"
+    clip = "greatest(-1.0, least(1.0, {}))".format
+    top = f"(case when {half} >= pi() * 6371e3 then -1.0 else cos({half} / 6371e3) end)"
+    return (
+        f"rows_ as (select cast(range as int) as i, {LAT.format(a='').replace('ilat', 'range')} as lat from range(18)), "
+        f"win as (select ell, a.i, b.i as j, case when 6371e3 * acos({clip(back)}) <= {half} then 36 when a.i <> b.i and 6371e3 * acos({clip(there)}) >= {half} then 1 "
+        f"else cast(ceil(acos({clip(f'({top} - sin(a.lat) * sin(b.lat)) / (cos(a.lat) * cos(b.lat))')}) / {DANG}) as int) end as m "
+        f"from scales, rows_ a, rows_ b where b.i - a.i between -least(18, cast(ceil({half} / (6371e3 * {DANG})) as int)) and least(18, cast(ceil({half} / (6371e3 * {DANG})) as int)) - 1)"
+    )
+
+
 def _kernel_query(kernel: str) -> None:
     cfg = FilterConfig(kernel=kernel)
     sql = f"with {FLAT}, {_brute(_BRUTE_SHAPES[kernel])} select ell, ilat, ilon, {rounded(u='u', v='v')} from coarse"
     if kernel == "highorder":  # its weight at the edge of the window is not negligible
-        rows = ", ".join(f"({ell!r}::double, {i}, {j}, {lo}, {hi})" for ell, i, j, lo, hi in coarse_ops.windows(GRID, SCALES, cfg))
-        sql = sql.replace("coarse as (select", f"win(ell, i, j, lo, hi) as (values {rows}), inside as (select pairs.* from pairs join win on pairs.ell = win.ell and ilat = i and jlat = j and ((jlon - ilon + 54) % 36 - 18 between lo and hi)), coarse as (select").replace("from pairs group by all", "from inside group by all")
+        inside = "inside as (select pairs.* from pairs join win on pairs.ell = win.ell and ilat = i and jlat = j and (2 * m >= 36 or (jlon - ilon + 54) % 36 - 18 between -m and m - 1))"
+        sql = sql.replace("coarse as (select", f"{_window(2.5)}, {inside}, coarse as (select").replace("from pairs group by all", "from inside group by all")
 
     @query(f"j4_coarse_{kernel}", sql)
     def _(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -274,9 +299,9 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out(coarse_ops.coarse_grain(cube(spark, sf_dir), GRID, SCALES, ["u", "v"]), ["ell", "itime", "idepth", *PLACE], u="u", v="v")
 
 
-@query("j4_coarse_dense", f"with {FLAT}, {_brute()} select ell, ilat, ilon, {rounded(u='u', v='v')} from coarse")
+@query("j4_coarse_pairs", f"with {FLAT}, {_brute()} select ell, ilat, ilon, {rounded(u='u', v='v')} from coarse")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return out(coarse_ops.coarse_grain_dense(flat(spark, sf_dir), GRID, SCALES, ["u", "v"]), ["ell", *PLACE], u="u", v="v")
+    return out(coarse_ops.coarse_grain_pairs(flat(spark, sf_dir), GRID, SCALES, ["u", "v"]), ["ell", *PLACE], u="u", v="v")
 
 
 @query("j4_deform_land", f"with {CUBE}, {_brute(source='cube', keys='itime idepth', below='(case when u_ is null then 0 else 1 end)')} select ell, itime, idepth, ilat, ilon, {rounded(u='u')} from coarse")
@@ -342,27 +367,11 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out(_coarse_products(spark, sf_dir), ["ell", *PLACE], uu="uu", uv="uv", vv="vv")
 
 
-@query("d10_energies", f"{_COARSE_Q} select ell, ilat, ilon, {rounded(2, coarse_KE='512.5 * (u * u + v * v)', fine_KE='512.5 * (uu + vv) - 512.5 * (u * u + v * v)')} from coarse")
-def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = diagnostics.energies_sql(CFG, ("u", "v"), "512.5 * (uu + vv)")
-    return out(_coarse_products(spark, sf_dir), ["ell", *PLACE], 2, coarse_KE=e["coarse_KE"], fine_KE=e["fine_KE"])
-
-
 @query("d11_potential_conversion", f"{_COARSE_Q} select ell, ilat, ilon, {rounded(PEtoKE='(rho - 1025) * -9.81 * v')} from coarse")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out(_coarse_products(spark, sf_dir), ["ell", *PLACE], PEtoKE=diagnostics.potential_conversion_sql(CFG, "rho", "v"))
 
 
-@query("d13_barrho_barw", f"{_COARSE_Q} select ell, ilat, ilon, {rounded(4, barrho_barw='rho * v')} from coarse")
-def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return out(_coarse_products(spark, sf_dir), ["ell", *PLACE], 4, barrho_barw="rho * v")
-
-
-@query("d14_wind_forcing", f"{_COARSE_Q} select ell, ilat, ilon, {rounded(forcing='uv - u * v')} from coarse")
-def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return out(_coarse_products(spark, sf_dir), ["ell", *PLACE], forcing="uv - u * v")
-
-
 @query("j3_stencil", f"with {_ELLS.replace('scales(ell) as', 'scales(ell) as')}, t as (select cast(range as int) as ilat, {LAT.format(a='').replace('ilat', 'range')} as lat from range(18)), p as (select s.ell, a.ilat, b.ilat as jlat, a.lat as a, b.lat as b, o.range - 18 as doff from scales s, t a, t b, range(36) o), d as (select *, 2 * 6371e3 * asin(least(1.0, sqrt(power(sin((b - a) / 2), 2) + cos(a) * cos(b) * power(sin(doff * {DANG} / 2), 2)))) / (ell / 2) as dd from p) select ell, ilat, round(sum(exp(-dd * dd) * cos(b) * {DANG} * {DANG}) , 8) + 0.0 as w from d group by ell, ilat")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     table, _ = coarse_ops.stencil(spark, GRID, SCALES, CFG)
@@ -372,6 +381,11 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 _WINDOW_SQL = "with t as (select cast(range as int) as ilat from range(18)), e(ell) as (values (2e6::double), (5e6::double)) select ell, ilat, greatest(0, ilat - least(18, cast(ceil(5 * ell / (6371e3 * radians(10.0)) / 2) as int))) as lo, least(18, ilat + least(18, cast(ceil(5 * ell / (6371e3 * radians(10.0)) / 2) as int))) as hi from t, e"
 
 
+@query("j2_lon_bounds", f"with {_ELLS}, {_window(5.0)} select ell, i as ilat, j as jlat, cast(case when 2 * m >= 36 then -18 else -m end as int) as lo, cast(case when 2 * m >= 36 then 17 else m - 1 end as int) as hi from win")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame(coarse_ops.windows(GRID, SCALES, CFG), "ell double, ilat int, jlat int, lo int, hi int")
+
+
 @query("j1_lat_bounds", _WINDOW_SQL)
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = coarse_ops.windows(GRID, SCALES, CFG)
@@ -386,16 +400,16 @@ _KEYS = ["itime", "idepth"]
 
 def _derivative_query(name: str, axis: str, order: int, derivative: int, water: str | None = None) -> None:
     other = "ilat" if axis == "ilon" else "ilon"
-    sql = f"with {FLAT}, {derived('d', 'flat', [other], axis, {'du': 'u', 'dv': 'v'}, order, derivative, water=water or 'true')} select ilat, ilon, {rounded(4, du='du', dv='dv')} from d"
+    sql = f"with {FLAT}, {derived('d', 'flat', [other], axis, {'du': 'u', 'dv': 'v'}, order, derivative, water=water or 'true')} select ilat, ilon, {rounded(4, du='du', dv='dv')} from d where {water or 'true'}"
 
     @query(name, sql)
     def _(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = flat(spark, sf_dir).withColumn("water", F.expr(water or "true"))
         n, delta = (GRID.nlon, GRID.dlon) if axis == "ilon" else (GRID.nlat, GRID.dlat)
-        return out(calculus.differentiate(df, axis, n, delta, {"du": "u", "dv": "v"}, [*_KEYS, other], order, derivative, axis == "ilon", "water"), PLACE, 4, du="du", dv="dv")
+        return out(calculus.differentiate(df, axis, n, delta, {"du": "u", "dv": "v"}, [*_KEYS, other], order, derivative, axis == "ilon", "water").where("water"), PLACE, 4, du="du", dv="dv")
 
 
-for _o in (2, 4, 6):
+for _o in (2, 3, 4, 6):
     _derivative_query(f"j7_d_lon_order{_o}", "ilon", _o, 1)
     _derivative_query(f"j7_d_lat_order{_o}", "ilat", _o, 1)
 _derivative_query("j7_d2_lon", "ilon", 4, 2)
@@ -404,15 +418,14 @@ _derivative_query("j7_d_lon_land", "ilon", 4, 1, WATER)
 _derivative_query("j7_d_lat_land", "ilat", 4, 1, WATER)
 
 
-def _coefficient_rows() -> list[tuple[int, int, int, int, float]]:
-    return [(o, d, left, k, w) for o in (2, 4, 6) for d in (1, 2) for n, rows in calculus.stencil_cases(o, d)[:1] for left, weights in rows for k, w in enumerate(weights)]
+_J9 = ", ".join(f"({p - d}, {d}, {left}, {k}, {w!r}::double)" for p, d in COEFFICIENTS if p - d > 1 for left, k, w in coefficient_rows(p, d))
 
 
-@query("j9_coefficients", 'with p as (select o, d, l, m from (values (2), (4), (6)) a(o), (values (1), (2)) b(d), range(8) c(l), range(8) e(m) where l < o + d and m < o + d) select cast(o as int) as "order", cast(d as int) as derivative, cast(l as int) as "left", cast(m as int) as moment, round(case when m = d then (case when d = 2 then 2.0 else 1.0 end) else 0.0 end, 8) + 0.0 as total from p')
+@query("j9_coefficients", f'with c("order", derivative, "left", k, w) as (values {_J9}) select "order", derivative, "left", k, round(w, 9) + 0.0 as w from c')
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(_coefficient_rows(), "order int, derivative int, left int, k int, w double")
-    powers = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("order") + F.col("derivative") - 1)).alias("moment"))
-    return out(powers.groupBy("order", "derivative", "left", "moment").agg(F.sum(F.col("w") * F.when(F.col("moment") == 0, 1.0).otherwise(F.pow(F.col("k") - F.col("left"), F.col("moment")))).alias("total")), ["order", "derivative", "left", "moment"], 8, total="total")
+    asked = [(p - d, d) for p, d in COEFFICIENTS if p - d > 1]
+    rows = [(o, d, left, k, w) for o, d in asked for left, weights in calculus.stencil_cases(o, d)[0][1] for k, w in enumerate(weights)]
+    return out(spark.createDataFrame(rows, "order int, derivative int, left int, k int, w double"), ["order", "derivative", "left", "k"], 9, w="w")
 
 
 _UNEVEN = Grid(tuple(math.radians(-80 + 8.0 * k + 0.08 * k * k) for k in range(18)), GRID.lons)
@@ -426,14 +439,22 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out(calculus.differentiate_uneven(df, "ilat", "lat", {"du": "u"}, [*_KEYS, "ilon"]), PLACE, 4, du="du")
 
 
-def _both(name: str, source: str, fields: list[str], keys: list[str] = [], order: int = 4, derivative: int = 1, periodic_y: bool = False) -> str:  # noqa: B006
-    p = "d" if derivative == 1 else "d2"
-    one = derived(f"{name}_x", source, [*keys, "ilat"], "ilon", {f"{p}lon_{f}": f for f in fields}, order, derivative)
-    return f"{one}, {derived(name, f'{name}_x', [*keys, 'ilon'], 'ilat', {f'{p}lat_{f}': f for f in fields}, order, derivative, periodic_y)}"
+@query("j7_slices_land", f"with {CUBE}, {both('g', 'cube', ['u'], ['itime', 'idepth'], water=WATER)} select itime, idepth, ilat, ilon, {rounded(4, dx='dlon_u', dy='dlat_u')} from g where {WATER}")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = cube(spark, sf_dir).withColumn("water", F.expr(WATER))
+    return out(calculus.spherical_gradients(df, GRID, ["u"], _KEYS, water="water").where("water"), [*_KEYS, *PLACE], 4, dx="dlon_u", dy="dlat_u")
+
+
+_J8R = "6371e3"
+_J8 = {"dx": f"-sin(lon) / ({_J8R} * cos(lat)) * dlon_u - cos(lon) * sin(lat) / {_J8R} * dlat_u + cos(lon) * cos(lat) * dr", "dy": f"cos(lon) / ({_J8R} * cos(lat)) * dlon_u - sin(lon) * sin(lat) / {_J8R} * dlat_u + sin(lon) * cos(lat) * dr", "dz": f"cos(lat) / {_J8R} * dlat_u + sin(lat) * dr"}
+_LEVELS = "lev as (select *, 10.0 * idepth + 5.0 * idepth * idepth as z from cube), around as (select *, lag(z) over w as za, lead(z) over w as zb, lag(z, 2) over w as zz, lead(z, 2) over w as zc, lag(f) over w as fa, lead(f) over w as fb, lag(f, 2) over w as fz, lead(f, 2) over w as fc from (select *, coalesce(u, 0) as f from lev) window w as (partition by itime, ilat, ilon order by idepth))"
+_QUAD = "({f0} * ((z - {x1}) + (z - {x2})) / (({x0} - {x1}) * ({x0} - {x2})) + {f1} * ((z - {x0}) + (z - {x2})) / (({x1} - {x0}) * ({x1} - {x2})) + {f2} * ((z - {x0}) + (z - {x1})) / (({x2} - {x0}) * ({x2} - {x1})))"
+_DR = f"radial as (select *, -(case when za is not null and zb is not null then {_QUAD.format(x0='za', f0='fa', x1='z', f1='f', x2='zb', f2='fb')} when za is null then {_QUAD.format(x0='z', f0='f', x1='zb', f1='fb', x2='zc', f2='fc')} else {_QUAD.format(x0='zz', f0='fz', x1='za', f1='fa', x2='z', f2='f')} end) as dr from around)"
 
 
-@query("j8_cartesian_derivatives", f"with {FLAT}, {_both('g', 'flat', ['u'])} select ilat, ilon, {rounded(dx='1e6 * (-sin(lon) / (6371e3 * cos(lat)) * dlon_u - cos(lon) * sin(lat) / 6371e3 * dlat_u)', dy='1e6 * (cos(lon) / (6371e3 * cos(lat)) * dlon_u - sin(lon) * sin(lat) / 6371e3 * dlat_u)', dz='1e6 * cos(lat) / 6371e3 * dlat_u')} from g")
+@query("j8_cartesian_derivatives", f"with {CUBE}, {_LEVELS}, {_DR}, {both('g', 'radial', ['u'], ['itime', 'idepth'])} select itime, idepth, ilat, ilon, {rounded(4, **_J8)} from g")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = GRID.located(calculus.spherical_gradients(flat(spark, sf_dir), GRID, ["u"], _KEYS), CFG)
-    x, y, z = calculus.cartesian_derivatives("u")
-    return out(df, PLACE, dx=f"1e6 * {x}", dy=f"1e6 * {y}", dz=f"1e6 * {z}")
+    df = cube(spark, sf_dir).select(*_KEYS, *PLACE, F.coalesce("u", F.lit(0.0)).alias("u"), F.expr("10.0D * idepth + 5.0D * idepth * idepth").alias("z"))
+    df = calculus.depth_derivatives(df, "z", ["u"], ["itime", "ilat", "ilon"])
+    df = GRID.located(calculus.spherical_gradients(df, GRID, ["u"], _KEYS), CFG)
+    return out(df, [*_KEYS, *PLACE], 4, **dict(zip(("dx", "dy", "dz"), calculus.cartesian_derivatives("u", radial="dr_u"), strict=True)))

@@ -4,17 +4,17 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesseral.config import FilterConfig
 from tesseral.functions import geometry
 from tesseral.grid import Grid
-from tesseral.operators import aggregate, calculus, diagnostics, particles, reshape, shallow_water, solve
+from tesseral.operators import aggregate, diagnostics, particles, reshape, shallow_water, solve
 from tesseral.operators import coarse as coarse_ops
-from tesseral.plans.catalog import _COARSE_Q, CFG, PLACE, SCALES, _both, _brute, _coarse_products, out, query, rounded
-from tesseral.plans.fields import AREA, CUBE, FLAT, GRID, LAT, LON, MESH, WATER, cube, derived, flat
+from tesseral.plans.catalog import _COARSE_Q, CFG, PLACE, SCALES, _brute, _coarse_products, out, query, rounded
+from tesseral.plans.fields import AREA, CUBE, FLAT, GRID, LAT, LON, MESH, WATER, cube, flat
+from tesseral.plans.oracle import both, derived
 
 KEYS = ["itime", "idepth"]
 R = "6371e3"
@@ -33,12 +33,12 @@ def _vorticity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diagnostics.vorticity(flat(spark, sf_dir), GRID, u_lon="u", u_lat="v")
 
 
-@query("d1_vorticity", f"with {FLAT}, {_both('g', 'flat', ['u', 'v'])} select ilat, ilon, {rounded(vort_r=f'1e6 * {_VORT}', div=f'1e6 * {_DIV}', okubo_weiss=f'1e12 * (pow({_SN}, 2) + pow({_SS}, 2) - pow({_VORT}, 2))')} from g")
+@query("d1_vorticity", f"with {FLAT}, {both('g', 'flat', ['u', 'v'])} select ilat, ilon, {rounded(vort_r=f'1e6 * {_VORT}', div=f'1e6 * {_DIV}', okubo_weiss=f'1e12 * (pow({_SN}, 2) + pow({_SS}, 2) - pow({_VORT}, 2))')} from g")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out(_vorticity(spark, sf_dir), PLACE, vort_r="1e6 * vort_r", div="1e6 * div", okubo_weiss="1e12 * okubo_weiss")
 
 
-@query("d2_rotation_strain", f"with {FLAT}, {_both('g', 'flat', ['u', 'v'])}, e as (select *, {_VORT} as w, (dlon_u / cos(lat) - tan(lat) * v) / {R} as s11, dlat_v / {R} as s22, {_SS} / 2 as s12 from g) select ilat, ilon, {rounded(cyclonic='1e12 * case when w * lat >= 0 then w * w / 2 else 0 end', anticyclonic='1e12 * case when w * lat < 0 then w * w / 2 else 0 end', divergent='1e12 * (s11 * s11 + s22 * s22)', strain='1e12 * 2 * s12 * s12')} from e")
+@query("d2_rotation_strain", f"with {FLAT}, {both('g', 'flat', ['u', 'v'])}, e as (select *, {_VORT} as w, (dlon_u / cos(lat) - tan(lat) * v) / {R} as s11, dlat_v / {R} as s22, {_SS} / 2 as s12 from g) select ilat, ilon, {rounded(cyclonic='1e12 * case when w * lat >= 0 then w * w / 2 else 0 end', anticyclonic='1e12 * case when w * lat < 0 then w * w / 2 else 0 end', divergent='1e12 * (s11 * s11 + s22 * s22)', strain='1e12 * 2 * s12 * s12')} from e")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = GRID.located(_vorticity(spark, sf_dir), CFG)
     return out(df, PLACE, **{k: f"1e12 * {e}" for k, e in diagnostics.rotation_strain_energies().items()})
@@ -64,7 +64,7 @@ def _tau(a: str, b: str) -> str:
 
 _PI = "-1025 * (" + " + ".join(f"{_grad('u' + a, b)} * {_tau(a, b)}" for a in "xyz" for b in "xyz") + ")"
 _DIVJ = "1025 * (" + " + ".join(f"u{a} * {_grad('u' + ''.join(sorted(a + b)), b)} + {_grad('u' + a, b)} * {_tau(a, b)}" for a in "xyz" for b in "xyz") + ")"
-_PIBASE = f"with {FLAT}, {_CARTQ}, {_brute(fields=_UF, source='quad')}, {_both('g', 'coarse', _UF.split(), ['ell'])}"
+_PIBASE = f"with {FLAT}, {_CARTQ}, {_brute(fields=_UF, source='quad')}, {both('g', 'coarse', _UF.split(), ['ell'])}"
 
 
 def _coarse_cartesian(spark: SparkSession, sf_dir: str, more: list[str] | None = None) -> DataFrame:
@@ -93,12 +93,12 @@ _TAUS = ", ".join(f"{_tau(a, b)} as t{a}{b}, u{a} * {_tau(a, b)} as q{a}{b}" for
 _SHIFT = "1025 * (" + " + ".join(f"(u{a} * {_grad(f't{a}{b}', b)} - {_grad(f'q{a}{b}', b)})" for a, b in _ORD) + ")"
 
 
-@query("d4_transfer_shifted", f"with {FLAT}, {_CARTQ}, {_brute(fields=_UF, source='quad')}, st as (select *, {_TAUS} from coarse), {_both('g', 'st', [f'{c}{a}{b}' for c in 'tq' for a, b in _ORD], ['ell'])} select ell, ilat, ilon, round(1e3 * {_SHIFT}, 3) + 0.0 as Pi from g")
+@query("d4_transfer_shifted", f"with {FLAT}, {_CARTQ}, {_brute(fields=_UF, source='quad')}, st as (select *, {_TAUS} from coarse), {both('g', 'st', [f'{c}{a}{b}' for c in 'tq' for a, b in _ORD], ['ell'])} select ell, ilat, ilon, round(1e3 * {_SHIFT}, 3) + 0.0 as Pi from g")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out(diagnostics.transfers_shifted(_coarse_cartesian(spark, sf_dir), GRID), ["ell", *PLACE], 3, Pi="1e3 * Pi_shifted")
 
 
-_ZQ = f"with {FLAT}, {_both('v0', 'flat', ['u', 'v'])}, cart as (select *, {_CART}, {_VORT} as w from v0), quad as (select *, w * ux as wx, w * uy as wy, w * uz as wz from cart), {_brute(fields='ux uy uz w wx wy wz', source='quad')}, st as (select *, wx - w * ux as tx, wy - w * uy as ty, wz - w * uz as tz, w * (wx - w * ux) as qx, w * (wy - w * uy) as qy, w * (wz - w * uz) as qz from coarse), {_both('g', 'st', [c + a for c in 'tq' for a in 'xyz'], ['ell'])}"
+_ZQ = f"with {FLAT}, {both('v0', 'flat', ['u', 'v'])}, cart as (select *, {_CART}, {_VORT} as w from v0), quad as (select *, w * ux as wx, w * uy as wy, w * uz as wz from cart), {_brute(fields='ux uy uz w wx wy wz', source='quad')}, st as (select *, wx - w * ux as tx, wy - w * uy as ty, wz - w * uz as tz, w * (wx - w * ux) as qx, w * (wy - w * uy) as qy, w * (wz - w * uz) as qz from coarse), {both('g', 'st', [c + a for c in 'tq' for a in 'xyz'], ['ell'])}"
 _Z = "1025 * (" + " + ".join(f"(w * {_grad('t' + a, a)} - {_grad('q' + a, a)})" for a in "xyz") + ")"
 
 
@@ -111,14 +111,14 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 _HELM = f"-1025 * (dlon_u / ({R} * cos(lat)) * (uu - u * u) + (dlat_u / {R} + dlon_v / ({R} * cos(lat))) * (uv - u * v) + dlat_v / {R} * (vv - v * v))"
 
 
-@query("d5_transfer_helmholtz", f"{_COARSE_Q}, {_both('g', 'coarse', ['u', 'v'], ['ell'])} select ell, ilat, ilon, round(1e3 * {_HELM}, 3) + 0.0 as Pi from g")
+@query("d5_transfer_helmholtz", f"{_COARSE_Q}, {both('g', 'coarse', ['u', 'v'], ['ell'])} select ell, ilat, ilon, round(1e3 * {_HELM}, 3) + 0.0 as Pi from g")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _coarse_products(spark, sf_dir).withColumnsRenamed({"u": "u_lon", "v": "u_lat"})
     return out(diagnostics.transfers_helmholtz(df, GRID), ["ell", *PLACE], 3, Pi="1e3 * Pi_helm")
 
 
 _OM = repr(2 * math.pi / 86400)
-_GEO = f"with {FLAT}, {_both('g1', 'flat', ['ssh'])}, {derived('g2', 'g1', ['ilon'], 'ilat', {'bb': 'dlat_ssh'})}, {derived('g3', 'g2', ['ilat'], 'ilon', {'ab': 'dlat_ssh'})}, e as (select *, 2 * {_OM} * sin(lat) as f, 2 * {_OM} * cos(lat) / {R} as beta from g3)"
+_GEO = f"with {FLAT}, {both('g1', 'flat', ['ssh'])}, {derived('g2', 'g1', ['ilon'], 'ilat', {'bb': 'dlat_ssh'})}, {derived('g3', 'g2', ['ilat'], 'ilon', {'ab': 'dlat_ssh'})}, e as (select *, 2 * {_OM} * sin(lat) as f, 2 * {_OM} * cos(lat) / {R} as beta from g3)"
 
 
 @query("d15_geostrophic", f"{_GEO}, w as (select *, -9.81 / f * dlat_ssh / {R} as u1, 9.81 / f * dlon_ssh / ({R} * cos(lat)) as v1 from e) select ilat, ilon, {rounded(u_lon='case when abs(u1) < 100 and abs(v1) < 100 then u1 end', u_lat='case when abs(u1) < 100 and abs(v1) < 100 then v1 end')} from w")
@@ -128,17 +128,13 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("h12_beta_velocity", f"{_GEO} select ilat, ilon, {rounded(u='-9.81 / beta * bb / (6371e3 * 6371e3)', v='9.81 / beta * ab / (6371e3 * 6371e3 * cos(lat))')} from e")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = calculus.spherical_gradients(flat(spark, sf_dir), GRID, ["ssh"], KEYS)
-    df = calculus.differentiate(df, "ilat", 18, GRID.dlat, {"bb": "dlat_ssh"}, [*KEYS, "ilon"])
-    df = GRID.located(calculus.differentiate(df, "ilon", 36, GRID.dlon, {"ab": "dlat_ssh"}, [*KEYS, "ilat"], periodic=True), CFG)
-    beta = f"({2 * 2 * math.pi / 86400!r} * cos(lat) / {R})"
-    return out(df, PLACE, u=f"-9.81 / {beta} * bb / ({R} * {R})", v=f"9.81 / {beta} * ab / ({R} * {R} * cos(lat))")
+    return out(diagnostics.beta_velocity(flat(spark, sf_dir), GRID, names=("bu", "bv")), PLACE, u="bu", v="bv")
 
 
 _MEANS = f"{CUBE.replace('cube as', 'full_cube as')}, tm as (select idepth, ilat, ilon, avg(u) as u, avg(v) as v, avg(u * u) as uu, avg(u * v) as uv, avg(v * v) as vv, any_value(lat) as lat, any_value(lon) as lon from full_cube group by 1, 2, 3)"
 
 
-@query("d17_eddy_conversion", f"with {_MEANS}, {_both('g', 'tm', ['u', 'v'], ['idepth'])} select idepth, ilat, ilon, round(1025 / {R} * ((uu - u * u) * dlon_u / cos(lat) + (uv - u * v) * dlat_u + (uv - u * v) * dlon_v / cos(lat) + (vv - v * v) * dlat_v), 4) + 0.0 as conversion from g")
+@query("d17_eddy_conversion", f"with {_MEANS}, {both('g', 'tm', ['u', 'v'], ['idepth'])} select idepth, ilat, ilon, round(1025 / {R} * ((uu - u * u) * dlon_u / cos(lat) + (uv - u * v) * dlat_u + (uv - u * v) * dlon_v / cos(lat) + (vv - v * v) * dlat_v), 4) + 0.0 as conversion from g")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = cube(spark, sf_dir).groupBy("idepth", *PLACE).agg(*[F.avg(F.expr(e)).alias(n) for n, e in (("u_lon", "u"), ("u_lat", "v"), ("uu", "u * u"), ("uv", "u * v"), ("vv", "v * v"))])
     return out(diagnostics.eddy_mean_conversion(df, GRID), ["idepth", *PLACE], conversion="conversion")
@@ -147,18 +143,11 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 _C1 = f"c1 as (select itime, idepth, ilat, ilon, coalesce(u, 0) as u, coalesce(v, 0) as v, lat, lon from cube)"
 
 
-@query("d16_radial_velocity", f"with {CUBE}, {_C1}, {_both('g', 'c1', ['u', 'v'], ['itime', 'idepth'])}, d as (select *, -({_DIV}) as conv, 100.0 * (idepth + 1) as z from g), s as (select *, coalesce(0.5 * (conv + lag(conv) over w) * abs(lag(z) over w - z), 0) as part from d window w as (partition by itime, ilat, ilon order by idepth desc)) select itime, idepth, ilat, ilon, round(1e3 * sum(part) over (partition by itime, ilat, ilon order by idepth desc rows between unbounded preceding and current row), 4) + 0.0 as u_r from s")
+@query("d16_radial_velocity", f"with {CUBE}, {_C1}, {both('g', 'c1', ['u', 'v'], ['itime', 'idepth'])}, d as (select *, -({_DIV}) as conv, 100.0 * (idepth + 1) as z from g), s as (select *, coalesce(0.5 * (conv + lag(conv) over w) * abs(lag(z) over w - z), 0) as part from d window w as (partition by itime, ilat, ilon order by idepth desc)) select itime, idepth, ilat, ilon, round(1e3 * sum(part) over (partition by itime, ilat, ilon order by idepth desc rows between unbounded preceding and current row), 4) + 0.0 as u_r from s")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = cube(spark, sf_dir).select(*KEYS, *PLACE, F.coalesce("u", F.lit(0.0)).alias("u"), F.coalesce("v", F.lit(0.0)).alias("v"))
-    df = diagnostics.vorticity(df, GRID, u_lon="u", u_lat="v").withColumns({"conv": F.expr("-div"), "z": F.expr("100.0D * (idepth + 1)")})
-    return out(aggregate.depth_integral(df, "z", ["conv"]), [*KEYS, *PLACE], u_r="1e3 * conv_integral")
-
-
-@query("d18_transfer_breakdown", f"with {FLAT}, pr as (select *, u * u as uu, u * v as uv, v * v as vv, u * ssh as us, v * ssh as vs from flat), {_brute(fields='u v ssh uu uv vv us vs', source='pr')} select ell, ilat, ilon, {rounded(uu='uu - u * u', uv='uv - u * v', us='us - u * ssh', vs='vs - v * ssh')} from coarse")
-def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = flat(spark, sf_dir).select("*", *[F.expr(e).alias(n) for n, e in (("uu", "u * u"), ("uv", "u * v"), ("us", "u * ssh"), ("vs", "v * ssh"))])
-    df = coarse_ops.coarse_grain(df, GRID, SCALES, ["u", "v", "ssh", "uu", "uv", "us", "vs"])
-    return out(df, ["ell", *PLACE], uu="uu - u * u", uv="uv - u * v", us="us - u * ssh", vs="vs - v * ssh")
+    df = diagnostics.radial_velocity(df.withColumn("z", F.expr("100.0D * (idepth + 1)")), GRID, "z", u_lon="u", u_lat="v")
+    return out(df, [*KEYS, *PLACE], u_r="1e3 * u_r")
 
 
 # ------------------------------------------------------------------ reductions
@@ -182,14 +171,15 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("coarse_region_average", f"with {FLAT}, {_REGION_SQL}, {_brute(fields='u v')} select ell, region, round(sum(u * cos(coarse.lat)) / sum(cos(coarse.lat)), 4) + 0.0 as u_area_average, round(sum(v * cos(coarse.lat)) / sum(cos(coarse.lat)), 4) + 0.0 as v_area_average from coarse join regions using (ilat, ilon) group by all")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = coarse_ops.coarse_grain_auto(flat(spark, sf_dir), GRID, SCALES, ["u", "v"])
+    df = coarse_ops.coarse_grain(flat(spark, sf_dir), GRID, SCALES, ["u", "v"])
     df = aggregate.region_mean_std(df, aggregate.region_table(GRID, spark, _REGIONS), GRID, ["u", "v"], keys=["ell"])
     return out(df, ["ell", "region"], u_area_average="u_area_average", v_area_average="v_area_average")
 
 
-@query("a3_zonal_mean", f"with {CUBE} select itime, idepth, ilat, round(coalesce(sum(u * cos(lat)), 0) / sum(cos(lat)), 4) + 0.0 as u_zonal_average from cube group by all")
+@query("a3_zonal_mean", f"with {CUBE}, m as (select itime, idepth, ilat, coalesce(sum(u * cos(lat)), 0) / sum(cos(lat)) as mean from cube group by all) select itime, idepth, ilat, round(any_value(mean), 4) + 0.0 as u_zonal_average, round(sqrt(coalesce(sum(power(u - mean, 2) * cos(lat)), 0) / sum(cos(lat))), 4) + 0.0 as u_zonal_std_dev from cube join m using (itime, idepth, ilat) group by all")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return out(aggregate.zonal_mean(cube(spark, sf_dir), GRID, ["u"], water="u is not null"), [*KEYS, "ilat"], u_zonal_average="u_zonal_average")
+    df = aggregate.zonal_mean(cube(spark, sf_dir), GRID, ["u"], water="u is not null", deviations=True)
+    return out(df, [*KEYS, "ilat"], u_zonal_average="u_zonal_average", u_zonal_std_dev="u_zonal_std_dev")
 
 
 @query("a4_zonal_median", f"with {CUBE}, l as (select itime, idepth, ilat, list_sort(list(u) filter (u is not null)) as l from cube group by all) select itime, idepth, ilat, round(l[len(l) // 2 + 1], 4) + 0.0 as u_zonal_median from l")
@@ -222,11 +212,12 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out(aggregate.coarse_map(cube(spark, sf_dir), GRID, ["u"], *edges, water="u is not null"), [*KEYS, "icoarse_lat", "icoarse_lon"], u_coarsened_map="u_coarsened_map")
 
 
-_OWB = ", ".join(repr(x) for x in aggregate.okubo_weiss_edges())
+#: Bounds of the bins: 300 on either side of 0, a tenth of a decade apart, up to 1e10 per day squared.
+_OWB = ", ".join(repr(x) for x in [*[-(10 ** (math.log10(1e10 / 86400.0**2) - k / 10)) for k in range(300)], 0.0, *[10 ** (math.log10(1e10 / 86400.0**2) - k / 10) for k in range(299, -1, -1)]])
 _OW = f"pow({_SN}, 2) + pow({_SS}, 2) - pow({_VORT}, 2)"
 
 
-@query("a8_okubo_weiss_histogram", f"with {FLAT}, {_REGION_SQL}, {_both('g', 'flat', ['u', 'v'])}, o as (select *, {_OW} as ow from g), b as (select *, least(600, len(list_filter([{_OWB}], lambda x: x < ow))) as iokubo from o) select cast(iokubo as int) as iokubo, region, round(sum(cos(b.lat)), 4) + 0.0 as area, round(sum(u * cos(b.lat)) / sum(cos(b.lat)), 4) + 0.0 as u_average from b join regions using (ilat, ilon) group by all")
+@query("a8_okubo_weiss_histogram", f"with {FLAT}, {_REGION_SQL}, {both('g', 'flat', ['u', 'v'])}, o as (select *, {_OW} as ow from g), b as (select *, least(600, len(list_filter([{_OWB}], lambda x: x < ow))) as iokubo from o) select cast(iokubo as int) as iokubo, region, round(sum(cos(b.lat)), 4) + 0.0 as area, round(sum(u * cos(b.lat)) / sum(cos(b.lat)), 4) + 0.0 as u_average from b join regions using (ilat, ilon) group by all")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = aggregate.okubo_weiss_histogram(_vorticity(spark, sf_dir), aggregate.region_table(GRID, spark, _REGIONS), GRID, ["u"])
     return out(df, ["iokubo", "region"], area=f"area / {CFG.earth_radius**2 * GRID.dlat * GRID.dlon!r}", u_average="u_average")
@@ -261,10 +252,10 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select(*KEYS, *PLACE, (F.round("u", 4) + 0.0).alias("u"), "water", "seed_count")
 
 
-@query("a13_depth_integral", f"with {CUBE}, s as (select *, coalesce(0.5 * (coalesce(u, 0) + lag(coalesce(u, 0)) over w) * 100, 0) as part from cube window w as (partition by itime, ilat, ilon order by idepth desc)) select itime, idepth, ilat, ilon, round(sum(part) over (partition by itime, ilat, ilon order by idepth desc rows between unbounded preceding and current row), 4) + 0.0 as total from s")
+@query("a13_depth_integral", f"with {CUBE}, s as (select *, coalesce(0.5 * (coalesce(u, 0) + lag(coalesce(u, 0)) over w) * 100, 0) as part from cube window w as (partition by itime, ilat, ilon order by idepth desc)) select itime, idepth, ilat, ilon, round(sum(part) over (partition by itime, ilat, ilon order by idepth desc rows between unbounded preceding and current row) / pi(), 4) + 0.0 as total from s")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = cube(spark, sf_dir).withColumns({"u": F.coalesce("u", F.lit(0.0)), "z": F.expr("100.0D * idepth")})
-    return out(aggregate.depth_integral(df, "z", ["u"]), [*KEYS, *PLACE], total="u_integral")
+    return out(aggregate.depth_integral(df, "z", ["u"]), [*KEYS, *PLACE], total="u_integral / pi()")
 
 
 @query("a14_value_range", f"with {CUBE} select round(least(min(u), 0), 4) + 0.0 as min_u, round(greatest(max(u), 0), 4) + 0.0 as max_u, round(least(min(v), 0), 4) + 0.0 as min_v, round(greatest(max(v), 0), 4) + 0.0 as max_v from cube")
@@ -286,15 +277,12 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("traj", (F.round("mean_d", 4) + 0.0).alias("mean_d"), (F.round("mean_p", 2) + 0.0).alias("mean_p"), (F.round("corr_p_d", 4) + 0.0).alias("corr_p_d"))
 
 
-def _subsets() -> str:
-    from itertools import combinations
-
-    return ", ".join(f"({k}, {g})" for k, own in enumerate(combinations(range(5), 3)) for g in own)
+_SUBSETS = "s as (select row_number() over (order by a.range, b.range, c.range) - 1 as subset, unnest([a.range, b.range, c.range]) as itime from range(7) a, range(7) b, range(7) c where a.range < b.range and b.range < c.range)"
 
 
-@query("a17_subset_means", f"with {CUBE}, s(subset, itime) as (values {_subsets()}) select cast(subset as int) as subset, idepth, ilat, round(avg(u), 4) + 0.0 as u from cube join s using (itime) group by all")
+@query("a17_subset_means", f"with {CUBE}, {_SUBSETS} select cast(subset as int) as subset, idepth, ilat, round(avg(u), 4) + 0.0 as u from cube join s using (itime) group by all")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return out(aggregate.subset_means(cube(spark, sf_dir), "itime", list(range(5)), 3, ["u"], ["idepth", "ilat"]), ["subset", "idepth", "ilat"], u="u")
+    return out(aggregate.subset_means(cube(spark, sf_dir), "itime", None, 3, ["u"], ["idepth", "ilat"]), ["subset", "idepth", "ilat"], u="u")
 
 
 _NODES = [(1e6, 0.2, 0.25), (2e6, 0.5, 0.5), (4e6, 0.3, 0.25)]
@@ -358,104 +346,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return solve.fill_land(df, GRID, ["u"], near_coast=3)
 
 
-# ------------------------------------------------------------------ potentials
-
-_PSI = {"h1_toroidal_velocity": (f"-dlat_u / {R}", f"dlon_u / ({R} * cos(lat))"), "h2_potential_velocity": (f"dlon_u / ({R} * cos(lat))", f"dlat_u / {R}")}
-for _name, (_a, _b) in _PSI.items():
-
-    @query(_name, f"with {FLAT}, {_both('g', 'flat', ['u'])} select ilat, ilon, {rounded(u_lon=f'1e6 * {_a}', u_lat=f'1e6 * {_b}')} from g")
-    def _(spark: SparkSession, sf_dir: str, a: str = _a, b: str = _b) -> DataFrame:
-        df = GRID.located(calculus.spherical_gradients(flat(spark, sf_dir), GRID, ["u"], KEYS), CFG)
-        return out(df, PLACE, u_lon=f"1e6 * {a}", u_lat=f"1e6 * {b}")
-
-
-@query("h3_curl", f"with {FLAT}, {_both('g', 'flat', ['u', 'v'])} select ilat, ilon, round(1e6 * ({_VORT}) - ssh, 4) + 0.0 as curl from g")
-def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return out(_vorticity(spark, sf_dir), PLACE, curl="1e6 * vort_r - ssh")
-
-
-@query("h4_divergence", f"with {FLAT}, {_both('g', 'flat', ['u', 'v'])} select ilat, ilon, round(1e6 * (dlon_u + cos(lat) * dlat_v - v * sin(lat)) / ({R} * cos(lat)), 4) + 0.0 as div from g")
-def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return out(_vorticity(spark, sf_dir), PLACE, div="1e6 * div")
-
-
-@query("h5_laplacian", f"with {FLAT}, {_both('g1', 'flat', ['u'])}, {_both('g', 'g1', ['u'], derivative=2)} select ilat, ilon, round(1e12 * (d2lon_u / power(cos(lat), 2) - dlat_u * tan(lat) + d2lat_u) / ({R} * {R}), 4) + 0.0 as lap from g")
-def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = calculus.spherical_gradients(flat(spark, sf_dir), GRID, ["u"], KEYS)
-    df = GRID.located(calculus.spherical_gradients(df, GRID, ["u"], KEYS, derivative=2), CFG)
-    return out(df, PLACE, lap=f"1e12 * (d2lon_u / (cos(lat) * cos(lat)) - dlat_u * tan(lat) + d2lat_u) / ({R} * {R})")
-
-
-@query("h8_helmholtz_projection")
-def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return solve.helmholtz(cube(spark, sf_dir), GRID, how=solve.Projection(steps=200), u="u", v="v")
-
-
-@query("h9_toroidal_projection")
-def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return solve.helmholtz(flat(spark, sf_dir), GRID, how=solve.Projection(steps=200, potential=False), u="u", v="v")
-
-
-@query("h10_tensor_decomposition")
-def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = flat(spark, sf_dir).select(*KEYS, *PLACE, F.expr("u * u").alias("uu"), F.expr("u * v").alias("uv"), F.expr("v * v").alias("vv"))
-    return solve.decompose_tensor(df, GRID, steps=200)
-
-
-@query("h11_tensor_of_vector", f"with {FLAT}, {_both('g', 'flat', ['u', 'v'])} select ilat, ilon, {rounded(uu='ssh + dlon_u / cos(lat) - tan(lat) * v', uv='0.5 * (tan(lat) * u + dlat_u + dlon_v / cos(lat))', vv='ssh + dlat_v')} from g")
-def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = GRID.located(calculus.spherical_gradients(flat(spark, sf_dir), GRID, ["u", "v"], KEYS), CFG)
-    return out(df, PLACE, uu="ssh + dlon_u / cos(lat) - tan(lat) * v", uv="0.5 * (tan(lat) * u + dlat_u + dlon_v / cos(lat))", vv="ssh + dlat_v")
-
-
-_PLANE = Grid.plane(18, 36, 10e3, 10e3)
-
-
-@query("f1_sharp_filter")
-def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return solve.sharp_filter(cube(spark, sf_dir), _PLANE, [30e3, 60e3], ["u", "v"])
-
-
-@query("f3_sharp_energies")
-def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = solve.sharp_filter(flat(spark, sf_dir), _PLANE, [30e3, 60e3], ["u", "v"], products=[("u", "u"), ("u", "v"), ("v", "v")])
-    return df.select("ell", *PLACE, F.expr("512.5 * (u * u + v * v)").alias("coarse_KE"), F.expr("512.5 * (u_u + v_v - u * u - v * v)").alias("fine_KE"))
-
-
-# ------------------------------------------------------------------ particles
-
-
-def _gyre(times: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    lat, lon = np.array(GRID.lats)[:, None], np.array(GRID.lons)[None, :]
-    u = np.stack([(1 + 0.1 * t) * np.cos(lat) + 0 * lon for t in range(times)])
-    v = np.stack([0.3 * np.cos(3 * lon) * np.cos(lat) * (1 - 0.1 * t) for t in range(times)])
-    return u, v
-
-
-_TIMES = [0.0, 5e5, 1e6]
-
-
-def _tracks(spark: SparkSession) -> DataFrame:
-    return particles.advect(particles.seed_positions(spark, 20, GRID, seed=1), *_gyre(), _TIMES, [0.0, 2.5e5, 7.5e5, 1e6], GRID)
-
-
-@query("p1_seed_positions")
-def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return particles.seed_positions(spark, 20, GRID, seed=1)
-
-
-@query("p2_advect")
-def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _tracks(spark)
-
-
-@query("p3_fore_back")
-def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    forward = _tracks(spark)
-    last = forward.where("iout = 3 and lon is not null").select("traj", "lon", "lat")
-    back = particles.advect(last, *_gyre(), _TIMES, [0.0, 2.5e5, 7.5e5, 1e6], GRID, backwards=True)
-    return particles.fore_back_distance(forward, back)
-
+# ------------------------------------------------------------------ trajectories
 
 _PTS = "pts as (select cast(o_orderkey as int) as traj, cast(0 as int) as iout, 6.0 * (o_custkey % 997) / 997 as time, radians(-85 + 170.0 * (o_orderkey % 7919) / 7919) as lat, radians(-175 + 350.0 * (o_custkey % 1009) / 1009) as lon from orders)"
 
@@ -481,6 +372,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ------------------------------------------------------------------ shallow water
 
+_PLANE = Grid.plane(18, 36, 10e3, 10e3)
 _WATER_CFG = FilterConfig(cartesian=True, periodic_y=True)
 _SW = "sw as (select cast(0 as int) as itime, cast(k as int) as idepth, ilat, ilon, u / 10 + k as u, v / 10 - k as v, 100 + rho - 1025 + 50 * k + 5 * ssh as h from flat, (values (0), (1)) l(k))"
 
@@ -495,9 +387,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _plane_gradients(name: str, source: str, fields: list[str], keys: list[str], derivative: int = 1) -> str:
-    p = "d" if derivative == 1 else "d2"
-    one = derived(f"{name}_x", source, [*keys, "ilat"], "ilon", {f"{p}x_{f}": f for f in fields}, 4, derivative, True, delta=10e3)
-    return f"{one}, {derived(name, f'{name}_x', [*keys, 'ilon'], 'ilat', {f'{p}y_{f}': f for f in fields}, 4, derivative, True, delta=10e3)}"
+    return both(name, source, fields, keys, derivative=derivative, periodic_y=True, step=10e3, names="x y")
 
 
 @query("sw4_laplacians", f"with {FLAT}, {_SW}, {_plane_gradients('g', 'sw', ['u', 'v', 'h'], ['idepth'], 2)} select idepth, ilat, ilon, {rounded(h_lap_u='1e6 * h * (d2x_u + d2y_u)', h_lap_v='1e6 * h * (d2x_v + d2y_v)', lap_h='1e6 * (d2x_h + d2y_h)')} from g")
@@ -523,18 +413,15 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out(df, ["idepth", *PLACE], KE="KE", PE="PE", Pi="1e3 * Pi", KE_trans="1e3 * KE_trans", Gamma="Gamma", PE_trans="1e3 * PE_trans", KE2PE="1e3 * KE2PE")
 
 
-@query("sw2_two_layers")
-def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shallow_water.two_layers(_layers(spark, sf_dir), _PLANE, [30e3], _WATER_CFG)
-
-
 # ------------------------------------------------------------------ merges
 
 
 @query("u1_merge_scales", f"with {FLAT} select 1e5::double as ell, ilat, ilon, round(u, 4) + 0.0 as u from flat union all select 2e5::double, ilat, ilon, round(2 * u, 4) + 0.0 from flat")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = flat(spark, sf_dir)
-    return out(reshape.merge_scales({1e5: df, 2e5: df.withColumn("u", F.expr("2 * u"))}), ["ell", *PLACE], u="u")
+    merged = reshape.merge_results({2e5: {"full": df.withColumn("u", F.expr("2 * u")), "time": df}, 1e5: {"full": df}}, exclude=("time",))
+    assert set(merged) == {"full"}
+    return out(merged["full"], ["ell", *PLACE], u="u")
 
 
 @query("u2_merge_resolutions", f"with {FLAT} select ilat, ilon, round(case when ilat % 2 = 0 then u else -u end, 4) + 0.0 as u from flat")

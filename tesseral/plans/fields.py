@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesseral.grid import Grid, densify
-from tesseral.operators.calculus import derivative_sql, reach, run_sql
 from tesseral.sources.tables import rasterize
 
 GRID = Grid.degrees(18, 36, -85.0, 10.0, -175.0, 10.0)
@@ -46,24 +45,3 @@ AREA = f"(6371e3 * 6371e3 * {DANG} * {DANG} * cos(lat))"
 MESH = "mesh as (select cast(a.range as int) as ilat, cast(b.range as int) as ilon from range(18) a, range(36) b)"
 FLAT = f"{MESH}, raw as ({_select(PLACE)}), flat as (select cast(0 as int) as itime, cast(0 as int) as idepth, ilat, ilon, u, v, rho, ssh, {LAT.format(a='mesh.')} as lat, {LON.format(a='mesh.')} as lon from mesh left join raw using (ilat, ilon))"
 CUBE = f"{MESH}, raw as ({_select(SLICE | PLACE)}), slices as (select distinct itime, idepth from raw), cube as (select itime, idepth, ilat, ilon, u, v, rho, ssh, {LAT.format(a='mesh.')} as lat, {LON.format(a='mesh.')} as lon from slices cross join mesh left join raw using (itime, idepth, ilat, ilon))"
-
-
-def derived(name: str, source: str, keys: list[str], axis: str, fields: dict[str, str], order: int = 4, derivative: int = 1, periodic: bool | None = None, water: str = "true", n: int | None = None, delta: float | None = None) -> str:
-    """SQL of CTEs that end in `name`: source with derivatives along ilat or ilon, by window functions over a padded table."""
-    n = n or (36 if axis == "ilon" else 18)
-    delta = delta or math.radians(10.0)
-    periodic = axis == "ilon" if periodic is None else periodic
-    m = reach(order, derivative)
-    pads = f"(values (0), ({n}), ({-n})) shifts(s_) where s_ = 0 or (s_ = {n} and {axis} < {m}) or (s_ = {-n} and {axis} >= {n - m})" if periodic else "(values (0)) shifts(s_)"
-    tag = lambda k: f"m{-k}" if k < 0 else f"p{k}"
-    line = f"over (partition by {', '.join(keys)} order by at_)" if keys else "over (order by at_)"
-    look = lambda c, k: f"lag({c}, {-k}) {line}" if k < 0 else f"lead({c}, {k}) {line}"
-    columns = [f"({look('at_', k)} = at_ + ({k}) and {look('wet_', k)}) as w_{tag(k)}" for k in range(-m, m + 1) if k]
-    columns += [f"{look(c, k) if k else c} as f{i}_{tag(k)}" for k in range(-m, m + 1) for i, c in enumerate(fields.values())]
-    runs = f"{run_sql('w_{k}', m, 'm')} as left_, {run_sql('w_{k}', m, 'p')} as right_"
-    out = ", ".join(f"{derivative_sql(order, derivative, 'left_', 'right_', f'coalesce(f{i}_{{k}}, 0.0)', delta)} as {new}" for i, new in enumerate(fields))
-    drop = ", ".join(["s_", "at_", "wet_", "left_", "right_", *[c.rsplit(" as ", 1)[1] for c in columns]])
-    return (
-        f"{name}_p as (select *, {axis} + s_ as at_, ({water}) as wet_ from {source}, {pads}), {name}_w as (select *, {', '.join(columns)} from {name}_p), "
-        f"{name}_r as (select *, {runs} from {name}_w where s_ = 0), {name} as (select * exclude ({drop}), {out} from {name}_r)"
-    )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import replace
 from itertools import combinations
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from tesseral.config import KERNEL_PAD, FilterConfig, check_scales
 from tesseral.functions import geometry, kernels
 from tesseral.grid import Grid, densify
-from tesseral.operators import aggregate, calculus, coarse, diagnostics, particles, reshape, shallow_water, solve
+from tesseral.operators import aggregate, calculus, coarse, diagnostics, particles, potentials, reshape, shallow_water, solve
 
 GRID = Grid.degrees(18, 36, -85.0, 10.0, -175.0, 10.0)
 CFG = FilterConfig()
@@ -33,7 +34,7 @@ def as_array(df, grid, name):
 
 
 def test_config_rejects_clashes():
-    for bad in ({"kernel": "box"}, {"order": 3}, {"uniform_lat": False}, {"postprocess": False, "full_outputs": False}, {"cartesian": True, "extend_to_poles": True}):
+    for bad in ({"kernel": "box"}, {"order": 5}, {"uniform_lat": False}, {"postprocess": False, "full_outputs": False}, {"cartesian": True, "extend_to_poles": True}):
         with pytest.raises(ValueError):
             FilterConfig(**bad)
     for scales in ([], [0.0], [-1.0]):
@@ -102,21 +103,98 @@ def test_filter_against_loops(spark, kernel):
             want[i] += w * np.roll(values[j], -off)
             total[i] += w
     want /= total
-    assert np.allclose(as_array(coarse.coarse_grain(df, GRID, [ell], ["f"], cfg), GRID, "f"), want, rtol=1e-9, atol=1e-9)
-    assert np.allclose(as_array(coarse.coarse_grain_dense(df, GRID, [ell], ["f"], cfg), GRID, "f"), want, rtol=1e-9, atol=1e-9)
-
-
-def test_large_scales_go_through_rows(spark):
-    cfg = FilterConfig(dense_pairs=50_000)
-    df = cells(spark, GRID, f="sin(lon) * cos(lat)")
-    both = coarse.coarse_grain_auto(df, GRID, [1e6, 8e6], ["f"], cfg)
-    plain = coarse.coarse_grain(df, GRID, [1e6, 8e6], ["f"], cfg)
-    gap = both.join(plain.withColumnRenamed("f", "g"), ["ell", *KEYS, "ilat", "ilon"]).agg(F.max(F.expr("abs(f - g)")), F.count("*")).first()
-    assert gap[0] < 1e-9 and gap[1] == 2 * 648
+    for way in (coarse.coarse_grain, coarse.coarse_grain_pairs):
+        assert np.allclose(as_array(way(df, GRID, [ell], ["f"], cfg), GRID, "f"), want, rtol=1e-9, atol=1e-9)
+
+
+MESHES = {
+    "sphere": (GRID, FilterConfig(), [1e6, 6e6]),
+    "deformed": (GRID, FilterConfig(deform_around_land=True), [2e6]),
+    "open": (GRID, FilterConfig(periodic_x=False, kernel="tophat"), [3e6]),
+    "plane": (Grid.plane(15, 20, 1e3, 2e3), FilterConfig(cartesian=True, periodic_y=True, kernel="smoothhat"), [4e3, 9e3]),
+    "open plane": (Grid.plane(15, 20, 1e3, 2e3), FilterConfig(cartesian=True, periodic_x=False, kernel="highorder"), [5e3]),
+    "uneven": (Grid(tuple(math.radians(-80 + 8.0 * k + 0.08 * k * k) for k in range(18)), GRID.lons), FilterConfig(uniform_lat=False, order=2), [2e6]),
+    "whole": (GRID, FilterConfig(kernel="sinc"), [5e6]),
+    "zonal": (GRID, FilterConfig(zonal_kernel_only=True, kernel="hypergaussian"), [3e6]),
+}
+
+
+@pytest.mark.parametrize("mesh", sorted(MESHES))
+def test_convolutions_agree_with_pairs(spark, mesh):
+    """Units of rows against the equi-join: land, Favre weights, scale derivatives, several slices and fields, however the work is cut."""
+    grid, cfg, scales = MESHES[mesh]
+    rng = np.random.default_rng(4)
+    rows = [(t, 0, i, j, *map(float, rng.normal(size=2)), float(1 + rng.random()), bool(rng.random() < 0.8)) for t in (0, 1) for i in range(grid.nlat) for j in range(grid.nlon)]
+    df = spark.createDataFrame(rows, "itime int, idepth int, ilat int, ilon int, a double, b double, rho double, water boolean").withColumn("b", F.expr("case when water then b end"))
+    for weight, derivatives in ((None, True), ("rho", False)):
+        plain = coarse.coarse_grain_pairs(df, grid, scales, ["a", "b"], cfg, weight=weight, derivatives=derivatives, water="water")
+        for small in (cfg, replace(cfg, unit_pairs=20_000), replace(cfg, unit_bytes=1)):
+            got = coarse.coarse_grain(df, grid, scales, ["a", "b"], small, weight=weight, derivatives=derivatives, water="water")
+            assert got.columns == plain.columns
+            names = [c for c in plain.columns if c not in ("ell", *KEYS, "ilat", "ilon")]
+            both = got.join(plain.select("ell", *KEYS, "ilat", "ilon", *[F.col(c).alias(f"x_{c}") for c in names]), ["ell", *KEYS, "ilat", "ilon"])
+            found = both.agg(F.count("*"), *[F.max(F.abs(F.col(c) - F.col(f"x_{c}")) / (F.abs(F.col(f"x_{c}")) + 1e-6)) for c in names]).first()
+            # Scale derivatives are some 1e-6 and 1e-12 in size.
+            assert found[0] == len(scales) * len(rows) and all(x < (1e-3 if c.startswith("dl") else 1e-6) for x, c in zip(found[1:], names, strict=True)), (weight, found)
+
+
+def test_units_cover_all_rows_once():
+    for cfg in (CFG, FilterConfig(unit_pairs=100_000), FilterConfig(unit_pairs=10)):
+        units = coarse.plan_units(GRID, [1e6, 5e6, 2e7], cfg, 8, 2)
+        assert sorted((ell, i) for u in units for ell, lo, hi in u for i in range(lo, hi)) == sorted((ell, i) for ell in (1e6, 5e6, 2e7) for i in range(18))
+        for u in units:
+            rows = set(coarse.unit_rows(GRID, u, cfg).tolist())
+            for ell, lo, hi in u:
+                assert {j for _, i, j, *_ in coarse.windows(GRID, [ell], cfg) if lo <= i < hi} <= rows
+    assert len(coarse.plan_units(GRID, [1e6, 5e6, 2e7], FilterConfig(unit_pairs=10), 8, 2)) > 18
+
+
+def test_bands_agree_with_whole_slices(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    grid = Grid.degrees(30, 24, -87.0, 6.0, -172.5, 15.0)
+    rows = [(0, t, i, j, float(rng.normal()), bool(rng.random() < 0.85)) for t in (0, 1) for i in range(30) for j in range(24)]
+    df = spark.createDataFrame(rows, "itime int, idepth int, ilat int, ilon int, a double, water boolean")
+    wanted = [("x", "a", "ilon", 1), ("y", "a", "ilat", 1), ("yy", "y", "ilat", 1), ("d2", "a", "ilat", 2)]
+    for periodic_y in (False, True):
+        whole = calculus.derivatives(df, grid, wanted, KEYS, 4, True, periodic_y, "water")
+        whole = whole.select(*KEYS, "ilat", "ilon", *[F.col(w[0]).alias(f"w_{w[0]}") for w in wanted]).cache()
+        whole.count()
+        monkeypatch.setattr(calculus, "BAND_BYTES", 1000)
+        assert calculus._bands(grid, 10, 5, periodic_y)
+        both = calculus.derivatives(df, grid, wanted, KEYS, 4, True, periodic_y, "water").join(whole, [*KEYS, "ilat", "ilon"])
+        found = both.agg(F.count("*"), *[F.max(F.abs(F.col(w[0]) - F.col(f"w_{w[0]}"))) for w in wanted]).first()
+        monkeypatch.undo()
+        assert found[0] == len(rows) and max(found[1:]) < 1e-9
+
+
+def test_slices_agree_with_lines(spark):
+    """The pass over slices against window functions, with land and missing cells, for every order."""
+    rng = np.random.default_rng(6)
+    rows = [(0, 0, i, j, float(rng.normal()), bool(rng.random() < 0.8)) for i in range(18) for j in range(36) if rng.random() < 0.97]
+    df = spark.createDataFrame(rows, "itime int, idepth int, ilat int, ilon int, a double, water boolean").cache()
+    for order in (2, 3, 4, 6):
+        for derivative in (1, 2):
+            p = "d" if derivative == 1 else "d2"
+            got = calculus.spherical_gradients(df, GRID, ["a"], KEYS, order, derivative, water="water").where("water")
+            plain = calculus.differentiate(df, "ilon", 36, GRID.dlon, {"x": "a"}, [*KEYS, "ilat"], order, derivative, True, "water")
+            plain = calculus.differentiate(plain, "ilat", 18, GRID.dlat, {"y": "a"}, [*KEYS, "ilon"], order, derivative, False, "water").select("ilat", "ilon", "x", "y")
+            gap = got.join(plain, ["ilat", "ilon"]).agg(F.max(F.expr(f"abs({p}lon_a - x)")), F.max(F.expr(f"abs({p}lat_a - y)"))).first()
+            assert max(gap) < 1e-6
+
+
+def test_fine_mesh_fits_a_task():
+    """A slice of a quarter degree at 1000 km: weights are made in pieces, planes stay far below a task's memory."""
+    grid = Grid.degrees(720, 1440, -89.875, 0.25, -179.875, 0.25)
+    units = coarse.plan_units(grid, [1e6], CFG, 8, 15)
+    assert len(units) > 1
+    rows = max(len(coarse.unit_rows(grid, u, CFG)) for u in units)
+    planes = 16 * rows * 1440 * 8 * 3
+    pieces = max(b - a for u in units for ell, lo, hi in u for a, b in coarse._chunks(grid, CFG, ell, lo, hi)) * coarse.lat_reach(grid, 1e6, CFG) * 2 * 1440 * 8 * 6
+    assert planes + pieces < 2 << 30
 
 
 def test_no_distance_join(spark):
-    plan = coarse.coarse_grain(cells(spark, GRID, f="1"), GRID, [1e6], ["f"])._jdf.queryExecution().executedPlan().toString()
+    plan = coarse.coarse_grain_pairs(cells(spark, GRID, f="1"), GRID, [1e6], ["f"])._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan or "SortMergeJoin" in plan
     stencil = coarse.stencil(spark, GRID, [1e6], CFG)[0]
     assert stencil.count() == coarse.stencil(spark, GRID, [1e6], CFG)[1]
@@ -220,18 +298,65 @@ def test_sharp_filter_keeps_long_waves(spark):
 
 def test_filled_land_is_smooth(spark):
     df = cells(spark, GRID, f="case when ilat between 8 and 9 and ilon between 15 and 17 then null else 2 + lat end")
-    got = solve.fill_land(df, GRID, ["f"]).where("ilat between 8 and 9 and ilon between 15 and 17").agg(F.min("f"), F.max("f")).first()
-    assert 1.5 < got[0] <= got[1] < 2.5
+    for near in (None, 3):
+        got = solve.fill_land(df, GRID, ["f"], near_coast=near).where("ilat between 8 and 9 and ilon between 15 and 17").agg(F.min("f"), F.max("f")).first()
+        assert 1.5 < got[0] <= got[1] < 2.5
+
+
+def test_bases_meet_known_values():
+    rng = np.random.default_rng(7)
+    known, asked = rng.uniform(0, 10, (300, 2)), rng.uniform(2, 8, (40, 2))
+    field = lambda x: np.sin(x[:, 0]) + 0.5 * np.cos(0.7 * x[:, 1])
+    assert np.abs(solve.layered_bases(known, field(known), known, 5.0, 4) - field(known)).max() < 1e-3
+    assert np.abs(solve.layered_bases(known, field(known), asked, 5.0, 4) - field(asked)).max() < 0.1
+
+
+def test_poles_have_no_velocity(spark):
+    polar = Grid.degrees(19, 36, -90.0, 10.0, -175.0, 10.0)
+    df = cells(spark, polar, psi="sin(lat) * cos(lon)")
+    got = potentials.toroidal_velocity(df, polar).where("ilat in (0, 18)").agg(F.max(F.abs("u_lon_tor")), F.max(F.abs("u_lat_tor"))).first()
+    assert max(got) == 0
+
+
+@pytest.mark.parametrize("land", [False, True])
+def test_operator_with_land_and_its_transpose(land):
+    wet = None
+    if land:
+        wet = np.random.default_rng(3).random((18, 36)) < 0.8
+    op = solve.Operator(GRID, CFG, 1e5, True, wet)
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=2 * 648)
+    y = rng.normal(size=len(op.apply(x)))
+    assert math.isclose(float(op.apply(x) @ y), float(x @ op.transpose(y)), rel_tol=1e-9)
+    if land:
+        assert all(np.abs(w[~wet]).max() == 0 for w in op.velocity(*x.reshape(2, 18, 36)))
+
+
+def test_coast_against_steps(spark):
+    rng = np.random.default_rng(8)
+    wet = rng.random((12, 16)) < 0.9
+    grid = Grid.degrees(12, 16, -55.0, 10.0, -170.0, 22.5)
+    df = spark.createDataFrame([(0, 0, i, j, bool(wet[i, j])) for i in range(12) for j in range(16)], "itime int, idepth int, ilat int, ilon int, water boolean")
+    land = np.argwhere(~wet)
+    for reach in (1, 3):
+        want = {(i, j) for i in range(12) for j in range(16) if wet[i, j] and min(abs(i - a) + min(abs(j - b), 16 - abs(j - b)) for a, b in land) <= reach}
+        assert {(r.ilat, r.ilon) for r in reshape.coast(df, grid, reach).collect()} == want
+    assert reshape.coast(df.withColumn("water", F.lit(True)), grid, 3).count() == 0
+
+
+def velocity_table(spark, grid, **fields):
+    """(itime, ilat, ilon, u, v) at two times."""
+    df = cells(spark, grid, **fields).select("ilat", "ilon", "u", "v")
+    return df.withColumn("itime", F.lit(0)).unionByName(df.withColumn("itime", F.lit(1)))
 
 
 def test_particles_go_round_and_back(spark):
-    lat = np.array(GRID.lats)[:, None]
-    u = np.stack([10 * np.cos(lat) + np.zeros((18, 36))] * 2)
+    flow = velocity_table(spark, GRID, u="10 * cos(lat)", v="0")
     starts = particles.seed_positions(spark, 5, GRID, seed=3)
-    times, outputs = [0.0, 1e6], [0.0, 5e5, 1e6]
-    there = particles.advect(starts, u, 0 * u, times, outputs, GRID, how=particles.Advection(cfl=0.05))
+    times, outputs, how = [0.0, 1e6], [0.0, 5e5, 1e6], particles.Advection(cfl=0.05)
+    there = particles.advect(starts, flow, times, outputs, GRID, how=how)
     last = there.where("iout = 2").select("traj", "lon", "lat")
-    back = particles.advect(last, u, 0 * u, times, outputs, GRID, how=particles.Advection(cfl=0.05), backwards=True)
+    back = particles.advect(last, flow, times, outputs, GRID, how=how, backwards=True)
     assert particles.fore_back_distance(there, back).agg(F.max("dist")).first()[0] < 1e3
     lon0 = {r.traj: r.lon for r in starts.collect()}
     for r in last.collect():
@@ -239,6 +364,48 @@ def test_particles_go_round_and_back(spark):
         assert math.isclose(turned, 10 * 1e6 / CFG.earth_radius, rel_tol=2e-2)
 
 
+def test_particles_cross_tiles(spark):
+    """Paths by tiles of the mesh, whose particles move on between them, are those of whole slices; some leave the mesh, some start anew."""
+    flow = velocity_table(spark, GRID, u="8 * cos(lat) + 2 * sin(3 * lon)", v="12 * cos(2 * lon)")
+    starts = particles.seed_positions(spark, 30, GRID)
+    times, outputs = [0.0, 6e5], [0.0, 2e5, 4e5, 6e5]
+    for life in (None, 2.5e5):
+        whole = particles.Advection(cfl=0.1, lifespan=life)
+        a, b = (particles.advect(starts, flow, times, outputs, GRID, how=how) for how in (whole, replace(whole, most=0, tile=5, margin=2)))
+        both = a.join(b.withColumnsRenamed({"lon": "x", "lat": "y"}), ["traj", "iout"])
+        got = both.agg(F.count("*"), F.max(F.expr("abs(lon - x) + abs(lat - y)")), F.sum(F.expr("cast((lon is null) != (x is null) as int)"))).first()
+        assert got[0] == 120 and got[1] < 1e-9 and got[2] == 0
+
+
+def test_particles_keep_to_small_steps(spark):
+    """A first-order path comes nearer to the true one with the step; solid rotation about another axis as the truth."""
+    tilt = 0.5
+    flow = velocity_table(spark, Grid.degrees(90, 180, -89.0, 2.0, -179.0, 2.0), u=f"20 * (cos({tilt}) * cos(lat) + sin({tilt}) * sin(lat) * cos(lon))", v=f"-20 * sin({tilt}) * sin(lon)")
+    grid = Grid.degrees(90, 180, -89.0, 2.0, -179.0, 2.0)
+    starts = spark.createDataFrame([(0, 0.3, 0.2), (1, -1.0, -0.4)], "traj int, lon double, lat double")
+    span = 4e5
+    turn = 20 * span / CFG.earth_radius
+    axis = np.array([-math.sin(tilt), 0.0, math.cos(tilt)])
+    errors = []
+    for cfl in (0.2, 0.02):
+        got = {r.traj: r for r in particles.advect(starts, flow, [0.0, span], [0.0, span], grid, how=particles.Advection(cfl=cfl)).where("iout = 1").collect()}
+        worst = 0.0
+        for r in starts.collect():
+            x = np.array([math.cos(r.lat) * math.cos(r.lon), math.cos(r.lat) * math.sin(r.lon), math.sin(r.lat)])
+            x = x * math.cos(turn) + np.cross(axis, x) * math.sin(turn) + axis * (axis @ x) * (1 - math.cos(turn))
+            g = got[r.traj]
+            y = np.array([math.cos(g.lat) * math.cos(g.lon), math.cos(g.lat) * math.sin(g.lon), math.sin(g.lat)])
+            worst = max(worst, float(np.linalg.norm(x - y)))
+        errors.append(worst)
+    assert errors[1] < 0.3 * errors[0] and errors[1] < 2e-3
+
+
+def test_seeds_need_water(spark):
+    dry = spark.createDataFrame([(i, j, False) for i in range(18) for j in range(36)], "ilat int, ilon int, water boolean")
+    with pytest.raises(ValueError):
+        particles.seed_positions(spark, 3, GRID, dry)
+
+
 def test_two_layers_at_rest_do_nothing(spark):
     cfg = FilterConfig(cartesian=True, periodic_y=True)
     grid = Grid.plane(12, 12, 1e4, 1e4)
