@@ -119,14 +119,18 @@ def transfers_shifted(bar: DataFrame, grid: Grid, cfg: FilterConfig = FilterConf
     return df.select(*[f"`{c}`" for c in bar.columns], F.expr(f"{cfg.rho0!r} * ({terms})").alias("Pi_shifted"))
 
 
+def helmholtz_transfer_sql(cfg: FilterConfig, u: str, v: str, uu: str, uv: str, vv: str) -> str:
+    """Two-dimensional Pi as SQL text over dlon_, dlat_ columns and lat: metric factors, no curvature terms."""
+    r = repr(cfg.earth_radius)
+    a, b, c, d = f"dlon_{u} / ({r} * cos(lat))", f"dlat_{u} / {r}", f"dlon_{v} / ({r} * cos(lat))", f"dlat_{v} / {r}"
+    return f"(-{cfg.rho0!r} * ({a} * ({uu} - {u} * {u}) + ({b} + {c}) * ({uv} - {u} * {v}) + {d} * ({vv} - {v} * {v})))"
+
+
 def transfers_helmholtz(bar: DataFrame, grid: Grid, cfg: FilterConfig = FilterConfig(), keys: list[str] | None = None) -> DataFrame:
-    """Two-dimensional Pi from u_lon, u_lat and filtered products uu, uv, vv: metric factors, no curvature terms."""
+    """Two-dimensional Pi from u_lon, u_lat and filtered products uu, uv, vv."""
     keys = ["ell", "itime", "idepth"] if keys is None else keys
     df = grid.located(calculus.spherical_gradients(bar, grid, ["u_lon", "u_lat"], keys, cfg.order, 1, cfg.periodic_x, cfg.periodic_y), cfg)
-    r = repr(cfg.earth_radius)
-    a, b, c, d = f"dlon_u_lon / ({r} * cos(lat))", f"dlat_u_lon / {r}", f"dlon_u_lat / ({r} * cos(lat))", f"dlat_u_lat / {r}"
-    pi = f"-{cfg.rho0!r} * ({a} * (uu - u_lon * u_lon) + ({b} + {c}) * (uv - u_lon * u_lat) + {d} * (vv - u_lat * u_lat))"
-    return df.select(*[f"`{x}`" for x in bar.columns], F.expr(pi).alias("Pi_helm"))
+    return df.select(*[f"`{x}`" for x in bar.columns], F.expr(helmholtz_transfer_sql(cfg, "u_lon", "u_lat", "uu", "uv", "vv")).alias("Pi_helm"))
 
 
 def energies_sql(cfg: FilterConfig, u: tuple[str, ...], filtered_ke: str, fine_ke: str = "0.0", vort: str = "0.0") -> dict[str, str]:
@@ -151,7 +155,8 @@ def potential_conversion_sql(cfg: FilterConfig, rho: str = "rho", u_r: str = "u_
 
 
 def geostrophic_velocity(cells: DataFrame, grid: Grid, cfg: FilterConfig = FilterConfig(), keys: list[str] | None = None, ssh: str = "ssh", omega: float = 2 * math.pi / 86400) -> DataFrame:
-    """cells with u_lon, u_lat from sea-surface height: f-plane away from the equator, a blend with the beta plane within 5 degrees, beta alone within 0.5; speeds from 100 m/s are null."""
+    """cells with u_lon, u_lat (in place of any there) from sea-surface height: f-plane away from the equator, a blend with the beta plane within 5 degrees, beta alone within 0.5; speeds from 100 m/s are null."""
+    cells = cells.drop("u_lon", "u_lat")
     df = beta_velocity(cells, grid, cfg, keys, ssh, omega, ("__ub", "__vb"), slopes=True)
     df = grid.located(df, cfg)
     g, r, f = cfg.gravity, cfg.earth_radius, f"({2 * omega!r} * sin(lat))"
@@ -175,8 +180,9 @@ def beta_velocity(cells: DataFrame, grid: Grid, cfg: FilterConfig = FilterConfig
 
 
 def radial_velocity(cells: DataFrame, grid: Grid, depth: str, cfg: FilterConfig = FilterConfig(), keys: list[str] | None = None, u_lon: str = "u_lon", u_lat: str = "u_lat") -> DataFrame:
-    """cells with u_r by continuity: the convergence of the horizontal flow, integrated upwards from the lowest level."""
+    """cells with u_r (in place of any there) by continuity: the convergence of the horizontal flow, integrated upwards from the lowest level."""
     keys = ["itime", "idepth"] if keys is None else keys
+    cells = cells.drop("u_r")
     df = vorticity(cells, grid, cfg, keys, u_lon, u_lat).withColumn("__conv", -F.col("div"))
     df = aggregate.depth_integral(df, depth, ["__conv"], [k for k in keys if k != "idepth"] + ["ilat", "ilon"])
     return df.select(*[F.col(f"`{c}`") for c in cells.columns], F.col("__conv_integral").alias("u_r"))
