@@ -2,8 +2,12 @@
 
 Both sides are multinomials over hashed byte n-grams; every document adds to the
 raw counts, the trusted ones (a bounded sample of labelled rows) also to the
-target counts. A document's score is the mean log ratio over its n-grams, kept
-is score >= threshold: deterministic, no sampling of documents.
+target counts. A document's score is the mean log ratio over its n-grams; its tail
+is the share of its n-grams, in a finer table, whose log ratio lies below
+`tail_ratio`, set against what trusted text would hold of them by chance. kept is
+score >= threshold and tail <= tail_share: deterministic, no sampling of documents.
+The tail finds what the mean dilutes, a few words in a long fluent text that no
+trusted text has.
 
 Defined results: null and empty texts have zero words and fail the rules; texts
 shorter than an n-gram score 0; without trusted rows every score is 0 and only
@@ -13,6 +17,7 @@ gives an empty result. Ids may have any type. Only the named columns are read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,12 +32,15 @@ from .common import CHUNK_BYTES, Texts, chunks, seeds, summed_vectors, windows
 
 @dataclass(frozen=True)
 class Params:
-    """trusted: at most about so many labelled rows are used as the target sample. buckets: hashed n-grams."""
+    """trusted: at most about so many labelled rows are used as the target sample. buckets: hashed n-grams; fine: of the tail's table, a multiple of buckets."""
 
     n: int = 4
     buckets: int = 1 << 14
     trusted: int = 20_000
     threshold: float = -0.4
+    fine: int = 1 << 18
+    tail_ratio: float = -2.0
+    tail_share: float = 0.008
     smoothing: float = 1.0
     least_words: int = 20
     most_repeat: int = 30
@@ -95,7 +103,7 @@ def rule_counts(texts: Texts, p: Params = Params()) -> dict[str, np.ndarray]:
 
 
 def _buckets(texts: Texts, p: Params) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of each byte n-gram of one document, and n-grams before each document."""
+    """Fine bucket of each byte n-gram of one document, and n-grams before each document; the bucket is that modulo p.buckets."""
     d = texts.data.astype(np.uint32)
     m = max(0, len(d) - p.n + 1)
     code = np.zeros(m, np.uint32)
@@ -103,7 +111,7 @@ def _buckets(texts: Texts, p: Params) -> tuple[np.ndarray, np.ndarray]:
         code += d[j : j + m] * mult
     code ^= code >> np.uint32(15)
     code *= np.uint32(0x2C1B3C6D)
-    bucket = ((code >> np.uint32(8)) % np.uint32(p.buckets)).astype(np.int64)
+    bucket = ((code >> np.uint32(8)) % np.uint32(p.fine)).astype(np.int64)
     sizes = np.maximum(np.diff(texts.offsets) - p.n + 1, 0)
     counts = np.concatenate(([0], np.cumsum(sizes)))
     at = np.arange(counts[-1]) + np.repeat(texts.offsets[:-1] - counts[:-1], sizes)
@@ -111,17 +119,17 @@ def _buckets(texts: Texts, p: Params) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _count(batches: Iterator[pa.RecordBatch], p: Params, trusted: np.ndarray) -> Iterator[pa.RecordBatch]:
-    total = np.zeros((2, p.buckets))
+    total = np.zeros((2, p.fine))
     with np.errstate(over="ignore"):
         for batch in batches:
             good = np.isin(batch.column(0).to_numpy(), trusted)
             for at, to, texts in chunks(batch.column(1)):
                 bucket, counts = _buckets(texts, p)
-                total[0] += np.bincount(bucket, minlength=p.buckets)
+                total[0] += np.bincount(bucket, minlength=p.fine)
                 own = np.repeat(good[at:to], np.diff(counts))
-                total[1] += np.bincount(bucket[own], minlength=p.buckets)
+                total[1] += np.bincount(bucket[own], minlength=p.fine)
     part = TaskContext.get().partitionId()
-    step = p.buckets // 8
+    step = p.fine // 8
     for b in range(8):
         yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([part % 16], pa.int32()), pa.array([total[:, b * step : (b + 1) * step].tobytes()], pa.binary())], names=["block", "salt", "data"])
 
@@ -140,24 +148,30 @@ def trusted_ids(labels: DataFrame, id_col: str, p: Params) -> np.ndarray:
     return np.array(sorted(r.id for r in good.collect()), np.int64)
 
 
-def fit(docs: DataFrame, trusted: np.ndarray, id_col: str = "doc_id", text_col: str = "text", params: Params = Params()) -> np.ndarray:
-    """Log ratio of target to raw share for each bucket: a vector of fixed size."""
+def fit(docs: DataFrame, trusted: np.ndarray, id_col: str = "doc_id", text_col: str = "text", params: Params = Params()) -> tuple[np.ndarray, np.ndarray]:
+    """Log ratio of target to raw share for each bucket, and which fine buckets trusted text lacks: two vectors of fixed size."""
     p = params
+    none = np.zeros(p.buckets, np.float32), np.zeros(p.fine, bool)
     if not len(trusted):
-        return np.zeros(p.buckets, np.float32)
+        return none
     rows = docs.select(_hashed(id_col), F.col(text_col).cast("string"))
     parts = summed_vectors(rows.mapInArrow(lambda it: _count(it, p, trusted), "block int, salt int, data binary"))
     if not parts:
-        return np.zeros(p.buckets, np.float32)
+        return none
     raw, good = np.concatenate([parts[b].reshape(2, -1) for b in range(8)], axis=1)
     if not good.sum():
-        return np.zeros(p.buckets, np.float32)
+        return none
+    # What trusted text would hold of a bucket if it were like the corpus; one more than it does hold is still far less.
+    expected = good.sum() * raw / raw.sum()
+    rare = good + 1 < math.exp(p.tail_ratio) * expected
     share = lambda x: (x + p.smoothing) / (x.sum() + p.smoothing * p.buckets)
-    return np.log(share(good) / share(raw)).astype(np.float32)
+    raw, good = (x.reshape(-1, p.buckets).sum(axis=0) for x in (raw, good))
+    return np.log(share(good) / share(raw)).astype(np.float32), rare
 
 
-def _score(batches: Iterator[pa.RecordBatch], p: Params, ratio: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], p: Params, model: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    ratio, rare = model
     with np.errstate(over="ignore"):
         for batch in batches:
             for at, to, texts in chunks(batch.column(1), CHUNK_BYTES // 2):
@@ -165,33 +179,36 @@ def _score(batches: Iterator[pa.RecordBatch], p: Params, ratio: np.ndarray) -> I
                 bucket, counts = _buckets(texts, p)
                 size = np.diff(counts)
                 # Each text is summed by itself and rounded before it is compared, so that its neighbours decide nothing.
-                score = np.zeros(len(texts))
-                score[size > 0] = np.add.reduceat(ratio[bucket].astype(np.float64), counts[:-1][size > 0]) if len(bucket) else 0.0
-                score = np.round(score / np.maximum(size, 1), 6)
+                some = size > 0
+                score, tail = np.zeros(len(texts)), np.zeros(len(texts))
+                if len(bucket):
+                    score[some] = np.add.reduceat(ratio[bucket % p.buckets].astype(np.float64), counts[:-1][some])
+                    tail[some] = np.add.reduceat(rare[bucket].astype(np.int64), counts[:-1][some])
+                score, tail = (np.round(x / np.maximum(size, 1), 6) for x in (score, tail))
                 n, rep = rules["n_words"], rules["n_repeat_words"]
                 failed = (n < p.least_words) | (100 * rep > p.most_repeat * n)
-                kept = ~failed & (score >= p.threshold)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), *[pa.array(rules[c].astype(np.int64)) for c in names], pa.array(failed), pa.array(kept), pa.array(score)], names=["doc_id", *names, "base_failed", "kept", "score"])
+                kept = ~failed & (score >= p.threshold) & (tail <= p.tail_share)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), *[pa.array(rules[c].astype(np.int64)) for c in names], pa.array(failed), pa.array(kept), pa.array(score), pa.array(tail)], names=["doc_id", *names, "base_failed", "kept", "score", "tail"])
 
 
-SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, score double"
+SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, score double, tail double"
 
 
-def judge(docs: DataFrame, ratio: np.ndarray, id_col: str = "doc_id", text_col: str = "text", params: Params = Params()) -> DataFrame:
-    """doc_id, rule counts, base_failed, kept, score of every row."""
+def judge(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], id_col: str = "doc_id", text_col: str = "text", params: Params = Params()) -> DataFrame:
+    """doc_id, rule counts, base_failed, kept, score, tail of every row."""
     rows = docs.select(F.col(id_col), F.col(text_col).cast("string"))
-    return rows.mapInArrow(lambda it: _score(it, params, ratio), f"doc_id {docs.schema[id_col].dataType.simpleString()}, {SCHEMA}")
+    return rows.mapInArrow(lambda it: _score(it, params, model), f"doc_id {docs.schema[id_col].dataType.simpleString()}, {SCHEMA}")
 
 
-def _filter(batches: Iterator[pa.RecordBatch], p: Params, ratio: np.ndarray, at: int) -> Iterator[pa.RecordBatch]:
+def _filter(batches: Iterator[pa.RecordBatch], p: Params, model: tuple[np.ndarray, np.ndarray], at: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         text = batch.column(at)
-        judged = list(_score(iter([pa.RecordBatch.from_arrays([pa.nulls(len(text), pa.int64()), text], names=["i", "t"])]), p, ratio)) if len(text) else []
+        judged = list(_score(iter([pa.RecordBatch.from_arrays([pa.nulls(len(text), pa.int64()), text], names=["i", "t"])]), p, model)) if len(text) else []
         if judged:
             yield batch.filter(pa.concat_arrays([x.column(7) for x in judged]))
 
 
-def keep_good(docs: DataFrame, ratio: np.ndarray, text_col: str = "text", params: Params = Params()) -> DataFrame:
+def keep_good(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text_col: str = "text", params: Params = Params()) -> DataFrame:
     """The rows of docs that are kept, with all their columns, in one pass and without a join."""
     at = docs.columns.index(text_col)
-    return docs.mapInArrow(lambda it: _filter(it, params, ratio, at), docs.schema)
+    return docs.mapInArrow(lambda it: _filter(it, params, model, at), docs.schema)

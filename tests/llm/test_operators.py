@@ -386,45 +386,54 @@ def test_quality_ratio(spark):
 
 
 def plain_ratio(trusted, every, p):
-    """Log ratios by bucket and the bucket of every n-gram of a text, one by one."""
+    """Mean log ratio and tail of a text, n-gram by n-gram."""
     mult = [(x | 1) % 2**32 for x in numbers(p.n, 21)]
 
-    def buckets(t):
+    def fine(t):
         data, out = (t or "").encode(), []
         for i in range(len(data) - p.n + 1):
             code = sum(b * m for b, m in zip(data[i : i + p.n], mult, strict=True)) % 2**32
             code = (code ^ (code >> 15)) * 0x2C1B3C6D % 2**32
-            out.append((code >> 8) % p.buckets)
+            out.append((code >> 8) % p.fine)
         return out
 
-    good, raw = Counter(), Counter()
-    for t in every:
-        raw.update(buckets(t))
-    for t in trusted:
-        good.update(buckets(t))
-    share = lambda c, b: (c[b] + p.smoothing) / (sum(c.values()) + p.smoothing * p.buckets)
-    ratio = {b: math.log(share(good, b) / share(raw, b)) for b in raw}
-    return lambda t: sum(ratio[b] for b in own) / len(own) if (own := buckets(t)) else 0.0
+    good, raw = (Counter(b for t in own for b in fine(t)) for own in (trusted, every))
+    total = {id(c): sum(c.values()) for c in (good, raw)}
+    lacks = {b for b, n in raw.items() if good[b] + 1 < math.exp(p.tail_ratio) * total[id(good)] * n / total[id(raw)]}
+    wide = {id(c): Counter() for c in (good, raw)}
+    for c in (good, raw):
+        for b, n in c.items():
+            wide[id(c)][b % p.buckets] += n
+    share = lambda c, b: (wide[id(c)][b] + p.smoothing) / (total[id(c)] + p.smoothing * p.buckets)
+    ratio = {b: math.log(share(good, b) / share(raw, b)) for b in wide[id(raw)]}
+
+    def judged(t):
+        own = fine(t)
+        return (sum(ratio[b % p.buckets] for b in own) / len(own), sum(b in lacks for b in own) / len(own)) if own else (0.0, 0.0)
+
+    return judged
 
 
 def test_quality_verdicts(spark):
-    """kept by a plain loop over n-grams, on texts of all sizes, whatever their neighbours."""
+    """kept by a plain loop over n-grams, on texts of all sizes, whatever their neighbours; a few words that no trusted text has."""
     rng = random.Random(8)
     texts_ = [" ".join(rng.choices(["tion", "the", "ing", "of"], k=rng.randint(0, 60))) for _ in range(40)] + ["#" * 90, "$ % " * 40, "", None, "abc", "é" * 30]
+    texts_ += [" ".join(rng.choices(["tion", "the", "ing", "of"], k=50)) + " wretched" * k for k in (0, 1, 3, 9) for _ in range(3)]
     rows = [(k, t, None, None) for k, t in enumerate(texts_)]
-    labels = spark.createDataFrame([(k, 1, 0) for k in range(0, 40, 3)] + [(41, 0, 0), (2, 1, 1)], "doc_id long, quality int, toxic int")
-    p = quality.Params(threshold=-0.1, smoothing=0.01)
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(0, 40)] + [(41, 0, 0), (2, 1, 1)], "doc_id long, quality int, toxic int")
+    p = quality.Params(threshold=-0.3, smoothing=0.01, tail_share=0.01)
     docs = make(spark, rows)
-    ratio = quality.fit(docs, quality.trusted_ids(labels, "doc_id", p), params=p)
-    score = plain_ratio([texts_[k] for k in range(0, 40, 3)], texts_, p)
-    got = quality.judge(docs, ratio, params=p).collect()
+    model = quality.fit(docs, quality.trusted_ids(labels, "doc_id", p), params=p)
+    plain = plain_ratio([texts_[k] for k in range(40)], texts_, p)
+    got = quality.judge(docs, model, params=p).collect()
     for r in got:
-        want = score(texts_[r.doc_id])
-        assert abs(r.score - want) < 2e-6
-        assert r.kept == (not r.base_failed and r.score >= p.threshold)
-    assert {r.kept for r in got} == {True, False}
-    alone = quality.judge(docs.where("doc_id = 40"), ratio, params=p).first()
-    assert alone == next(r for r in got if r.doc_id == 40)
+        score, tail = plain(texts_[r.doc_id])
+        assert abs(r.score - score) < 2e-6 and abs(r.tail - tail) < 2e-6
+        assert r.kept == (not r.base_failed and r.score >= p.threshold and r.tail <= p.tail_share)
+    by = {r.doc_id: r for r in got}
+    assert any(by[k].kept for k in range(40)) and all(by[k].tail > 0.01 and not by[k].kept for k in range(52, 58))
+    alone = quality.judge(docs.where("doc_id = 40"), model, params=p).first()
+    assert alone == by[40]
 
 
 def test_ids_of_any_type(spark):
