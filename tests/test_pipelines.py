@@ -14,6 +14,7 @@ from tesseral.grid import Grid, densify
 from tesseral.operators import solve
 from tesseral.plans import pipelines
 from tesseral.sources import netcdf, tables
+from tesseral.streaming import running
 from tesseral.streaming.running import running_time_mean
 
 GRID = Grid.degrees(12, 24, -82.5, 15.0, -172.5, 15.0)
@@ -218,3 +219,30 @@ def test_running_mean(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {(r.f_time_average, r.n) for r in spark.sql("select * from running").collect()} == {(1.0, 3)}
+
+
+def test_stream_of_slices(spark, tmp_path):
+    """Slices that arrive file by file give what they give together."""
+    source = f"{tmp_path}/s"
+    whole = fields(spark, rho="1025 + lat * cos(lon)").crossJoin(spark.createDataFrame([(t, t) for t in range(3)], "t int, u int")).withColumn("itime", F.col("t")).drop("t", "u")
+    for t in range(3):
+        whole.where(F.col("itime") == t).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(whole.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    running.analysed(stream, lambda df: pipelines.coarse_grain_scalars(df, GRID, [2e6], ["rho"], CFG), f"{tmp_path}/out", f"{tmp_path}/c").awaitTermination()
+    got = spark.read.parquet(f"{tmp_path}/out")
+    assert got.select("batch").distinct().count() == 3
+    plain = pipelines.coarse_grain_scalars(whole, GRID, [2e6], ["rho"], CFG).select("itime", "ilat", "ilon", F.col("rho").alias("x"))
+    both = got.join(plain, ["itime", "ilat", "ilon"]).agg(F.count("*"), F.max(F.expr("abs(rho - x)"))).first()
+    assert both[0] == 3 * 288 and both[1] < 1e-9
+
+
+def test_windows_of_a_stream(spark, tmp_path):
+    source = f"{tmp_path}/s"
+    for day, value in ((1, 1.0), (1, 3.0), (3, 5.0)):
+        spark.createDataFrame([(0, 0, 0, value, f"2020-01-0{day} 06:00:00")], "idepth int, ilat int, ilon int, f double, at string").withColumn("at", F.to_timestamp("at")).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source)
+    means = running.windowed_time_mean(stream, ["f"], "at", "1 day", "1 hour")
+    q = means.writeStream.outputMode("update").format("memory").queryName("windows").option("checkpointLocation", f"{tmp_path}/c").start()
+    q.processAllAvailable()
+    q.stop()
+    assert {(r.start.day, r.f_time_average, r.n) for r in spark.sql("select * from windows").collect()} == {(1, 2.0, 2), (3, 5.0, 1)}
