@@ -1,7 +1,7 @@
 """Personal data: patterns propose spans, checksums confirm them, nearby words adjust the score.
 
 Column expressions only: `regexp_extract_all` gives the matches, `split` by the
-same pattern the text between them, and a running sum of lengths their code
+same pattern the text between them, and sums of lengths, run after run, their code
 points, so that nothing is shuffled and no Python runs.
 
 Defined results: a null text is empty; matches are leftmost and do not overlap
@@ -102,47 +102,67 @@ def _confirmed(kind: Kind, x: Column, threshold: float) -> tuple[Column, Column]
     return F.coalesce(ok if kind.base else ok & (score >= threshold), F.lit(False)), score
 
 
-def _spans(kind: Kind, pieces: str, found: str, threshold: float) -> Column:
-    """Struct n, spans, scores of one kind."""
+#: Hits of one run: what is built hit by hit has at most so many parts, and runs are joined at the end, so that a text takes time in proportion to its hits.
+_RUN = 128
+
+
+def _rows(pieces: str, found: str) -> Column:
+    """Runs of (piece, hit, next piece) of one kind; the last hit is null."""
+    rows = F.arrays_zip(F.col(pieces).alias("piece"), F.col(found).alias("hit"), F.slice(F.col(pieces), F.lit(2), F.size(pieces)).alias("next"))
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / _RUN).cast("int")), lambda k: F.slice(rows, k * _RUN + 1, F.lit(_RUN)))
+
+
+def _starts(runs: Column) -> Column:
+    """The code point at which each run begins."""
+    sizes = F.transform(runs, lambda run: F.aggregate(run, F.lit(0), lambda n, x: n + F.length(x["piece"]) + F.coalesce(F.length(x["hit"]), F.lit(0))))
+    return F.aggregate(sizes, F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
+
+
+def _spans(kind: Kind, runs: str, starts: str, threshold: float) -> Column:
+    """(span, score) of every confirmed hit of one kind, in order."""
+    none = F.array().cast("array<struct<span:string,score:string>>")
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["pos"] + F.length(x["piece"])
-        end = start + F.length(x["hit"])
+        end = start + F.coalesce(F.length(x["hit"]), F.lit(0))
         ok, score = _confirmed(kind, x, threshold)
-        comma = F.when(acc["n"] > 0, F.lit(",")).otherwise(F.lit(""))
-        return F.struct(
-            F.coalesce(end, acc["pos"]).alias("pos"),
-            (acc["n"] + F.when(ok, F.lit(1)).otherwise(F.lit(0))).cast("long").alias("n"),
-            F.when(ok, F.concat(acc["spans"], comma, F.lit(f"{kind.name}:"), start.cast("string"), F.lit(":"), end.cast("string"))).otherwise(acc["spans"]).alias("spans"),
-            F.when(ok, F.concat(acc["scores"], comma, F.format_number(score, 2))).otherwise(acc["scores"]).alias("scores"),
-        )
+        one = F.struct(F.concat(F.lit(f"{kind.name}:"), start.cast("string"), F.lit(":"), end.cast("string")).alias("span"), F.format_number(score, 2).alias("score"))
+        return F.struct(end.alias("pos"), F.concat(acc["out"], F.when(ok, F.array(one)).otherwise(none)).alias("out"))
 
-    rows = F.arrays_zip(F.col(pieces).alias("piece"), F.col(found).alias("hit"), F.slice(F.col(pieces), F.lit(2), F.size(pieces)).alias("next"))
-    zero = F.struct(F.lit(0).alias("pos"), F.lit(0).cast("long").alias("n"), F.lit("").alias("spans"), F.lit("").alias("scores"))
-    return F.when(F.size(found) > 0, F.aggregate(rows, zero, step))
+    def run(rows: Column, start: Column) -> Column:
+        return F.aggregate(rows, F.struct(start.alias("pos"), none.alias("out")), step, lambda acc: acc["out"])
+
+    return F.flatten(F.zip_with(runs, F.slice(F.col(starts), F.lit(1), F.size(runs)), run))
 
 
 def _names(kind: Kind) -> tuple[str, str, str]:
     return f"__found_{kind.name}", f"__pieces_{kind.name}", f"__spans_{kind.name}"
 
 
+def _in_runs(df: DataFrame, kinds: tuple[Kind, ...], rest: list[str]) -> DataFrame:
+    """df(rest, found and pieces of each kind) with the runs of each kind in place of its pieces; null without a hit."""
+    return df.select(*rest, *[F.when(F.size(_names(k)[0]) > 0, _rows(_names(k)[1], _names(k)[0])).alias(_names(k)[1]) for k in kinds])
+
+
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kinds: tuple[Kind, ...] = KINDS, threshold: float = 0.6) -> DataFrame:
     """Per row: id, n_<kind> of each kind, base_spans, spans, scores (in the order of spans)."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     df = docs.select(F.col(id_col).alias("__id"), text.alias("__text"))
     df = df.select("*", *[_found(F.col("__text"), k).alias(_names(k)[0]) for k in kinds])
     df = df.select("*", *[_between(F.col("__text"), k, _names(k)[0]).alias(_names(k)[1]) for k in kinds])
-    df = df.select("__id", *[_spans(k, _names(k)[1], _names(k)[0], threshold).alias(_names(k)[2]) for k in kinds])
+    df = _in_runs(df, kinds, ["__id"])
+    df = df.select("*", *[F.when(F.col(_names(k)[1]).isNotNull(), _starts(F.col(_names(k)[1]))).alias(_names(k)[0]) for k in kinds])
+    df = df.select("__id", *[F.when(F.col(_names(k)[1]).isNotNull(), _spans(k, _names(k)[1], _names(k)[0], threshold)).alias(_names(k)[2]) for k in kinds])
 
     def joined(field: str, own: list[Kind]) -> Column:
-        return F.concat_ws(",", *[F.nullif(F.col(f"{_names(k)[2]}.{field}"), F.lit("")) for k in own])
+        return F.concat_ws(",", *[F.transform(_names(k)[2], lambda x: x[field]) for k in own])
 
     return df.select(
         F.col("__id").alias(id_col),
-        *[F.coalesce(F.col(f"{_names(k)[2]}.n"), F.lit(0)).cast("long").alias(f"n_{k.name}") for k in kinds],
-        joined("spans", [k for k in kinds if k.base]).alias("base_spans"),
-        joined("spans", list(kinds)).alias("spans"),
-        joined("scores", list(kinds)).alias("scores"),
+        *[F.coalesce(F.when(F.col(_names(k)[2]).isNotNull(), F.size(_names(k)[2])), F.lit(0)).cast("long").alias(f"n_{k.name}") for k in kinds],
+        joined("span", [k for k in kinds if k.base]).alias("base_spans"),
+        joined("span", list(kinds)).alias("spans"),
+        joined("score", list(kinds)).alias("scores"),
     )
 
 
@@ -154,6 +174,11 @@ def _replaced(kind: Kind, threshold: float) -> Callable[[Column, Column], Column
     return step
 
 
+def _cleaner(kind: Kind, threshold: float) -> Callable[[Column], Column]:
+    """The text of a run with its confirmed hits replaced."""
+    return lambda run: F.aggregate(run, F.lit(""), _replaced(kind, threshold))
+
+
 def redact(docs: DataFrame, text_col: str = "text", kinds: tuple[Kind, ...] = KINDS, threshold: float = 0.6) -> DataFrame:
     """docs with each confirmed span of text_col replaced by [KIND], kind after kind; a null text stays null."""
     columns = docs.columns
@@ -162,6 +187,7 @@ def redact(docs: DataFrame, text_col: str = "text", kinds: tuple[Kind, ...] = KI
         found, pieces, _ = _names(kind)
         df = df.select("*", _found(F.col("__text"), kind).alias(found))
         df = df.select("*", _between(F.col("__text"), kind, found).alias(pieces))
-        rows = F.arrays_zip(F.col(pieces).alias("piece"), F.col(found).alias("hit"), F.slice(F.col(pieces), F.lit(2), F.size(pieces)).alias("next"))
-        df = df.select("__row", F.when(F.size(found) > 0, F.aggregate(rows, F.lit(""), _replaced(kind, threshold))).otherwise(F.col("__text")).alias("__text"))
+        df = _in_runs(df, (kind,), ["__row", "__text"])
+        cleaned = F.array_join(F.transform(pieces, _cleaner(kind, threshold)), "")
+        df = df.select("__row", F.when(F.col(pieces).isNotNull(), cleaned).otherwise(F.col("__text")).alias("__text"))
     return df.select(*[F.col("__text").alias(c) if c == text_col else F.col("__row").getField(c).alias(c) for c in columns])
