@@ -59,13 +59,15 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out(df, PLACE, 3, dist=geometry.distance("lat", "lat0", "dl", CFG))
 
 
-@query("g4_distance_precise", f"with {FLAT} select a.ilat, a.ilon, round(2 * 6371e3 * asin(least(1.0, sqrt(power(sin((b.lat - a.lat) / 2), 2) + cos(a.lat) * cos(b.lat) * power(sin((b.lon - a.lon) / 2), 2)))), 2) + 0.0 as dist from flat a, flat b where b.ilat = 4 and b.ilon = 9")
+@query("g4_distance_precise", f"with {FLAT} select a.ilat, a.ilon, round(2 * 6371e3 * asin(least(1.0, sqrt(power(sin((b.lat - a.lat) / 2), 2) + cos(a.lat) "
+    f"* cos(b.lat) * power(sin((b.lon - a.lon) / 2), 2)))), 2) + 0.0 as dist from flat a, flat b where b.ilat = 4 and b.ilon = 9")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _located(spark, sf_dir).withColumns({"lat0": F.lit(GRID.lats[4]), "dl": F.expr(f"lon - {GRID.lons[9]!r}")})
     return out(df, PLACE, 2, dist=geometry.distance("lat", "lat0", "dl", FilterConfig(high_precision_distance=True)))
 
 
-@query("g2_distance_plane", "with p as (select cast(a.range as int) as i, cast(b.range as int) as j from range(20) a, range(30) b) select i, j, round(sqrt(power(least(j * 1000.0, 30000.0 - j * 1000.0), 2) + power(i * 500.0, 2)), 6) + 0.0 as dist from p")
+@query("g2_distance_plane", "with p as (select cast(a.range as int) as i, cast(b.range as int) as j from range(20) a, range(30) b) select i, j, round(sqrt(power(least(j "
+    "* 1000.0, 30000.0 - j * 1000.0), 2) + power(i * 500.0, 2)), 6) + 0.0 as dist from p")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = spark.range(20).select(F.col("id").cast("int").alias("i")).crossJoin(spark.range(30).select(F.col("id").cast("int").alias("j"))).withColumns({"y": F.expr("i * 500.0D"), "y0": F.lit(0.0), "dx": F.expr("j * 1000.0D")})
     return out(df, ["i", "j"], 6, dist=geometry.distance("y", "y0", "dx", FilterConfig(cartesian=True), 30000.0, 10000.0))
@@ -76,14 +78,18 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out(_located(spark, sf_dir), PLACE, 0, area="area")
 
 
-@query("g6_areas_uneven", f"with t as (select cast(range as int) as ilat, radians(-80 + 9.0 * range + 0.1 * range * range) as lat from range(15)), g as (select *, lat - lag(lat) over (order by ilat) as below, lead(lat) over (order by ilat) - lat as above from t) select ilat, round(6371e3 * 6371e3 * cos(lat) * {DANG} * (coalesce(below, 0) + coalesce(above, 0)) / 2, 0) + 0.0 as area from g")
+@query("g6_areas_uneven", f"with t as (select cast(range as int) as ilat, radians(-80 + 9.0 * range + 0.1 * range * range) as lat from range(15)), "
+    f"g as (select *, lat - lag(lat) over (order by ilat) as below, lead(lat) over (order by ilat) - lat as above from t) select "
+    f"ilat, round(6371e3 * 6371e3 * cos(lat) * {DANG} * (coalesce(below, 0) + coalesce(above, 0)) / 2, 0) + 0.0 as area from g")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     uneven = Grid(tuple(math.radians(-80 + 9.0 * k + 0.1 * k * k) for k in range(15)), GRID.lons)
     return out(uneven.lat_dim(spark, FilterConfig(order=2, uniform_lat=False)), ["ilat"], 0, area="area")
 
 
 _D = "(d / 1000.0)"
-_SHAPES = {"tophat": f"case when {_D} < 1 then 1.0 else 0.0 end", "hypergaussian": f"exp(-power({_D}, 4))", "gaussian": f"exp(-power({_D}, 2))", "johnsongaussian": f"exp(-power({_D}, 2) / 8)", "sinc": f"case when d = 0 then 1.0 else sin(pi() * {_D}) / (pi() * {_D}) end", "smoothhat": f"0.5 * (1 - tanh(({_D} - 1) / 0.1))", "highorder": f"0.5 * (1 - tanh(({_D} - 1) / 0.1)) - 0.21534029041474162 * exp(-power(({_D} - 1) / 0.5, 2))"}
+_SHAPES = {"tophat": f"case when {_D} < 1 then 1.0 else 0.0 end", "hypergaussian": f"exp(-power({_D}, 4))", "gaussian": f"exp(-power({_D}, 2))", "johnsongaussian": f"exp(-power({_D}, "
+    f"2) / 8)", "sinc": f"case when d = 0 then 1.0 else sin(pi() * {_D}) / (pi() * {_D}) end", "smoothhat": f"0.5 * (1 - tanh(({_D} - "
+    f"1) / 0.1))", "highorder": f"0.5 * (1 - tanh(({_D} - 1) / 0.1)) - 0.21534029041474162 * exp(-power(({_D} - 1) / 0.5, 2))"}
 
 
 @query("g7_kernels", "with t as (select cast(range * 25 as double) as d from range(120)) " + " union all ".join(f"select '{k}' as kernel, d, round({e}, 9) + 0.0 as k from t" for k, e in _SHAPES.items()))
@@ -124,7 +130,8 @@ def _alpha_sql() -> str:
         shape = e.replace(_D, "(r / 0.5)").replace("d = 0", "r = 0")
         # The lower sum of the sinc cancels to rounding: no ratio, both sums are compared.
         ratio = "null::double" if k == "sinc" else f"round(sum(({shape}) * r * r * r) / sum(({shape}) * r), 6) + 0.0"
-        parts.append(f"select '{k}' as kernel, {ratio} as alpha, round(sum(({shape}) * r * r * r) * {_ENDS[k]}::double / {n}, 4) + 0.0 as upper, round(sum(({shape}) * r) * {_ENDS[k]}::double / {n}, 4) + 0.0 as lower from (select range * ({_ENDS[k]}::double / {n}) as r from range({n}))")
+        parts.append(f"select '{k}' as kernel, {ratio} as alpha, round(sum(({shape}) * r * r * r) * {_ENDS[k]}::double / {n}, 4) + 0.0 as upper, "
+            f"round(sum(({shape}) * r) * {_ENDS[k]}::double / {n}, 4) + 0.0 as lower from (select range * ({_ENDS[k]}::double / {n}) as r from range({n}))")
     return " union all ".join(parts)
 
 
@@ -163,13 +170,16 @@ _RHO = "({rho_w} + s * {rho_s} + s**1.5 * {rho_s15} + s * s * {rho_s2})".format(
 _BULK = "({k_w} + s * {k_s} + s**1.5 * {k_s15} + p * ({k_p} + s * {k_ps} + s**1.5 * {k_ps15}) + p * p * ({k_p2} + s * {k_p2s}))".format(**_W)
 
 
-@query("g12_density", f"with {FLAT}, w as (select ilat, ilon, 10 + u as t, 35 + v / 10 as s, 50 + 10 * ssh as p from flat) select ilat, ilon, round({_RHO} / (1 - p / {_BULK}), 4) + 0.0 as rho from w")
+@query("g12_density", f"with {FLAT}, w as (select ilat, ilon, 10 + u as t, 35 + v / 10 as s, 50 + 10 * ssh as p from flat) select ilat, ilon, round({_RHO} / "
+    f"(1 - p / {_BULK}), 4) + 0.0 as rho from w")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = flat(spark, sf_dir).select(*PLACE, F.expr("10 + u").alias("t"), F.expr("35 + v / 10").alias("s"), F.expr("50 + 10 * ssh").alias("p"))
     return out(df, PLACE, rho=seawater.density("t", "s", "p"))
 
 
-@query("g13_temperature", f"with {FLAT}, w as (select ilat, ilon, 10 + u as theta, 1e5 * (50 + ssh) as p from flat) select ilat, ilon, round(283 * 9.738e-4 * 1.67e-4 / 3986 * p * (1 + 0.5 * 1.1e-8 * p + 283 * 9.738e-4 * 1e-5 / 3986 * p) + (theta + 273.15 - 283) * (1 + 283 * 9.738e-4 * 1e-5 / 3986 * p) + 283 - 273.15, 4) + 0.0 as t from w")
+@query("g13_temperature", f"with {FLAT}, w as (select ilat, ilon, 10 + u as theta, 1e5 * (50 + ssh) as p from flat) select ilat, ilon, round(283 * "
+    f"9.738e-4 * 1.67e-4 / 3986 * p * (1 + 0.5 * 1.1e-8 * p + 283 * 9.738e-4 * 1e-5 / 3986 * p) + (theta + 273.15 - 283) * (1 + "
+    f"283 * 9.738e-4 * 1e-5 / 3986 * p) + 283 - 273.15, 4) + 0.0 as t from w")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = flat(spark, sf_dir).select(*PLACE, F.expr("10 + u").alias("theta"), F.expr("1e5 * (50 + ssh)").alias("p"))
     return out(df, PLACE, t=seawater.temperature("p", "theta"))
@@ -193,7 +203,8 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SIZES = {"itime": 7, "idepth": 7, "ilat": 18, "ilon": 36}
 
 
-@query("g16_index", f"with {CUBE}, n as (select (itime * 7 + idepth) as slice, row_number() over (partition by itime, idepth order by ilat, ilon) - 1 as place, itime, idepth, ilat, ilon from cube) select cast(slice * 648 + place as bigint) as cell, itime, idepth, ilat, ilon from n")
+@query("g16_index", f"with {CUBE}, n as (select (itime * 7 + idepth) as slice, row_number() over (partition by itime, idepth order by ilat, ilon) "
+    f"- 1 as place, itime, idepth, ilat, ilon from cube) select cast(slice * 648 + place as bigint) as cell, itime, idepth, ilat, ilon from n")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = cube(spark, sf_dir).select(F.expr(geometry.cell_index(_SIZES)).alias("cell"))
     return cells.select("cell", *[F.expr(e).alias(k) for k, e in geometry.cell_places("cell", _SIZES).items()])
@@ -234,7 +245,8 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out(reshape.roll(flat(spark, sf_dir), GRID), PLACE, u="u")
 
 
-@query("r5_subset", f"with {CUBE} select itime, idepth, cast((ilat - 2) // 3 as int) as ilat, cast((ilon - 1) // 2 as int) as ilon, round(u, 4) + 0.0 as u from cube where ilat between 2 and 14 and (ilat - 2) % 3 = 0 and ilon between 1 and 30 and (ilon - 1) % 2 = 0")
+@query("r5_subset", f"with {CUBE} select itime, idepth, cast((ilat - 2) // 3 as int) as ilat, cast((ilon - 1) // 2 as int) as ilon, round(u, "
+    f"4) + 0.0 as u from cube where ilat between 2 and 14 and (ilat - 2) % 3 = 0 and ilon between 1 and 30 and (ilon - 1) % 2 = 0")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out(reshape.subset(cube(spark, sf_dir), ilat=(2, 14, 3), ilon=(1, 30, 2)), ["itime", "idepth", *PLACE], u="u")
 
@@ -256,8 +268,10 @@ def _brute(shape: str = "exp(-dd * dd)", fields: str = "u v", source: str = "fla
     values = ", ".join(f"sum(w * {above} * coalesce({f}_, 0)) / sum(w * {below}) as {f}" for f in fields.split())
     get = ", ".join(f"b.{f} as {f}_" for f in fields.split())
     return (
-        f"{_ELLS}, dist as (select s.ell{more}, a.ilat, a.ilon, a.lat, a.lon, b.ilat as jlat, b.ilon as jlon, cos(b.lat) as area, {weight} as wt_, {DIST} / (s.ell / 2) as dd, {get} from scales s, {source} a, {source} b where {same}), "
-        f"pairs as (select *, ({shape}) * area * wt_ as w from dist), coarse as (select ell, {''.join(k + ', ' for k in keys.split())}ilat, ilon, any_value(lat) as lat, any_value(lon) as lon, {values} from pairs group by all)"
+        f"{_ELLS}, dist as (select s.ell{more}, a.ilat, a.ilon, a.lat, a.lon, b.ilat as jlat, b.ilon as jlon, cos(b.lat) as area, {weight} as "
+        f"wt_, {DIST} / (s.ell / 2) as dd, {get} from scales s, {source} a, {source} b where {same}), "
+        f"pairs as (select *, ({shape}) * area * wt_ as w from dist), coarse as (select ell, {''.join(k + ', ' for k in keys.split())}ilat, "
+        f"ilon, any_value(lat) as lat, any_value(lon) as lon, {values} from pairs group by all)"
     )
 
 
@@ -304,13 +318,15 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out(coarse_ops.coarse_grain_pairs(flat(spark, sf_dir), GRID, SCALES, ["u", "v"]), ["ell", *PLACE], u="u", v="v")
 
 
-@query("j4_deform_land", f"with {CUBE}, {_brute(source='cube', keys='itime idepth', below='(case when u_ is null then 0 else 1 end)')} select ell, itime, idepth, ilat, ilon, {rounded(u='u')} from coarse")
+@query("j4_deform_land", f"with {CUBE}, {_brute(source='cube', keys='itime idepth', below='(case when u_ is null then 0 else 1 end)')} select ell, "
+    f"itime, idepth, ilat, ilon, {rounded(u='u')} from coarse")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = cube(spark, sf_dir).withColumn("water", F.col("u").isNotNull())
     return out(coarse_ops.coarse_grain(df, GRID, SCALES, ["u"], FilterConfig(deform_around_land=True), water="water"), ["ell", "itime", "idepth", *PLACE], u="u")
 
 
-@query("j4_zonal_kernel", f"with {FLAT}, {_brute(fields='u')}, zonal as (select ell, ilat, ilon, sum(w * u_) / sum(w) as u from pairs where ilat = jlat group by all) select ell, ilat, ilon, {rounded(u='u')} from zonal")
+@query("j4_zonal_kernel", f"with {FLAT}, {_brute(fields='u')}, zonal as (select ell, ilat, ilon, sum(w * u_) / sum(w) as u from pairs where ilat = "
+    f"jlat group by all) select ell, ilat, ilon, {rounded(u='u')} from zonal")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out(coarse_ops.coarse_grain(flat(spark, sf_dir), GRID, SCALES, ["u"], FilterConfig(zonal_kernel_only=True)), ["ell", *PLACE], u="u")
 
@@ -323,13 +339,18 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PLANE = Grid.plane(18, 36, 10e3, 10e3)
 
 
-@query("j4_coarse_plane", f"with {FLAT}, pairs as (select a.ilat, a.ilon, b.u as u_, exp(-4 * (power(least(abs(a.ilon - b.ilon), 36 - abs(a.ilon - b.ilon)) * 10e3, 2) + power((a.ilat - b.ilat) * 10e3, 2)) / (50e3 * 50e3)) as w from flat a, flat b) select 50e3::double as ell, ilat, ilon, round(sum(w * u_) / sum(w), 4) + 0.0 as u from pairs group by ilat, ilon")
+@query("j4_coarse_plane", f"with {FLAT}, pairs as (select a.ilat, a.ilon, b.u as u_, exp(-4 * (power(least(abs(a.ilon - b.ilon), 36 - abs(a.ilon - "
+    f"b.ilon)) * 10e3, 2) + power((a.ilat - b.ilat) * 10e3, 2)) / (50e3 * 50e3)) as w from flat a, flat b) select 50e3::double "
+    f"as ell, ilat, ilon, round(sum(w * u_) / sum(w), 4) + 0.0 as u from pairs group by ilat, ilon")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out(coarse_ops.coarse_grain(flat(spark, sf_dir), _PLANE, [50e3], ["u"], FilterConfig(cartesian=True)), ["ell", *PLACE], u="u")
 
 
 _K1, _K2 = "(-2 * dd * exp(-dd * dd))", "((4 * dd * dd - 2) * exp(-dd * dd))"
-_DL = f"sums as (select ell, ilat, ilon, sum(w) as s0, sum(w * u_) as su, sum(area * {_K1} * -dd / ell) as s1, sum(area * {_K1} * -dd / ell * u_) as s1u, sum(area * ({_K2} * dd * dd + {_K1} * 2 * dd) / (ell * ell)) as s2, sum(area * ({_K2} * dd * dd + {_K1} * 2 * dd) / (ell * ell) * u_) as s2u from pairs group by all), grow as (select ell, ilat, ilon, su / s0 as u, (s1u / s1 - su / s0) * s1 / s0 as dl, (s2u / s2 - su / s0) * s2 / s0 - 2 * (s1u / s1 - su / s0) * s1 / s0 * s1 / s0 as dll from sums)"
+_DL = ( f"sums as (select ell, ilat, ilon, sum(w) as s0, sum(w * u_) as su, sum(area * {_K1} * -dd / ell) as s1, sum(area * {_K1} * "
+    f"-dd / ell * u_) as s1u, sum(area * ({_K2} * dd * dd + {_K1} * 2 * dd) / (ell * ell)) as s2, sum(area * ({_K2} * dd * dd + {_K1} * "
+    f"2 * dd) / (ell * ell) * u_) as s2u from pairs group by all), grow as (select ell, ilat, ilon, su / s0 as u, (s1u / s1 - su "
+    f"/ s0) * s1 / s0 as dl, (s2u / s2 - su / s0) * s2 / s0 - 2 * (s1u / s1 - su / s0) * s1 / s0 * s1 / s0 as dll from sums)")
 
 
 @query("d9_scale_derivatives", f"with {FLAT}, {_brute(fields='u')}, {_DL} select ell, ilat, ilon, {rounded(u='u', dl='1e6 * dl', dll='1e12 * dll')} from grow")
@@ -345,7 +366,9 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out(df, ["ell", *PLACE], 2, spectrum=f"1e-6 * {e['spectrum']}", slope=e["slope"])
 
 
-@query("a10_spectral_slope", f"with {FLAT}, {_brute(fields='u')}, {_DL}, e as (select ell, ilat, -0.5 * 1025 * ell * ell * 2 * u * dl as s, -2 * (-0.5 * 1025 * ell * ell * 2 * u * dl) - ell * (dl * dl + u * dll) * (-0.5 * 1025 * ell * ell) as p from grow where abs(u * dl) > 1e-9) select ell, ilat, round(sum(p) / sum(s), 2) + 0.0 as ratio from e group by ell, ilat")
+@query("a10_spectral_slope", f"with {FLAT}, {_brute(fields='u')}, {_DL}, e as (select ell, ilat, -0.5 * 1025 * ell * ell * 2 * u * dl as s, -2 * (-0.5 "
+    f"* 1025 * ell * ell * 2 * u * dl) - ell * (dl * dl + u * dll) * (-0.5 * 1025 * ell * ell) as p from grow where abs(u * dl) "
+    f"> 1e-9) select ell, ilat, round(sum(p) / sum(s), 2) + 0.0 as ratio from e group by ell, ilat")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = coarse_ops.coarse_grain(flat(spark, sf_dir), GRID, SCALES, ["u"], derivatives=True).where("abs(u * dl_u) > 1e-9")
     e = diagnostics.spectrum_sql(CFG, "u")
@@ -372,16 +395,23 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out(_coarse_products(spark, sf_dir), ["ell", *PLACE], PEtoKE=diagnostics.potential_conversion_sql(CFG, "rho", "v"))
 
 
-@query("j3_stencil", f"with {_ELLS.replace('scales(ell) as', 'scales(ell) as')}, t as (select cast(range as int) as ilat, {LAT.format(a='').replace('ilat', 'range')} as lat from range(18)), p as (select s.ell, a.ilat, b.ilat as jlat, a.lat as a, b.lat as b, o.range - 18 as doff from scales s, t a, t b, range(36) o), d as (select *, 2 * 6371e3 * asin(least(1.0, sqrt(power(sin((b - a) / 2), 2) + cos(a) * cos(b) * power(sin(doff * {DANG} / 2), 2)))) / (ell / 2) as dd from p) select ell, ilat, round(sum(exp(-dd * dd) * cos(b) * {DANG} * {DANG}) , 8) + 0.0 as w from d group by ell, ilat")
+@query("j3_stencil", f"with {_ELLS.replace('scales(ell) as', 'scales(ell) as')}, t as (select cast(range as int) as ilat, {LAT.format(a='').replace('ilat', 'range')} as "
+    f"lat from range(18)), p as (select s.ell, a.ilat, b.ilat as jlat, a.lat as a, b.lat as b, o.range - 18 as doff from scales "
+    f"s, t a, t b, range(36) o), d as (select *, 2 * 6371e3 * asin(least(1.0, sqrt(power(sin((b - a) / 2), 2) + cos(a) * cos(b) "
+    f"* power(sin(doff * {DANG} / 2), 2)))) / (ell / 2) as dd from p) select ell, ilat, round(sum(exp(-dd * dd) * cos(b) * {DANG} * {DANG}) "
+    f", 8) + 0.0 as w from d group by ell, ilat")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     table, _ = coarse_ops.stencil(spark, GRID, SCALES, CFG)
     return out(table.groupBy("ell", "ilat").agg(F.sum("w").alias("w")), ["ell", "ilat"], 8, w=f"w / {CFG.earth_radius**2!r}")
 
 
-_WINDOW_SQL = "with t as (select cast(range as int) as ilat from range(18)), e(ell) as (values (2e6::double), (5e6::double)) select ell, ilat, greatest(0, ilat - least(18, cast(ceil(5 * ell / (6371e3 * radians(10.0)) / 2) as int))) as lo, least(18, ilat + least(18, cast(ceil(5 * ell / (6371e3 * radians(10.0)) / 2) as int))) as hi from t, e"
+_WINDOW_SQL = ( "with t as (select cast(range as int) as ilat from range(18)), e(ell) as (values (2e6::double), (5e6::double)) select ell, "
+    "ilat, greatest(0, ilat - least(18, cast(ceil(5 * ell / (6371e3 * radians(10.0)) / 2) as int))) as lo, least(18, ilat + least(18, "
+    "cast(ceil(5 * ell / (6371e3 * radians(10.0)) / 2) as int))) as hi from t, e")
 
 
-@query("j2_lon_bounds", f"with {_ELLS}, {_window(5.0)} select ell, i as ilat, j as jlat, cast(case when 2 * m >= 36 then -18 else -m end as int) as lo, cast(case when 2 * m >= 36 then 17 else m - 1 end as int) as hi from win")
+@query("j2_lon_bounds", f"with {_ELLS}, {_window(5.0)} select ell, i as ilat, j as jlat, cast(case when 2 * m >= 36 then -18 else -m end as int) "
+    f"as lo, cast(case when 2 * m >= 36 then 17 else m - 1 end as int) as hi from win")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(coarse_ops.windows(GRID, SCALES, CFG), "ell double, ilat int, jlat int, lo int, hi int")
 
@@ -400,7 +430,8 @@ _KEYS = ["itime", "idepth"]
 
 def _derivative_query(name: str, axis: str, order: int, derivative: int, water: str | None = None) -> None:
     other = "ilat" if axis == "ilon" else "ilon"
-    sql = f"with {FLAT}, {derived('d', 'flat', [other], axis, {'du': 'u', 'dv': 'v'}, order, derivative, water=water or 'true')} select ilat, ilon, {rounded(4, du='du', dv='dv')} from d where {water or 'true'}"
+    sql = ( f"with {FLAT}, {derived('d', 'flat', [other], axis, {'du': 'u', 'dv': 'v'}, order, derivative, water=water or 'true')} select "
+        f"ilat, ilon, {rounded(4, du='du', dv='dv')} from d where {water or 'true'}")
 
     @query(name, sql)
     def _(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -429,11 +460,15 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _UNEVEN = Grid(tuple(math.radians(-80 + 8.0 * k + 0.08 * k * k) for k in range(18)), GRID.lons)
-_UNEVEN_SQL = "y as (select *, radians(-80 + 8.0 * ilat + 0.08 * ilat * ilat) as y from flat), n as (select *, lag(y) over w as ya, lead(y) over w as yb, lag(u) over w as ua, lead(u) over w as ub, lead(y, 2) over w as yc, lead(u, 2) over w as uc, lag(y, 2) over w as yz, lag(u, 2) over w as uz from y window w as (partition by ilon order by ilat))"
-_THREE = "({f0} * ((y - {x1}) + (y - {x2})) / (({x0} - {x1}) * ({x0} - {x2})) + {f1} * ((y - {x0}) + (y - {x2})) / (({x1} - {x0}) * ({x1} - {x2})) + {f2} * ((y - {x0}) + (y - {x1})) / (({x2} - {x0}) * ({x2} - {x1})))"
+_UNEVEN_SQL = ( "y as (select *, radians(-80 + 8.0 * ilat + 0.08 * ilat * ilat) as y from flat), n as (select *, lag(y) over w as ya, lead(y) "
+    "over w as yb, lag(u) over w as ua, lead(u) over w as ub, lead(y, 2) over w as yc, lead(u, 2) over w as uc, lag(y, 2) over "
+    "w as yz, lag(u, 2) over w as uz from y window w as (partition by ilon order by ilat))")
+_THREE = ( "({f0} * ((y - {x1}) + (y - {x2})) / (({x0} - {x1}) * ({x0} - {x2})) + {f1} * ((y - {x0}) + (y - {x2})) / (({x1} - {x0}) "
+    "* ({x1} - {x2})) + {f2} * ((y - {x0}) + (y - {x1})) / (({x2} - {x0}) * ({x2} - {x1})))")
 
 
-@query("j10_uneven_derivative", f"with {FLAT}, {_UNEVEN_SQL} select ilat, ilon, round(case when ya is not null and yb is not null then {_THREE.format(x0='ya', f0='ua', x1='y', f1='u', x2='yb', f2='ub')} when ya is null then {_THREE.format(x0='y', f0='u', x1='yb', f1='ub', x2='yc', f2='uc')} else {_THREE.format(x0='yz', f0='uz', x1='ya', f1='ua', x2='y', f2='u')} end, 4) + 0.0 as du from n")
+@query("j10_uneven_derivative", f"with {FLAT}, {_UNEVEN_SQL} select ilat, ilon, round(case when ya is not null and yb is not null then {_THREE.format(x0='ya', f0='ua', x1='y', f1='u', x2='yb', f2='ub')} when "
+    f"ya is null then {_THREE.format(x0='y', f0='u', x1='yb', f1='ub', x2='yc', f2='uc')} else {_THREE.format(x0='yz', f0='uz', x1='ya', f1='ua', x2='y', f2='u')} end, 4) + 0.0 as du from n")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = flat(spark, sf_dir).join(F.broadcast(_UNEVEN.lat_dim(spark, FilterConfig(order=2, uniform_lat=False))), "ilat")
     return out(calculus.differentiate_uneven(df, "ilat", "lat", {"du": "u"}, [*_KEYS, "ilon"]), PLACE, 4, du="du")
@@ -446,10 +481,15 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _J8R = "6371e3"
-_J8 = {"dx": f"-sin(lon) / ({_J8R} * cos(lat)) * dlon_u - cos(lon) * sin(lat) / {_J8R} * dlat_u + cos(lon) * cos(lat) * dr", "dy": f"cos(lon) / ({_J8R} * cos(lat)) * dlon_u - sin(lon) * sin(lat) / {_J8R} * dlat_u + sin(lon) * cos(lat) * dr", "dz": f"cos(lat) / {_J8R} * dlat_u + sin(lat) * dr"}
-_LEVELS = "lev as (select *, 10.0 * idepth + 5.0 * idepth * idepth as z from cube), around as (select *, lag(z) over w as za, lead(z) over w as zb, lag(z, 2) over w as zz, lead(z, 2) over w as zc, lag(f) over w as fa, lead(f) over w as fb, lag(f, 2) over w as fz, lead(f, 2) over w as fc from (select *, coalesce(u, 0) as f from lev) window w as (partition by itime, ilat, ilon order by idepth))"
-_QUAD = "({f0} * ((z - {x1}) + (z - {x2})) / (({x0} - {x1}) * ({x0} - {x2})) + {f1} * ((z - {x0}) + (z - {x2})) / (({x1} - {x0}) * ({x1} - {x2})) + {f2} * ((z - {x0}) + (z - {x1})) / (({x2} - {x0}) * ({x2} - {x1})))"
-_DR = f"radial as (select *, -(case when za is not null and zb is not null then {_QUAD.format(x0='za', f0='fa', x1='z', f1='f', x2='zb', f2='fb')} when za is null then {_QUAD.format(x0='z', f0='f', x1='zb', f1='fb', x2='zc', f2='fc')} else {_QUAD.format(x0='zz', f0='fz', x1='za', f1='fa', x2='z', f2='f')} end) as dr from around)"
+_J8 = {"dx": f"-sin(lon) / ({_J8R} * cos(lat)) * dlon_u - cos(lon) * sin(lat) / {_J8R} * dlat_u + cos(lon) * cos(lat) * dr", "dy": f"cos(lon) "
+    f"/ ({_J8R} * cos(lat)) * dlon_u - sin(lon) * sin(lat) / {_J8R} * dlat_u + sin(lon) * cos(lat) * dr", "dz": f"cos(lat) / {_J8R} * dlat_u + sin(lat) * dr"}
+_LEVELS = ( "lev as (select *, 10.0 * idepth + 5.0 * idepth * idepth as z from cube), around as (select *, lag(z) over w as za, lead(z) "
+    "over w as zb, lag(z, 2) over w as zz, lead(z, 2) over w as zc, lag(f) over w as fa, lead(f) over w as fb, lag(f, 2) over "
+    "w as fz, lead(f, 2) over w as fc from (select *, coalesce(u, 0) as f from lev) window w as (partition by itime, ilat, ilon order by idepth))")
+_QUAD = ( "({f0} * ((z - {x1}) + (z - {x2})) / (({x0} - {x1}) * ({x0} - {x2})) + {f1} * ((z - {x0}) + (z - {x2})) / (({x1} - {x0}) "
+    "* ({x1} - {x2})) + {f2} * ((z - {x0}) + (z - {x1})) / (({x2} - {x0}) * ({x2} - {x1})))")
+_DR = ( f"radial as (select *, -(case when za is not null and zb is not null then {_QUAD.format(x0='za', f0='fa', x1='z', f1='f', x2='zb', f2='fb')} when "
+    f"za is null then {_QUAD.format(x0='z', f0='f', x1='zb', f1='fb', x2='zc', f2='fc')} else {_QUAD.format(x0='zz', f0='fz', x1='za', f1='fa', x2='z', f2='f')} end) as dr from around)")
 
 
 @query("j8_cartesian_derivatives", f"with {CUBE}, {_LEVELS}, {_DR}, {both('g', 'radial', ['u'], ['itime', 'idepth'])} select itime, idepth, ilat, ilon, {rounded(4, **_J8)} from g")

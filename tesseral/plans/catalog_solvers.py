@@ -59,7 +59,8 @@ def _numbered(spark: SparkSession, sf_dir: str, **fields: str) -> DataFrame:
     return whole
 
 
-@query("h6_sparse_laplacian", f"with {FLAT}, {both('g1', 'flat', ['u'], water=WATER)}, {both('g', 'g1', ['u'], derivative=2, water=WATER)} select cast(ilat * 36 + ilon as int) as cell, round(case when {WATER} then 1e12 * {_LAP} else u end, 4) + 0.0 as lap from g")
+@query("h6_sparse_laplacian", f"with {FLAT}, {both('g1', 'flat', ['u'], water=WATER)}, {both('g', 'g1', ['u'], derivative=2, water=WATER)} select cast(ilat "
+    f"* 36 + ilon as int) as cell, round(case when {WATER} then 1e12 * {_LAP} else u end, 4) + 0.0 as lap from g")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     matrix = solve.sparse_laplacian(spark, GRID, wet=_island())
     land = F.expr(f"not ({WATER.replace('ilat', '(cell div 36)').replace('ilon', '(cell % 36)')})")
@@ -180,9 +181,11 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PLANE = Grid.plane(18, 36, 10e3, 10e3)
 _WAVES = [35e3, 65e3]
 _KERN = (
-    "e(ell) as (values (35e3::double), (65e3::double)), sy as (select case when range < 9 then range else range - 18 end as n from range(18)), sx as (select case when range < 18 then range else range - 36 end as n from range(36)), "
+    "e(ell) as (values (35e3::double), (65e3::double)), sy as (select case when range < 9 then range else range - 18 end as n "
+    "from range(18)), sx as (select case when range < 18 then range else range - 36 end as n from range(36)), "
     "modes as (select ell, sy.n as ny, sx.n as nx from e, sy, sx where sqrt(power(sy.n / 180e3, 2) + power(sx.n / 360e3, 2)) < 1 / ell), "
-    "kern as materialized (select ell, cast(a.range as int) as dy, cast(b.range as int) as dx, sum(cos(2 * pi() * (ny * a.range / 18.0 + nx * b.range / 36.0))) / 648 as w from modes, range(18) a, range(36) b group by all)"
+    "kern as materialized (select ell, cast(a.range as int) as dy, cast(b.range as int) as dx, sum(cos(2 * pi() * (ny * a.range "
+    "/ 18.0 + nx * b.range / 36.0))) / 648 as w from modes, range(18) a, range(36) b group by all)"
 )
 
 
@@ -191,7 +194,8 @@ def _sharp(name: str, source: str, keys: str, fields: str) -> str:
     own = "".join(f"a.{k}, " for k in keys.split())
     same = " and ".join(f"a.{k} = b.{k}" for k in keys.split()) or "true"
     sums = ", ".join(f"sum(w * coalesce(b.{f}, 0)) as {f}" for f in fields.split())
-    return f"{name} as materialized (select ell, {own}a.ilat, a.ilon, {sums} from {source} a join {source} b on {same} join kern on dy = (a.ilat - b.ilat + 18) % 18 and dx = (a.ilon - b.ilon + 36) % 36 group by all)"
+    return ( f"{name} as materialized (select ell, {own}a.ilat, a.ilon, {sums} from {source} a join {source} b on {same} join kern on "
+        f"dy = (a.ilat - b.ilat + 18) % 18 and dx = (a.ilon - b.ilon + 36) % 36 group by all)")
 
 
 @query("f1_sharp_filter", f"with {CUBE}, {_KERN}, {_sharp('s', 'cube', 'itime idepth', 'u v')} select ell, itime, idepth, ilat, ilon, {rounded(u='u', v='v')} from s")
@@ -199,7 +203,8 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out(solve.sharp_filter(cube(spark, sf_dir), _PLANE, _WAVES, ["u", "v"]), ["ell", *KEYS, *PLACE], u="u", v="v")
 
 
-@query("f2_sharp_products", f"with {FLAT}, {_KERN}, pr as (select *, u * v as uv, u * rho as ur from flat), {_sharp('s', 'pr', '', 'uv ur')} select ell, ilat, ilon, {rounded(u_v='uv', u_rho='ur')} from s")
+@query("f2_sharp_products", f"with {FLAT}, {_KERN}, pr as (select *, u * v as uv, u * rho as ur from flat), {_sharp('s', 'pr', '', 'uv ur')} select ell, "
+    f"ilat, ilon, {rounded(u_v='uv', u_rho='ur')} from s")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = solve.sharp_filter(flat(spark, sf_dir), _PLANE, _WAVES, ["u", "v", "rho"], products=[("u", "v"), ("u", "rho")])
     return out(df, ["ell", *PLACE], u_v="u_v", u_rho="u_rho")
@@ -224,8 +229,10 @@ _N, _CFL, _CLOCK, _STOPS = 40, 0.02, [0.0, 5e5, 1e6], [0.0, 2.5e5, 7.5e5, 1e6]
 _SEEDS = (
     f"{MESH}, wet as (select *, {WATER} as water from mesh), "
     "cand as (select range as k, radians(-175.0) + ((range + 7920) * 0.7548776662466927 - floor((range + 7920) * 0.7548776662466927)) * (radians(175.0) - radians(-175.0)) as lon, "
-    "(radians(-85.0) + radians(85.0)) / 2 + ((range + 7920) * 0.5698402909980532 - floor((range + 7920) * 0.5698402909980532) - 0.5) * (0.9 * (radians(85.0) - radians(-85.0))) as lat from range(224)), "
-    f"good as (select k, c.lon, c.lat from cand c join wet on wet.ilat - floor((c.lat - radians(-85.0)) / {DANG}) in (0, 1) and (wet.ilon - cast(floor((c.lon - radians(-175.0)) / {DANG}) as int) + 36) % 36 in (0, 1) where water group by all having count(*) = 4), "
+    "(radians(-85.0) + radians(85.0)) / 2 + ((range + 7920) * 0.5698402909980532 - floor((range + 7920) * 0.5698402909980532) "
+    "- 0.5) * (0.9 * (radians(85.0) - radians(-85.0))) as lat from range(224)), "
+    f"good as (select k, c.lon, c.lat from cand c join wet on wet.ilat - floor((c.lat - radians(-85.0)) / {DANG}) in (0, 1) and "
+    f"(wet.ilon - cast(floor((c.lon - radians(-175.0)) / {DANG}) as int) + 36) % 36 in (0, 1) where water group by all having count(*) = 4), "
     f"seeds as (select cast(row_number() over (order by k) - 1 as int) as traj, lon, lat from good order by k limit {_N})"
 )
 
@@ -242,7 +249,8 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _bilinear(field: str) -> str:
     """A field of the one-row table of lists at (slice, x, y), where x and y count cells."""
     at = lambda k, di, dj: f"{field}[cast(1 + ((({k}) * 18 + floor(y) + {di}) * 36 + (floor(x) + {dj} + 36) % 36) as int)]"
-    one = lambda k: f"((1 - (y - floor(y))) * ((1 - (x - floor(x))) * {at(k, 0, 0)} + (x - floor(x)) * {at(k, 0, 1)}) + (y - floor(y)) * ((1 - (x - floor(x))) * {at(k, 1, 0)} + (x - floor(x)) * {at(k, 1, 1)}))"
+    one = ( lambda k: f"((1 - (y - floor(y))) * ((1 - (x - floor(x))) * {at(k, 0, 0)} + (x - floor(x)) * {at(k, 0, 1)}) + (y - floor(y)) * ((1 "
+        f"- (x - floor(x))) * {at(k, 1, 0)} + (x - floor(x)) * {at(k, 1, 1)}))")
     return f"((1 - w) * {one('k')} + w * {one('k + 1')})"
 
 
@@ -254,15 +262,20 @@ def _path(name: str, start: str, sign: int) -> str:
     x, y = f"(({{}} - radians(-175.0)) / {DANG})", f"((lat - radians(-85.0)) / {DANG})"
     return (
         f"{name}(traj, lon, lat, t, vu, vv, n, hit) as (select traj, lon, lat, {stops[0]!r}::double, 2.0::double, 2.0::double, 1, 0 from {start} union all "
-        f"select traj, lon2, lat + {sign} * dt * vv2 / 6371e3, t + {sign} * dt, vu2, vv2, case when {sign} * (t + {sign} * dt - {target}) >= -1e-6 then n + 1 else n end, case when {sign} * (t + {sign} * dt - {target}) >= -1e-6 then n end "
-        f"from (select *, {x.format('lon2')} as x, {_bilinear('fv')} as vv2 from (select * exclude (x), radians(-175.0) + ((lon + {sign} * dt * vu2 / (6371e3 * cos(lat)) - radians(-175.0)) - 36 * {DANG} * floor((lon + {sign} * dt * vu2 / (6371e3 * cos(lat)) - radians(-175.0)) / (36 * {DANG}))) as lon2 "
+        f"select traj, lon2, lat + {sign} * dt * vv2 / 6371e3, t + {sign} * dt, vu2, vv2, case when {sign} * (t + {sign} * dt - {target}) "
+        f">= -1e-6 then n + 1 else n end, case when {sign} * (t + {sign} * dt - {target}) >= -1e-6 then n end "
+        f"from (select *, {x.format('lon2')} as x, {_bilinear('fv')} as vv2 from (select * exclude (x), radians(-175.0) + ((lon + {sign} * "
+        f"dt * vu2 / (6371e3 * cos(lat)) - radians(-175.0)) - 36 * {DANG} * floor((lon + {sign} * dt * vu2 / (6371e3 * cos(lat)) - "
+        f"radians(-175.0)) / (36 * {DANG}))) as lon2 "
         f"from (select *, {_bilinear('fu')} as vu2 from (select {name}.*, fu, fv, {x.format('lon')} as x, {y} as y, {k} as k, "
-        f"least(greatest((t - 5e5 * {k}) / 5e5, 0), 1) as w, least({_CFL} * least(6371e3 * {DANG} * cos(lat) / greatest(abs(vu), 1e-3), 6371e3 * {DANG} / greatest(abs(vv), 1e-3)), abs({target} - t)) as dt "
+        f"least(greatest((t - 5e5 * {k}) / 5e5, 0), 1) as w, least({_CFL} * least(6371e3 * {DANG} * cos(lat) / greatest(abs(vu), "
+        f"1e-3), 6371e3 * {DANG} / greatest(abs(vv), 1e-3)), abs({target} - t)) as dt "
         f"from {name}, lists where n < 4 and {y} >= 0 and {y} < 17))))) "
     )
 
 
-_LISTS = f"{CUBE.replace(MESH + ', ', '')}, lists as materialized (select list(coalesce(u, 0) / 10 order by itime, ilat, ilon) as fu, list(coalesce(v, 0) / 10 order by itime, ilat, ilon) as fv from cube where idepth = 0 and itime < 3)"
+_LISTS = ( f"{CUBE.replace(MESH + ', ', '')}, lists as materialized (select list(coalesce(u, 0) / 10 order by itime, ilat, ilon) as "
+    f"fu, list(coalesce(v, 0) / 10 order by itime, ilat, ilon) as fv from cube where idepth = 0 and itime < 3)")
 _FORWARD = f"with recursive {_SEEDS}, {_LISTS}, {_path('fwd', 'seeds', 1)}"
 _ASKED = "asked as (select traj, o.n, o.t from seeds, (values (0, 0.0::double), (1, 2.5e5::double), (2, 7.5e5::double), (3, 1e6::double)) o(n, t))"
 
@@ -275,7 +288,8 @@ def _tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return particles.advect(_seeds(spark, sf_dir), _flow(spark, sf_dir), _CLOCK, _STOPS, GRID, how=particles.Advection(cfl=_CFL))
 
 
-@query("p2_advect", f"{_FORWARD}, {_ASKED} select a.traj, cast(a.n as int) as iout, a.t as time, round(f.lon, 6) + 0.0 as lon, round(f.lat, 6) + 0.0 as lat from asked a left join fwd f on f.traj = a.traj and f.hit = a.n")
+@query("p2_advect", f"{_FORWARD}, {_ASKED} select a.traj, cast(a.n as int) as iout, a.t as time, round(f.lon, 6) + 0.0 as lon, round(f.lat, 6) "
+    f"+ 0.0 as lat from asked a left join fwd f on f.traj = a.traj and f.hit = a.n")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out(_tracks(spark, sf_dir).withColumnRenamed("time", "t"), ["traj", "iout", "t"], 6, lon="lon", lat="lat").withColumnRenamed("t", "time")
 
@@ -286,7 +300,8 @@ _ARC = "2 * 6371e3 * asin(least(1.0, sqrt(power(sin((b.lat - f.lat) / 2), 2) + c
 @query(
     "p3_fore_back",
     f"{_FORWARD}, ends as (select traj, lon, lat from fwd where hit = 3), {_path('bwd', 'ends', -1)}, {_ASKED} "
-    f"select a.traj, cast(a.n as int) as iout, round(case when a.n < 3 then {_ARC} else 0.0 end, 0) + 0.0 as dist from asked a join ends using (traj) left join fwd f on f.traj = a.traj and f.hit = a.n left join bwd b on b.traj = a.traj and b.hit = 3 - a.n",
+    f"select a.traj, cast(a.n as int) as iout, round(case when a.n < 3 then {_ARC} else 0.0 end, 0) + 0.0 as dist from asked "
+    f"a join ends using (traj) left join fwd f on f.traj = a.traj and f.hit = a.n left join bwd b on b.traj = a.traj and b.hit = 3 - a.n",
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     forward = _tracks(spark, sf_dir)
@@ -295,7 +310,8 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out(particles.fore_back_distance(forward, back, FilterConfig(high_precision_distance=True)), ["traj", "iout"], 0, dist="dist")
 
 
-@query("w4_trajectory_derivatives", f"with {CUBE}, tr as (select cast(ilat * 36 + ilon as int) as traj, itime, u, v from cube where idepth = 0), {derived('d', 'tr', ['traj'], 'itime', {'ddt_u': 'u', 'ddt_v': 'v'}, water='u is not null', n=7, delta=100.0, periodic=False)} select traj, itime as iout, {rounded(6, ddt_u='ddt_u / pi()', ddt_v='ddt_v / pi()')} from d where u is not null")
+@query("w4_trajectory_derivatives", f"with {CUBE}, tr as (select cast(ilat * 36 + ilon as int) as traj, itime, u, v from cube where idepth = 0), {derived('d', 'tr', ['traj'], 'itime', {'ddt_u': 'u', 'ddt_v': 'v'}, water='u is not null', n=7, delta=100.0, periodic=False)} select "
+    f"traj, itime as iout, {rounded(6, ddt_u='ddt_u / pi()', ddt_v='ddt_v / pi()')} from d where u is not null")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = cube(spark, sf_dir).where("idepth = 0").select(F.expr("cast(ilat * 36 + ilon as int)").alias("traj"), F.col("itime").alias("iout"), "u", "v")
     df = aggregate.trajectory_derivatives(points, ["u", "v"], 100.0)
@@ -305,7 +321,9 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ------------------------------------------------------------------ diagnostics that filter
 
 
-@query("d10_energies", f"with {FLAT}, prod as (select *, u * u as uu, v * v as vv from flat), {_brute(fields='u v uu vv', source='prod')}, {both('g', 'coarse', ['u', 'v'], ['ell'])} select g.ell, g.ilat, g.ilon, {rounded(2, coarse_KE='512.5 * (g.u * g.u + g.v * g.v)', fine_KE='512.5 * (uu + vv) - 512.5 * (g.u * g.u + g.v * g.v)', fine_KE_mod='512.5 * (f.u * f.u + f.v * f.v) - 512.5 * (g.u * g.u + g.v * g.v)', enstrophy=f'512.5e12 * power((dlon_v / cos(g.lat) - dlat_u + tan(g.lat) * g.u) / {R}, 2)')} from g join flat f on f.ilat = g.ilat and f.ilon = g.ilon")
+@query("d10_energies", f"with {FLAT}, prod as (select *, u * u as uu, v * v as vv from flat), {_brute(fields='u v uu vv', source='prod')}, {both('g', 'coarse', ['u', 'v'], ['ell'])} select "
+    f"g.ell, g.ilat, g.ilon, {rounded(2, coarse_KE='512.5 * (g.u * g.u + g.v * g.v)', fine_KE='512.5 * (uu + vv) - 512.5 * (g.u * g.u + g.v * g.v)', fine_KE_mod='512.5 * (f.u * f.u + f.v * f.v) - 512.5 * (g.u * g.u + g.v * g.v)', enstrophy=f'512.5e12 * power((dlon_v / cos(g.lat) - dlat_u + tan(g.lat) * g.u) / {R}, 2)')} from "
+    f"g join flat f on f.ilat = g.ilat and f.ilon = g.ilon")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = flat(spark, sf_dir)
     bar = coarse_ops.coarse_grain(cells.withColumns({"uu": F.expr("u * u"), "vv": F.expr("v * v")}), GRID, SCALES, ["u", "v", "uu", "vv"])
@@ -315,7 +333,9 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _K1 = "(-2 * dd * exp(-dd * dd))"
-_GROWN = f"sums as (select ell, ilat, ilon, sum(w) as s0, sum(area * {_K1} * -dd / ell) as s1, {', '.join(f'sum(w * {f}_) as a_{f}, sum(area * {_K1} * -dd / ell * {f}_) as b_{f}' for f in ('rho', 'v'))} from pairs group by all), grow as (select ell, ilat, ilon, a_rho / s0 as rho, a_v / s0 as v, (b_rho - a_rho / s0 * s1) / s0 as dl_rho, (b_v - a_v / s0 * s1) / s0 as dl_v from sums)"
+_GROWN = ( f"sums as (select ell, ilat, ilon, sum(w) as s0, sum(area * {_K1} * -dd / ell) as s1, {', '.join(f'sum(w * {f}_) as a_{f}, sum(area * {_K1} * -dd / ell * {f}_) as b_{f}' for f in ('rho', 'v'))} from "
+    f"pairs group by all), grow as (select ell, ilat, ilon, a_rho / s0 as rho, a_v / s0 as v, (b_rho - a_rho / s0 * s1) / s0 as "
+    f"dl_rho, (b_v - a_v / s0 * s1) / s0 as dl_v from sums)")
 
 
 @query("d13_barrho_barw", f"with {FLAT}, {_brute(fields='rho v')}, {_GROWN} select ell, ilat, ilon, {rounded(2, barrho_barw='rho * v', dl_barrho_barw='1e6 * (dl_rho * v + rho * dl_v)')} from grow")
@@ -324,7 +344,8 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out(df, ["ell", *PLACE], 2, barrho_barw="barrho_barw", dl_barrho_barw="1e6 * dl_barrho_barw")
 
 
-@query("d14_wind_forcing", f"with {FLAT}, pr as (select *, rho - 1025 as a, (rho - 1025) * u + ssh * v as work from flat), {_brute(fields='a ssh u v work', source='pr')} select ell, ilat, ilon, {rounded(6, wind_forcing='work - a * u - ssh * v')} from coarse")
+@query("d14_wind_forcing", f"with {FLAT}, pr as (select *, rho - 1025 as a, (rho - 1025) * u + ssh * v as work from flat), {_brute(fields='a ssh u v work', source='pr')} select "
+    f"ell, ilat, ilon, {rounded(6, wind_forcing='work - a * u - ssh * v')} from coarse")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = flat(spark, sf_dir).withColumn("a", F.expr("rho - 1025"))
     return out(diagnostics.wind_forcing(df, GRID, SCALES, stress=("a", "ssh"), u=("u", "v")), ["ell", *PLACE], 6, wind_forcing="wind_forcing")
@@ -378,16 +399,21 @@ _FINE_SQL = (
     f"raw as (select cast(l_partkey % 178 as int) as ilat, cast(l_orderkey % 360 as int) as ilon, {VALUES['u']} as u, {VALUES['v']} as v from lineitem group by 1, 2), "
     "rows_ as (select cast(range as int) as i, radians(-88.5 + range) as lat from range(178)), "
     "near as (select a.i, b.i as j, a.lat as la, b.lat as lb, 1.25e6 / 2 as half from rows_ a, rows_ b where b.i - a.i between -6 and 5), "
-    "arc as (select *, 6371e3 * acos(greatest(-1.0, least(1.0, sin(la) * sin(lb) - cos(la) * cos(lb)))) as back, 6371e3 * acos(greatest(-1.0, least(1.0, sin(la) * sin(lb) + cos(la) * cos(lb)))) as there from near), "
-    "win as (select *, case when back <= half then 360 when i <> j and there >= half then 1 else cast(ceil(acos(greatest(-1.0, least(1.0, (cos(half / 6371e3) - sin(la) * sin(lb)) / (cos(la) * cos(lb))))) / radians(1.0)) as int) end as m from arc), "
-    "offs as materialized (select i, j, o.range - 180 as off, exp(-power((case when i = j and o.range = 180 then 0.0 else 6371e3 * acos(greatest(-1.0, least(1.0, sin(la) * sin(lb) + cos(la) * cos(lb) * cos(radians(1.0) * (o.range - 180))))) end) / 1.25e5, 2)) * cos(lb) as w "
+    "arc as (select *, 6371e3 * acos(greatest(-1.0, least(1.0, sin(la) * sin(lb) - cos(la) * cos(lb)))) as back, 6371e3 * acos(greatest(-1.0, "
+    "least(1.0, sin(la) * sin(lb) + cos(la) * cos(lb)))) as there from near), "
+    "win as (select *, case when back <= half then 360 when i <> j and there >= half then 1 else cast(ceil(acos(greatest(-1.0, "
+    "least(1.0, (cos(half / 6371e3) - sin(la) * sin(lb)) / (cos(la) * cos(lb))))) / radians(1.0)) as int) end as m from arc), "
+    "offs as materialized (select i, j, o.range - 180 as off, exp(-power((case when i = j and o.range = 180 then 0.0 else 6371e3 "
+    "* acos(greatest(-1.0, least(1.0, sin(la) * sin(lb) + cos(la) * cos(lb) * cos(radians(1.0) * (o.range - 180))))) end) / 1.25e5, 2)) * cos(lb) as w "
     "from win, range(360) o where 2 * m >= 360 or o.range - 180 between -m and m - 1), "
     "total as (select i, sum(w) as s from offs group by i), "
     "sums as (select i as ilat, cast((ilon - off + 360) % 360 as int) as ilon, sum(w * u) as u, sum(w * v) as v from raw join offs on ilat = j group by all)"
 )
 
 
-@query("j4_one_degree", f"with {_FINE_SQL}, mesh as (select cast(a.range as int) as ilat, cast(b.range as int) as ilon from range(178) a, range(360) b) select 250e3::double as ell, mesh.ilat, mesh.ilon, {rounded(u='coalesce(sums.u, 0) / s', v='coalesce(sums.v, 0) / s')} from mesh join total on mesh.ilat = i left join sums on sums.ilat = mesh.ilat and sums.ilon = mesh.ilon")
+@query("j4_one_degree", f"with {_FINE_SQL}, mesh as (select cast(a.range as int) as ilat, cast(b.range as int) as ilon from range(178) a, range(360) "
+    f"b) select 250e3::double as ell, mesh.ilat, mesh.ilon, {rounded(u='coalesce(sums.u, 0) / s', v='coalesce(sums.v, 0) / s')} from "
+    f"mesh join total on mesh.ilat = i left join sums on sums.ilat = mesh.ilat and sums.ilon = mesh.ilon")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out(coarse_ops.coarse_grain(fine(spark, sf_dir), _FINE, _FINE_SCALES, ["u", "v"]), ["ell", *PLACE], u="u", v="v")
 
@@ -395,22 +421,29 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ------------------------------------------------------------------ two layers
 
 _SW = "sw as (select cast(k as int) as idepth, ilat, ilon, u / 10 + k as u, v / 10 - k as v, 100 + rho - 1025 + 50 * k + 5 * ssh as h from flat, (values (0), (1)) l(k))"
-_SW_P = f"{_SW}, swp as (select a.*, 9.81 * (case when a.idepth = 0 then 1000 * (a.h + b.h) else 1000 * b.h + 1010 * a.h end) as p from sw a join sw b on a.ilat = b.ilat and a.ilon = b.ilon and b.idepth = 1 - a.idepth)"
+_SW_P = ( f"{_SW}, swp as (select a.*, 9.81 * (case when a.idepth = 0 then 1000 * (a.h + b.h) else 1000 * b.h + 1010 * a.h end) as "
+    f"p from sw a join sw b on a.ilat = b.ilat and a.ilon = b.ilon and b.idepth = 1 - a.idepth)")
 _PLANE_STEP = {"periodic_y": True, "step": 10e3, "names": "x y"}
 _SW_BAR = "u v h p px py hlu hlv lap_h hu hv huu huv hvv hpx hpy"
 _SW_STEEP = [f"{c}{k}" for k in (0, 1) for c in ("ut", "vt", "h", "p", "gx", "gy", "kx", "ky", "ex", "ey", "sx", "sy")] + ["ax", "ay"]
 _SW_BASE = (
     f"{_SW_P}, {both('l2', 'swp', ['u', 'v', 'h'], ['idepth'], derivative=2, **_PLANE_STEP)}, {both('l1', 'l2', ['p'], ['idepth'], **_PLANE_STEP)}, "
-    "quad as (select idepth, ilat, ilon, u, v, h, p, dx_p as px, dy_p as py, h * (d2x_u + d2y_u) as hlu, h * (d2x_v + d2y_v) as hlv, d2x_h + d2y_h as lap_h, h * u as hu, h * v as hv, h * u * u as huu, h * u * v as huv, h * v * v as hvv, h * dx_p as hpx, h * dy_p as hpy from l1), "
-    "near as (select a.ilat as i, a.ilon as j, b.ilat as i2, b.ilon as j2, power(least(abs(a.ilon - b.ilon), 36 - abs(a.ilon - b.ilon)) * 10e3, 2) + power(least(abs(a.ilat - b.ilat), 18 - abs(a.ilat - b.ilat)) * 10e3, 2) as d2 from mesh a, mesh b), "
-    f"bar as materialized (select idepth, i as ilat, j as ilon, {', '.join(f'sum(exp(-4 * d2 / (30e3 * 30e3)) * {c}) / sum(exp(-4 * d2 / (30e3 * 30e3))) as {c}' for c in _SW_BAR.split())} from near join quad on ilat = i2 and ilon = j2 group by all), "
+    "quad as (select idepth, ilat, ilon, u, v, h, p, dx_p as px, dy_p as py, h * (d2x_u + d2y_u) as hlu, h * (d2x_v + d2y_v) "
+    "as hlv, d2x_h + d2y_h as lap_h, h * u as hu, h * v as hv, h * u * u as huu, h * u * v as huv, h * v * v as hvv, h * dx_p as hpx, h * dy_p as hpy from l1), "
+    "near as (select a.ilat as i, a.ilon as j, b.ilat as i2, b.ilon as j2, power(least(abs(a.ilon - b.ilon), 36 - abs(a.ilon "
+    "- b.ilon)) * 10e3, 2) + power(least(abs(a.ilat - b.ilat), 18 - abs(a.ilat - b.ilat)) * 10e3, 2) as d2 from mesh a, mesh b), "
+    f"bar as materialized (select idepth, i as ilat, j as ilon, {', '.join(f'sum(exp(-4 * d2 / (30e3 * 30e3)) * {c}) / sum(exp(-4 * d2 / (30e3 * 30e3))) as {c}' for c in _SW_BAR.split())} from "
+    f"near join quad on ilat = i2 and ilon = j2 group by all), "
     "favre as (select *, hu / h as ut, hv / h as vt, huu / h as uu, huv / h as uv, hvv / h as vv, hlu / h as lu, hlv / h as lv, hpx - h * px as thx, hpy - h * py as thy from bar), "
-    f"wide as (select a.ilat, a.ilon, {', '.join(f'{t}.{c} as {c}{k}' for k, t in ((0, 'a'), (1, 'b')) for c in 'u v h p lap_h ut vt uu uv vv lu lv thx thy'.split())} from favre a join favre b using (ilat, ilon) where a.idepth = 0 and b.idepth = 1), "
-    "energy as (select *, 500.0 * h0 * (ut0 * ut0 + vt0 * vt0) as ke0, 505.0 * h1 * (ut1 * ut1 + vt1 * vt1) as ke1, 500.0 * 9.81 * h0 * (h0 + 2 * h1) as pe0, 505.0 * 9.81 * h1 * h1 as pe1 from wide), "
+    f"wide as (select a.ilat, a.ilon, {', '.join(f'{t}.{c} as {c}{k}' for k, t in ((0, 'a'), (1, 'b')) for c in 'u v h p lap_h ut vt uu uv vv lu lv thx thy'.split())} from "
+    f"favre a join favre b using (ilat, ilon) where a.idepth = 0 and b.idepth = 1), "
+    "energy as (select *, 500.0 * h0 * (ut0 * ut0 + vt0 * vt0) as ke0, 505.0 * h1 * (ut1 * ut1 + vt1 * vt1) as ke1, 500.0 * 9.81 "
+    "* h0 * (h0 + 2 * h1) as pe0, 505.0 * 9.81 * h1 * h1 as pe1 from wide), "
     + "flux as (select *, "
     + ", ".join(
         f"h{k} * (ut{k} - u{k}) as gx{k}, h{k} * (vt{k} - v{k}) as gy{k}, ut{k} * ke{k} as kx{k}, vt{k} * ke{k} as ky{k}, ut{k} * pe{k} as ex{k}, vt{k} * pe{k} as ey{k}, "
-        f"{r} * h{k} * (ut{k} * (uu{k} - ut{k} * ut{k}) + vt{k} * (uv{k} - ut{k} * vt{k})) as sx{k}, {r} * h{k} * (ut{k} * (uv{k} - ut{k} * vt{k}) + vt{k} * (vv{k} - vt{k} * vt{k})) as sy{k}"
+        f"{r} * h{k} * (ut{k} * (uu{k} - ut{k} * ut{k}) + vt{k} * (uv{k} - ut{k} * vt{k})) as sx{k}, {r} * h{k} * (ut{k} * (uv{k} - "
+    f"ut{k} * vt{k}) + vt{k} * (vv{k} - vt{k} * vt{k})) as sy{k}"
         for k, r in ((0, 1000.0), (1, 1010.0))
     )
     + f", 9810.0 * h0 * h1 * (ut0 + ut1) as ax, 9810.0 * h0 * h1 * (vt0 + vt1) as ay from energy), {both('g', 'flux', _SW_STEEP, **_PLANE_STEP)}"

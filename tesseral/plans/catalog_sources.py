@@ -54,7 +54,8 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(found, "name string, value string")
 
 
-@query("s4_axes", "select 'lat' as axis, cast(range as int) as i, round(-85.0 + 10 * range, 9) + 0.0 as value from range(18) union all select 'lon', cast(range as int), round(-175.0 + 10 * range, 9) + 0.0 from range(36) union all select 'down', 0, 1.0 union all select 'up', 0, 0.0")
+@query("s4_axes", "select 'lat' as axis, cast(range as int) as i, round(-85.0 + 10 * range, 9) + 0.0 as value from range(18) union all select "
+    "'lon', cast(range as int), round(-175.0 + 10 * range, 9) + 0.0 from range(36) union all select 'down', 0, 1.0 union all select 'up', 0, 0.0")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _place(spark)
     for name, axis in (("lat", GRID.lats), ("lon", GRID.lons)):
@@ -68,7 +69,8 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 _NAMED = {"north": "lat >= 15", "band": "abs(lat) < 15"}
 
 
-@query("s6_regions", f"with {MESH}, deg as (select ilat, ilon, -85.0 + 10.0 * ilat as lat from mesh) select 'north' as region, ilat, ilon from deg where lat >= 15 union all select 'band', ilat, ilon from deg where abs(lat) < 15 union all select 'full_domain', ilat, ilon from deg")
+@query("s6_regions", f"with {MESH}, deg as (select ilat, ilon, -85.0 + 10.0 * ilat as lat from mesh) select 'north' as region, ilat, ilon from "
+    f"deg where lat >= 15 union all select 'band', ilat, ilon from deg where abs(lat) < 15 union all select 'full_domain', ilat, ilon from deg")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _place(spark)
     tables.write_regions(aggregate.region_table(GRID, spark, _NAMED), path)
@@ -99,7 +101,8 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PACK = "r as (select least(min(u), 0) as a, greatest(max(u), 0) as b from cube)"
 
 
-@query("k5_packed_output", f"with {CUBE}, {_PACK} select itime, idepth, ilat, ilon, round(round((u - (a + b) / 2) / ((b - a) / 65530)) * ((b - a) / 65530) + (a + b) / 2, 6) + 0.0 as u from cube, r")
+@query("k5_packed_output", f"with {CUBE}, {_PACK} select itime, idepth, ilat, ilon, round(round((u - (a + b) / 2) / ((b - a) / 65530)) * ((b - a) / "
+    f"65530) + (a + b) / 2, 6) + 0.0 as u from cube, r")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _place(spark)
     tables.write_packed(cube(spark, sf_dir).select(*KEYS, *PLACE, "u"), path, ["u"])
@@ -107,7 +110,8 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out(tables.read_packed(spark, path), [*KEYS, *PLACE], 6, u="u")
 
 
-_REG = "deg as (select ilat, ilon, -85.0 + 10.0 * ilat as lat from mesh), reg as (select 'north' as region, ilat, ilon from deg where lat >= 15 union all select 'band', ilat, ilon from deg where abs(lat) < 15)"
+_REG = ( "deg as (select ilat, ilon, -85.0 + 10.0 * ilat as lat from mesh), reg as (select 'north' as region, ilat, ilon from deg "
+    "where lat >= 15 union all select 'band', ilat, ilon from deg where abs(lat) < 15)")
 _MEAN = "m as (select ell, region, sum(u * cos(coarse.lat)) / sum(cos(coarse.lat)) as mean from coarse join reg using (ilat, ilon) group by all)"
 
 
@@ -115,7 +119,8 @@ _MEAN = "m as (select ell, region, sum(u * cos(coarse.lat)) / sum(cos(coarse.lat
     "k2_postprocess_files",
     f"with {FLAT}, {_REG}, {_brute(fields='u')}, {_MEAN}, z as (select ell, ilat, avg(u) as mean from coarse group by all) "
     "select 'region average' as kind, ell, region as name, round(mean, 4) + 0.0 as value from m "
-    "union all select 'region deviation', ell, region, round(sqrt(sum(power(u - mean, 2) * cos(coarse.lat)) / sum(cos(coarse.lat))), 4) + 0.0 from coarse join reg using (ilat, ilon) join m using (ell, region) group by ell, region "
+    "union all select 'region deviation', ell, region, round(sqrt(sum(power(u - mean, 2) * cos(coarse.lat)) / sum(cos(coarse.lat))), "
+    "4) + 0.0 from coarse join reg using (ilat, ilon) join m using (ell, region) group by ell, region "
     "union all select 'zonal average', ell, cast(ilat as varchar), round(mean, 4) + 0.0 from z "
     "union all select 'zonal deviation', ell, cast(coarse.ilat as varchar), round(sqrt(avg(power(u - mean, 2))), 4) + 0.0 from coarse join z using (ell, ilat) group by ell, coarse.ilat",
 )
@@ -132,7 +137,9 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole
 
 
-@query("k9_particle_files", "with p as (select cast(o_orderkey as int) as traj, o_custkey % 360 - 180.0 as lon, o_orderkey % 180 - 90.0 as lat from orders) select traj, round(lon, 6) + 0.0 as longitude, round(lat, 6) + 0.0 as latitude, round(lon + 0.5, 6) + 0.0 as rev_longitude, round(6371e3 * radians(0.5) * cos(radians(lat)), -3) + 0.0 as across from p where abs(lat) < 60")
+@query("k9_particle_files", "with p as (select cast(o_orderkey as int) as traj, o_custkey % 360 - 180.0 as lon, o_orderkey % 180 - 90.0 as lat from orders) "
+    "select traj, round(lon, 6) + 0.0 as longitude, round(lat, 6) + 0.0 as latitude, round(lon + 0.5, 6) + 0.0 as rev_longitude, "
+    "round(6371e3 * radians(0.5) * cos(radians(lat)), -3) + 0.0 as across from p where abs(lat) < 60")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _place(spark)
     rows = spark.read.parquet(f"{sf_dir}/orders.parquet").where("abs(o_orderkey % 180 - 90.0) < 60")
@@ -142,7 +149,8 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out(spark.read.parquet(path).withColumn("across", F.col("fore_back_dists")), ["traj"], 6, longitude="longitude", latitude="latitude", rev_longitude="rev_longitude", across="round(across, -3)")
 
 
-@query("k9_subset_files", f"with {CUBE} select itime, cast(ilat // 2 as int) as ilat, cast(ilon // 3 as int) as ilon, round(u, 4) + 0.0 as u from cube where idepth = 0 and ilat % 2 = 0 and ilon % 3 = 0")
+@query("k9_subset_files", f"with {CUBE} select itime, cast(ilat // 2 as int) as ilat, cast(ilon // 3 as int) as ilon, round(u, 4) + 0.0 as u from cube "
+    f"where idepth = 0 and ilat % 2 = 0 and ilon % 3 = 0")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tesseral.operators import reshape
 

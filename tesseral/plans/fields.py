@@ -43,5 +43,8 @@ LAT, LON = "radians(-85.0 + 10.0 * {a}ilat)", "radians(-175.0 + 10.0 * {a}ilon)"
 DANG = repr(math.radians(10.0))
 AREA = f"(6371e3 * 6371e3 * {DANG} * {DANG} * cos(lat))"
 MESH = "mesh as (select cast(a.range as int) as ilat, cast(b.range as int) as ilon from range(18) a, range(36) b)"
-FLAT = f"{MESH}, raw as ({_select(PLACE)}), flat as (select cast(0 as int) as itime, cast(0 as int) as idepth, ilat, ilon, u, v, rho, ssh, {LAT.format(a='mesh.')} as lat, {LON.format(a='mesh.')} as lon from mesh left join raw using (ilat, ilon))"
-CUBE = f"{MESH}, raw as ({_select(SLICE | PLACE)}), slices as (select distinct itime, idepth from raw), cube as (select itime, idepth, ilat, ilon, u, v, rho, ssh, {LAT.format(a='mesh.')} as lat, {LON.format(a='mesh.')} as lon from slices cross join mesh left join raw using (itime, idepth, ilat, ilon))"
+FLAT = ( f"{MESH}, raw as ({_select(PLACE)}), flat as (select cast(0 as int) as itime, cast(0 as int) as idepth, ilat, ilon, u, v, "
+    f"rho, ssh, {LAT.format(a='mesh.')} as lat, {LON.format(a='mesh.')} as lon from mesh left join raw using (ilat, ilon))")
+CUBE = ( f"{MESH}, raw as ({_select(SLICE | PLACE)}), slices as (select distinct itime, idepth from raw), cube as (select itime, idepth, "
+    f"ilat, ilon, u, v, rho, ssh, {LAT.format(a='mesh.')} as lat, {LON.format(a='mesh.')} as lon from slices cross join mesh left "
+    f"join raw using (itime, idepth, ilat, ilon))")

@@ -107,6 +107,8 @@ REGIONS = {
     "Tropics": "lat > -15 and lat < 15",
     "NorthofTropics": "not lat < 15",
     "SouthofTropics": "not lat > -15",
-    "Kuroshio": "lat > 17 and lat < 45 and lon > 120 and lon < 170 and 4 * (lat - 30) <= 3 * (lon - 120) and case when lon > 140 then lat >= 25 when lon = 140 then lat >= 25 and 5 * (lat - 17) >= 2 * (lon - 120) else 5 * (lat - 17) >= 2 * (lon - 120) end",
-    "AntarcticCircumpolar": "lat between -69.99 and -33.01 and case when lon < -72 then lat + 45 <= -5.0 * (lon + 180) / 108 when lon > 20 then lat + 33 <= -12.0 * (lon - 20) / 160 else true end",
+    "Kuroshio": "lat > 17 and lat < 45 and lon > 120 and lon < 170 and 4 * (lat - 30) <= 3 * (lon - 120) and case when lon > 140 then lat "
+    ">= 25 when lon = 140 then lat >= 25 and 5 * (lat - 17) >= 2 * (lon - 120) else 5 * (lat - 17) >= 2 * (lon - 120) end",
+    "AntarcticCircumpolar": "lat between -69.99 and -33.01 and case when lon < -72 then lat + 45 <= -5.0 * (lon + 180) / 108 when lon > 20 then lat + "
+    "33 <= -12.0 * (lon - 20) / 160 else true end",
 }
